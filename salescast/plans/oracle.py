@@ -110,3 +110,104 @@ SELECT series, recent_avg, previous_avg,
             ELSE 'stable' END AS direction
 FROM g""",
 ))
+
+
+def _lag_cols(lags, fallback=False):
+    out = []
+    for k in lags:
+        e = f"lag(value, {k}) OVER (PARTITION BY series ORDER BY datum)"
+        if fallback:
+            e = (f"COALESCE({e}, AVG(value) OVER (PARTITION BY series ORDER BY datum "
+                 f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+        out.append(f"{e} AS lag_{k}")
+    return out
+
+
+def _roll_cols(windows, include_current=True):
+    out = []
+    for k in windows:
+        if include_current:
+            fr = f"OVER (PARTITION BY series ORDER BY datum ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+            out.append(f"CASE WHEN COUNT(value) {fr} = {k} THEN AVG(value) {fr} END AS rolling_{k}")
+        else:
+            fr = f"OVER (PARTITION BY series ORDER BY datum ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
+            out.append(f"AVG(value) {fr} AS rolling_{k}")
+    return out
+
+
+LAGS = [1, 3, 7, 14, 30]
+WINDOWS = [3, 7, 14, 30]
+# Series domain of the p_type binding; a PIVOT inside a CTE needs its values
+# spelled out.
+P_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+_P_IN = ", ".join(f"'{x}'" for x in P_TYPES)
+
+DENSE_GLOBAL = DAILY + """,
+gb AS (SELECT MIN(datum) AS lo, MAX(datum) AS hi FROM daily),
+ser AS (SELECT DISTINCT series FROM daily),
+gcal AS (SELECT series, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS datum FROM ser, gb),
+gdense AS (
+  SELECT c.series, c.datum, COALESCE(d.value, 0.0) AS value
+  FROM gcal c LEFT JOIN daily d ON c.series = d.series AND c.datum = d.datum)"""
+
+CAL_COLS = """CAST(year(datum) AS INTEGER) AS Year, CAST(month(datum) AS INTEGER) AS Month,
+  CAST(isodow(datum) - 1 AS INTEGER) AS DayOfWeek, CAST(dayofyear(datum) AS INTEGER) AS DayOfYear,
+  CAST(week(datum) AS INTEGER) AS WeekOfYear, CAST(quarter(datum) AS INTEGER) AS Quarter,
+  CAST(CASE WHEN isodow(datum) IN (6, 7) THEN 1 ELSE 0 END AS INTEGER) AS IsWeekend"""
+
+_fm_using = ", ".join([f"first(lag_{k}) AS lag_{k}" for k in LAGS]
+                      + [f"first(rolling_{k}) AS rolling_{k}" for k in WINDOWS])
+
+SQL.update(_q(
+    daily_sales_dense=f"WITH {DENSE} SELECT series, datum, value FROM dense",
+    total_sales=f"WITH {TOTAL} SELECT series, datum, value FROM total",
+    all_targets=f"WITH {TOTAL} SELECT series, datum, value FROM daily UNION ALL SELECT series, datum, value FROM total",
+    pivot_daily=f"WITH {DAILY} SELECT * FROM (PIVOT daily ON series USING SUM(value) GROUP BY datum)",
+    unpivot_roundtrip=f"WITH {DAILY} SELECT series, datum, value FROM daily",
+    calendar_features=f"WITH {TOTAL} SELECT datum, {CAL_COLS} FROM total",
+    future_dates=f"""
+WITH {DAILY}, l AS (SELECT series, MAX(datum) AS last FROM daily GROUP BY 1)
+SELECT series, CAST(s AS INTEGER) AS step, CAST(last + s * INTERVAL 1 DAY AS DATE) AS datum
+FROM l, generate_series(1, 30) g(s)""",
+    tail_n=f"""
+WITH {DAILY}
+SELECT series, datum, value FROM daily
+QUALIFY row_number() OVER (PARTITION BY series ORDER BY datum DESC) <= 30""",
+    history_union_new=f"""
+WITH {DAILY}, a AS (SELECT MAX(datum) AS as_of FROM daily)
+SELECT series, datum, value, NULL::VARCHAR AS source FROM daily, a WHERE datum <= as_of - INTERVAL 30 DAY
+UNION ALL
+SELECT series, datum, value, 'new' AS source FROM daily, a WHERE datum > as_of - INTERVAL 30 DAY""",
+    product_mix=f"""
+WITH {TOTAL}, tm AS (SELECT AVG(value) AS m FROM total)
+SELECT series, AVG(value) AS mean_value, AVG(value) / (SELECT m FROM tm) AS share
+FROM daily GROUP BY series""",
+    lag_features=f"WITH {DENSE} SELECT series, datum, value, {', '.join(_lag_cols(LAGS))} FROM dense",
+    rolling_features=f"WITH {DENSE} SELECT series, datum, value, {', '.join(_roll_cols(WINDOWS))} FROM dense",
+    feature_matrix=f"""
+WITH {DENSE_GLOBAL},
+f AS (SELECT series, datum, {', '.join(_lag_cols(LAGS) + _roll_cols(WINDOWS))}
+      FROM gdense),
+p AS (PIVOT f ON series IN ({_P_IN}) USING {_fm_using} GROUP BY datum),
+t AS (SELECT datum, SUM(value) AS Total_Sales FROM gdense GROUP BY datum),
+j AS (SELECT p.*, {CAL_COLS.replace('datum', 'p.datum')}, t.Total_Sales FROM p JOIN t ON p.datum = t.datum)
+SELECT * FROM j WHERE COLUMNS(*) IS NOT NULL""",
+    score_features_asof=f"""
+WITH {DENSE}, a AS (SELECT MAX(datum) AS as_of FROM dense),
+f AS (SELECT series, datum, value, {', '.join(_lag_cols(LAGS, True) + _roll_cols(WINDOWS, False))}
+      FROM dense)
+SELECT f.* FROM f, a WHERE datum > as_of - INTERVAL 7 DAY""",
+    time_split=f"""
+WITH {DENSE},
+x AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY datum) - 1 AS pos,
+             COUNT(*) OVER (PARTITION BY series) AS n FROM dense)
+SELECT series, datum, value,
+       CASE WHEN pos >= n - n // 6 THEN 'test' ELSE 'train' END AS split FROM x""",
+    time_folds=f"""
+WITH {DENSE},
+x AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY datum) - 1 AS pos,
+             COUNT(*) OVER (PARTITION BY series) AS n FROM dense)
+SELECT series, datum, value,
+       CAST(CASE WHEN n // 6 > 0 AND pos >= n - 5 * (n // 6)
+                 THEN (pos - (n - 5 * (n // 6))) // (n // 6) END AS INTEGER) AS test_fold FROM x""",
+))

@@ -75,3 +75,111 @@ def peak_low_day(spark, sf_dir):
 @query
 def trend_direction(spark, sf_dir):
     return trends.trend_direction(_daily(spark, sf_dir))
+
+
+# --- shapes, calendar, features ----------------------------------------------
+
+from salescast.functions.calendar import calendar_columns  # noqa: E402
+from salescast.operators import features, series as ser  # noqa: E402
+
+
+def _dense(spark, sf_dir):
+    return ser.dense_grid(_daily(spark, sf_dir))
+
+
+def series_list(daily: DataFrame) -> list[str]:
+    """Distinct series codes (a small dimension) for wide layouts."""
+    return [r[0] for r in daily.select("series").distinct().orderBy("series").collect()]
+
+
+@query
+def daily_sales_dense(spark, sf_dir):
+    return _dense(spark, sf_dir)
+
+
+@query
+def total_sales(spark, sf_dir):
+    return ser.total_series(_daily(spark, sf_dir))
+
+
+@query
+def all_targets(spark, sf_dir):
+    return ser.all_targets(_daily(spark, sf_dir))
+
+
+@query
+def pivot_daily(spark, sf_dir):
+    d = _daily(spark, sf_dir)
+    return ser.pivot_wide(d, series_list(d))
+
+
+@query
+def unpivot_roundtrip(spark, sf_dir):
+    d = _daily(spark, sf_dir)
+    s = series_list(d)
+    return ser.unpivot_long(ser.pivot_wide(d, s), s).where(F.col("value").isNotNull())
+
+
+@query
+def calendar_features(spark, sf_dir):
+    t = ser.total_series(_daily(spark, sf_dir))
+    return t.select("datum").withColumns(calendar_columns("datum"))
+
+
+@query
+def future_dates(spark, sf_dir):
+    return ser.future_dates(_daily(spark, sf_dir), 30)
+
+
+@query
+def tail_n(spark, sf_dir):
+    return ser.tail_n(_daily(spark, sf_dir), 30)
+
+
+@query
+def history_union_new(spark, sf_dir):
+    d = _daily(spark, sf_dir)
+    a = trends.as_of_date(d)
+    hist = d.where(F.col("datum") <= F.date_sub(a, 30))
+    new = d.where(F.col("datum") > F.date_sub(a, 30)).withColumn("source", F.lit("new"))
+    return ser.history_union_new(hist, new)
+
+
+@query
+def product_mix(spark, sf_dir):
+    return ser.product_mix(_daily(spark, sf_dir))
+
+
+@query
+def lag_features(spark, sf_dir):
+    return features.lag_rolling(_dense(spark, sf_dir), windows=[])
+
+
+@query
+def rolling_features(spark, sf_dir):
+    return features.lag_rolling(_dense(spark, sf_dir), lags=[])
+
+
+@query
+def feature_matrix(spark, sf_dir):
+    d = _daily(spark, sf_dir)
+    return features.feature_matrix(ser.dense_grid(d, span="global"), series_list(d))
+
+
+@query
+def score_features_asof(spark, sf_dir):
+    dense = _dense(spark, sf_dir)
+    a = trends.as_of_date(dense)
+    hist = dense.where(F.col("datum") <= F.date_sub(a, 7))
+    pts = dense.where(F.col("datum") > F.date_sub(a, 7))
+    return features.features_asof(hist, pts)
+
+
+@query
+def time_split(spark, sf_dir):
+    return features.time_split(_dense(spark, sf_dir), dense=True)
+
+
+@query
+def time_folds(spark, sf_dir):
+    return features.time_folds(_dense(spark, sf_dir), dense=True)
