@@ -211,3 +211,145 @@ SELECT series, datum, value,
        CAST(CASE WHEN n // 6 > 0 AND pos >= n - 5 * (n // 6)
                  THEN (pos - (n - 5 * (n // 6))) // (n // 6) END AS INTEGER) AS test_fold FROM x""",
 ))
+
+
+TARGETS = TOTAL + """,
+targets AS (SELECT series, datum, value FROM daily UNION ALL SELECT series, datum, value FROM total)"""
+
+STORE = DENSE + """,
+store AS (SELECT series, datum, value,
+                 lag(value, 7) OVER (PARTITION BY series ORDER BY datum) AS predicted,
+                 'history' AS source, CAST(datum AS TIMESTAMP) AS ingest_ts FROM dense)"""
+
+ALERTS = TARGETS + """,
+scored AS (
+  SELECT series, datum, value,
+         COUNT(value) OVER w AS n, AVG(value) OVER w AS baseline_mean, STDDEV_SAMP(value) OVER w AS baseline_std
+  FROM targets
+  WINDOW w AS (PARTITION BY series ORDER BY datum RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW)),
+alerts AS (
+  SELECT series, datum, value, n, baseline_mean, baseline_std,
+         CASE WHEN value > baseline_mean THEN 'high_sales' ELSE 'low_sales' END AS alert_type,
+         CASE WHEN abs(value - baseline_mean) > 3 * baseline_std THEN 'high' ELSE 'medium' END AS severity
+  FROM scored WHERE n >= 5 AND abs(value - baseline_mean) > 2 * baseline_std)"""
+
+REGISTRY = TARGETS + """,
+registry AS (SELECT series AS target FROM targets GROUP BY series HAVING COUNT(*) >= 730),
+dim AS (SELECT DISTINCT p_type AS code FROM part),
+dimn AS (SELECT code, concat(upper(code[1]), lower(code[2:]), ' product line (part type ', code, ')') AS name FROM dim),
+catalog AS (SELECT d.code, substr(d.name, 1, 50) AS name, r.target IS NOT NULL AS has_model
+            FROM dimn d LEFT JOIN (SELECT DISTINCT target FROM registry) r ON d.code = r.target)"""
+
+TREND_FC = TARGETS + """,
+a AS (SELECT MAX(datum) AS as_of FROM targets),
+lvl AS (SELECT t.series, AVG(t.value) AS level FROM targets t, a WHERE t.datum >= a.as_of - INTERVAL 30 DAY GROUP BY 1),
+ser AS (SELECT DISTINCT series FROM targets),
+spine AS (SELECT s.series, CAST(g.step AS INTEGER) AS step, CAST(a.as_of + g.step * INTERVAL 1 DAY AS DATE) AS datum
+          FROM ser s, a, generate_series(1, 30) g(step)),
+fc AS (SELECT sp.series, sp.datum, sp.step,
+              ROUND(GREATEST(0.0, COALESCE(l.level, 50.0)
+                    * (1.0 + 0.1 * sin(2 * pi() * dayofyear(sp.datum) / 365))
+                    * CASE WHEN isodow(sp.datum) IN (6, 7) THEN 0.8 ELSE 1.0 END), 2) AS predicted_sales,
+              'trend_based' AS model_used
+       FROM spine sp LEFT JOIN lvl l ON sp.series = l.series)"""
+
+EV_PAY = """ed AS (SELECT event_type AS series, CAST(ts AS DATE) AS datum, ROUND(SUM(value), 2) AS value
+       FROM events GROUP BY 1, 2)"""
+
+SQL.update(_q(
+    anomaly_baseline=f"""
+WITH {TARGETS}, a AS (SELECT MAX(datum) AS as_of FROM targets)
+SELECT series, COUNT(value) AS n, AVG(value) AS mean_sales, ROUND(STDDEV_SAMP(value), 6) AS std_sales,
+       COUNT(value) >= 5 AS usable
+FROM targets, a WHERE datum >= as_of - INTERVAL 30 DAY GROUP BY series""",
+    anomaly_alerts=f"""
+WITH {ALERTS}
+SELECT series, datum, value, n, baseline_mean, ROUND(baseline_std, 6) AS baseline_std, alert_type, severity
+FROM alerts""",
+    recent_alerts=f"""
+WITH {ALERTS}, t AS (SELECT CAST(datum AS TIMESTAMP) AS ts, * FROM alerts)
+SELECT ts, series, datum, alert_type, severity FROM t
+WHERE ts >= (SELECT MAX(ts) FROM t) - INTERVAL 7 DAY
+ORDER BY ts DESC, series ASC, alert_type ASC LIMIT 20""",
+    recent_data=f"""
+WITH {STORE}
+SELECT series, datum, value, predicted FROM store WHERE datum >= (SELECT MAX(datum) FROM store) - INTERVAL 7 DAY""",
+    store_status=f"""
+WITH {STORE}
+SELECT COUNT(*) AS total_records, MAX(datum) AS last_datum,
+       COUNT(*) FILTER (WHERE predicted IS NOT NULL AND predicted > 0) AS rows_with_prediction FROM store""",
+    latest_predictions=f"""
+WITH {STORE}
+SELECT series, datum, value, predicted, ingest_ts FROM store
+ORDER BY ingest_ts DESC, datum DESC, series ASC LIMIT 10""",
+    actual_vs_predicted=f"""
+WITH {STORE}
+SELECT d.series, d.datum, d.value AS actual, s.predicted
+FROM daily d JOIN store s ON d.series = s.series AND d.datum = s.datum
+WHERE s.predicted IS NOT NULL AND s.predicted > 0
+QUALIFY row_number() OVER (PARTITION BY d.series ORDER BY d.datum DESC) <= 30""",
+    actual_vs_predicted_range=f"""
+WITH {STORE}
+SELECT d.series, LEAST(MIN(d.value), MIN(s.predicted)) AS range_min,
+       GREATEST(MAX(d.value), MAX(s.predicted)) AS range_max, COUNT(*) AS n_pairs
+FROM daily d JOIN store s ON d.series = s.series AND d.datum = s.datum
+WHERE s.predicted > 0 GROUP BY d.series""",
+    backfill_predictions=f"""
+WITH {STORE},
+means AS (SELECT series, ROUND(AVG(value), 2) AS new_pred FROM store GROUP BY series),
+todo AS (SELECT series, datum FROM store WHERE predicted IS NULL OR predicted = 0
+         QUALIFY row_number() OVER (PARTITION BY series ORDER BY datum DESC) <= 50),
+scores AS (SELECT t.series, t.datum, m.new_pred FROM todo t JOIN means m ON t.series = m.series)
+SELECT s.series, s.datum, s.value, COALESCE(sc.new_pred, s.predicted) AS predicted
+FROM store s LEFT JOIN scores sc ON s.series = sc.series AND s.datum = sc.datum""",
+    product_catalog=f"WITH {REGISTRY} SELECT code, name, has_model FROM catalog",
+    products_with_models=f"""
+WITH {REGISTRY} SELECT code, name FROM dimn WHERE code IN (SELECT target FROM registry)""",
+    catalog_summary=f"""
+WITH {REGISTRY} SELECT COUNT(*) AS n_products, COUNT(*) FILTER (WHERE has_model) AS n_with_models FROM catalog""",
+    trend_forecast=f"WITH {TREND_FC} SELECT series, datum, step, predicted_sales, model_used FROM fc",
+    forecast_summary=f"""
+WITH {TREND_FC}
+SELECT series, ROUND(AVG(predicted_sales), 6) AS mean_forecast,
+       CASE WHEN arg_max(predicted_sales, step) > arg_min(predicted_sales, step) THEN 'up' ELSE 'down' END AS direction,
+       COUNT(*) AS horizon
+FROM fc GROUP BY series""",
+    forecast_metrics=f"""
+WITH {DENSE},
+f AS (SELECT series, datum, value,
+             lag(value, 1) OVER (PARTITION BY series ORDER BY datum) AS lag_1,
+             lag(value, 7) OVER (PARTITION BY series ORDER BY datum) AS lag_7,
+             CASE WHEN COUNT(value) OVER w7 = 7 THEN AVG(value) OVER w7 END AS rolling_7,
+             row_number() OVER (PARTITION BY series ORDER BY datum) - 1 AS pos,
+             COUNT(*) OVER (PARTITION BY series) AS cnt
+      FROM dense WINDOW w7 AS (PARTITION BY series ORDER BY datum ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
+t AS (SELECT * FROM f WHERE pos >= cnt - cnt // 6),
+l AS (SELECT series, value AS actual, 'naive_lag1' AS model, lag_1 AS predicted FROM t
+      UNION ALL SELECT series, value, 'naive_lag7', lag_7 FROM t
+      UNION ALL SELECT series, value, 'mean_7', rolling_7 FROM t),
+g AS (SELECT series, model, COUNT(*) AS n, SUM(abs(actual - predicted)) AS sae,
+             SUM((actual - predicted) * (actual - predicted)) AS sse, SUM(actual) AS sy, SUM(actual * actual) AS syy
+      FROM l WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY 1, 2)
+SELECT series, model, n, ROUND(sae / n, 6) AS mae, ROUND(sqrt(sse / n), 6) AS rmse,
+       ROUND(1.0 - sse / (syy - sy * sy / n), 6) AS r2 FROM g""",
+    standardize=f"""
+WITH {DENSE},
+x AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY datum) - 1 AS pos,
+             COUNT(*) OVER (PARTITION BY series) AS n FROM dense),
+s AS (SELECT series, datum, value, CASE WHEN pos >= n - n // 6 THEN 'test' ELSE 'train' END AS split FROM x),
+st AS (SELECT series, AVG(value) AS m, STDDEV_POP(value) AS sd FROM s WHERE split = 'train' GROUP BY series)
+SELECT s.series, s.datum, s.value, s.split,
+       ROUND(COALESCE(CASE WHEN st.sd = 0 THEN NULL ELSE (s.value - st.m) / st.sd END, 0.0), 6) AS value_z
+FROM s JOIN st ON s.series = st.series""",
+    ingest_validate=f"""
+WITH {EV_PAY}
+SELECT datum, CAST(COUNT(*) AS INTEGER) AS n_products, NULL::VARCHAR AS reason FROM ed GROUP BY datum""",
+    ingest_explode=f"""
+WITH {EV_PAY},
+days AS (SELECT DISTINCT datum FROM ed), types AS (SELECT DISTINCT event_type AS series FROM events)
+SELECT t.series, d.datum, COALESCE(e.value, 0.0) AS value
+FROM days d CROSS JOIN types t LEFT JOIN ed e ON e.datum = d.datum AND e.series = t.series""",
+    records_json=f"""
+WITH {DAILY}
+SELECT to_json({{'series': series, 'datum': datum, 'value': value}}) AS json FROM daily""",
+))

@@ -183,3 +183,180 @@ def time_split(spark, sf_dir):
 @query
 def time_folds(spark, sf_dir):
     return features.time_folds(_dense(spark, sf_dir), dense=True)
+
+
+# --- anomalies, store read paths, catalog -------------------------------------
+
+from salescast.operators import anomaly, forecast, metrics, serving  # noqa: E402
+from salescast.sources import ingest  # noqa: E402
+
+
+def _targets(spark, sf_dir):
+    return ser.all_targets(_daily(spark, sf_dir))
+
+
+def _store(spark, sf_dir):
+    """Deterministic store view: dense history scored by the same-weekday
+    naive model, ingest time = the day itself."""
+    s = serving.naive_predictions(_dense(spark, sf_dir), 7)
+    return s.select("series", "datum", "value", "predicted",
+                    F.lit("history").alias("source"),
+                    F.col("datum").cast("timestamp").alias("ingest_ts"))
+
+
+def _registry(spark, sf_dir):
+    """Targets with at least two years of daily rows count as modelled."""
+    t = _targets(spark, sf_dir)
+    return t.groupBy(F.col("series").alias("target")).agg(F.count(F.lit(1)).alias("n")) \
+        .where(F.col("n") >= 730).select("target")
+
+
+def _catalog_dim(spark, sf_dir):
+    dim = tables.part_catalog(spark, sf_dir).select("code")
+    return dim.withColumn("name", F.concat(F.initcap(F.lower("code")), F.lit(" product line (part type "),
+                                           F.col("code"), F.lit(")")))
+
+
+@query
+def anomaly_baseline(spark, sf_dir):
+    b = anomaly.anomaly_baseline(_targets(spark, sf_dir))
+    return b.select("series", "n", "mean_sales", r6("std_sales").alias("std_sales"), "usable")
+
+
+@query
+def anomaly_alerts(spark, sf_dir):
+    a = anomaly.anomaly_alerts(_targets(spark, sf_dir), with_message=False)
+    return a.select("series", "datum", "value", "n", "baseline_mean",
+                    r6("baseline_std").alias("baseline_std"), "alert_type", "severity")
+
+
+@query
+def recent_alerts(spark, sf_dir):
+    al = anomaly.alerts_table(anomaly.anomaly_alerts(_targets(spark, sf_dir)))
+    return serving.recent_alerts(al, days=7, n=20).select("ts", "series", "datum", "alert_type", "severity")
+
+
+@query
+def recent_data(spark, sf_dir):
+    return serving.recent_rows(_store(spark, sf_dir), days=7).select("series", "datum", "value", "predicted")
+
+
+@query
+def store_status(spark, sf_dir):
+    return serving.store_status(_store(spark, sf_dir))
+
+
+@query
+def latest_predictions(spark, sf_dir):
+    return serving.latest_rows(_store(spark, sf_dir), 10).select(
+        "series", "datum", "value", "predicted", "ingest_ts")
+
+
+@query
+def actual_vs_predicted(spark, sf_dir):
+    d = _daily(spark, sf_dir)
+    preds = serving.naive_predictions(_dense(spark, sf_dir), 7)
+    return serving.actual_vs_predicted(d, preds, 30)
+
+
+@query
+def actual_vs_predicted_range(spark, sf_dir):
+    d = _daily(spark, sf_dir)
+    preds = serving.naive_predictions(_dense(spark, sf_dir), 7)
+    pairs = d.select("series", "datum", F.col("value").alias("actual")).join(
+        preds.select("series", "datum", "predicted"), ["series", "datum"])
+    return serving.prediction_range(pairs.where(F.col("predicted") > 0))
+
+
+@query
+def backfill_predictions(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    means = store.groupBy("series").agg(F.round(F.avg("value"), 2).alias("new_pred"))
+
+    def scorer(rows):
+        return rows.join(means, "series")
+
+    return serving.backfill_predictions(store, scorer, limit=50).select(
+        "series", "datum", "value", "predicted")
+
+
+@query
+def product_catalog(spark, sf_dir):
+    return serving.product_catalog(_catalog_dim(spark, sf_dir), _registry(spark, sf_dir))
+
+
+@query
+def products_with_models(spark, sf_dir):
+    return serving.products_with_models(_catalog_dim(spark, sf_dir), _registry(spark, sf_dir))
+
+
+@query
+def catalog_summary(spark, sf_dir):
+    return serving.catalog_summary(
+        serving.product_catalog(_catalog_dim(spark, sf_dir), _registry(spark, sf_dir)))
+
+
+# --- forecasts, metrics -------------------------------------------------------
+
+@query
+def trend_forecast(spark, sf_dir):
+    return forecast.trend_forecast(_targets(spark, sf_dir), days=30)
+
+
+@query
+def forecast_summary(spark, sf_dir):
+    s = forecast.forecast_summary(forecast.trend_forecast(_targets(spark, sf_dir), days=30))
+    return s.select("series", r6("mean_forecast").alias("mean_forecast"), "direction", "horizon")
+
+
+@query
+def forecast_metrics(spark, sf_dir):
+    dense = _dense(spark, sf_dir)
+    f = features.lag_rolling(dense, lags=[1, 7], windows=[7])
+    sp = features.time_split(f, dense=True).where(F.col("split") == "test")
+    long = sp.select("series", "datum", F.col("value").alias("actual"),
+                     F.expr("stack(3, 'naive_lag1', lag_1, 'naive_lag7', lag_7, 'mean_7', rolling_7)")
+                     .alias("model", "predicted"))
+    m = metrics.regression_metrics(long)
+    return m.select("series", "model", "n", r6("mae").alias("mae"), r6("rmse").alias("rmse"),
+                    r6("r2").alias("r2"))
+
+
+@query
+def standardize(spark, sf_dir):
+    sp = features.time_split(_dense(spark, sf_dir), dense=True)
+    z = metrics.standardize(sp, ["value"])
+    return z.select("series", "datum", "value", "split", r6("value_z").alias("value_z"))
+
+
+# --- ingest payloads ------------------------------------------------------------
+
+def _event_payloads(spark, sf_dir):
+    ed = tables.events_daily(spark, sf_dir).withColumn("value", F.round("value", 2))
+    return ingest.payloads_from_daily(ed)
+
+
+def _event_products(spark, sf_dir):
+    return tables.read_table(spark, sf_dir, "events", "event_type").select(
+        F.col("event_type").alias("code")).distinct()
+
+
+@query
+def ingest_validate(spark, sf_dir):
+    v = ingest.validate_payloads(ingest.parse_payloads(_event_payloads(spark, sf_dir)),
+                                 _event_products(spark, sf_dir))
+    return v.select("datum", F.size("sales").alias("n_products"), "reason")
+
+
+@query
+def ingest_explode(spark, sf_dir):
+    v = ingest.validate_payloads(ingest.parse_payloads(_event_payloads(spark, sf_dir)),
+                                 _event_products(spark, sf_dir))
+    valid, _ = ingest.split_valid(v)
+    return ingest.explode_payloads(valid, series_list(_event_products(spark, sf_dir)
+                                                      .withColumnRenamed("code", "series")))
+
+
+@query
+def records_json(spark, sf_dir):
+    return ingest.records_json(_daily(spark, sf_dir).select("series", "datum", "value"))
