@@ -45,3 +45,215 @@ def forecast_summary(fc: DataFrame, value_col: str = "predicted_sales") -> DataF
         F.when(F.max_by(value_col, "step") > F.min_by(value_col, "step"), "up")
         .otherwise("down").alias("direction"),
         F.count(F.lit(1)).alias("horizon"))
+
+
+# --- recursive forecasts as one Catalyst fold -------------------------------------
+
+from dataclasses import dataclass, field  # noqa: E402
+
+from pyspark.sql import Column  # noqa: E402
+
+from salescast.functions.calendar import CALENDAR_FEATURES, calendar_columns  # noqa: E402
+from salescast.operators.series import tail_n  # noqa: E402
+
+BUFFER_DAYS = 30
+
+
+@dataclass
+class FoldModel:
+    """A linear one-step model over rolling buffers.
+
+    Buffers are indexed 0..P-1.  For buffer p: `lags[p]` {k: weight of the
+    value k steps back}, `rolls[p]` {w: weight of the mean of the last w
+    values}, `last_w[p]` weight of the buffer's last value, `mean_w[p]` weight
+    of the buffer mean.  `calendar` weights the seven calendar features of the
+    forecast day; `const_w` weights a per-row constant vector (`consts`).
+    After each step buffer p receives share[p] * prediction + hold[p] * its
+    own last value.
+    """
+    intercept: float
+    n_buffers: int = 1
+    calendar: list = field(default_factory=lambda: [0.0] * 7)
+    lags: list = field(default_factory=list)
+    rolls: list = field(default_factory=list)
+    last_w: list = field(default_factory=list)
+    mean_w: list = field(default_factory=list)
+    const_w: list = field(default_factory=list)
+    share: list = field(default_factory=list)
+    hold: list = field(default_factory=list)
+    feed_clamped: bool = False
+
+    def _p(self, lst, p, default):
+        return lst[p] if p < len(lst) else default
+
+
+def _wt(w):
+    """Weight as a Column (per-row coefficient) or None for a literal zero."""
+    if isinstance(w, Column):
+        return w
+    return F.lit(float(w)) if w else None
+
+
+def _mean(buf: Column) -> Column:
+    return F.aggregate(buf, F.lit(0.0), lambda a, x: a + x) / F.size(buf)
+
+
+def _tail_mean(buf: Column, w: int) -> Column:
+    """Mean of the last w values; mean of all when fewer exist."""
+    s = F.slice(buf, -w, w)
+    return F.when(F.size(buf) >= w, F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / w).otherwise(_mean(buf))
+
+
+def _lag(buf: Column, k: int) -> Column:
+    return F.when(F.size(buf) >= k, F.element_at(buf, -k)).otherwise(_mean(buf))
+
+
+def _push(buf: Column, x: Column, length: int) -> Column:
+    c = F.concat(buf, F.array(x))
+    return F.slice(c, F.greatest(F.size(c) - length + 1, F.lit(1)), F.lit(length))
+
+
+def recursive_forecast(start: DataFrame, model: FoldModel, horizon: int = 30,
+                       buffer_len: int = BUFFER_DAYS, model_name: str = "linear") -> DataFrame:
+    """Roll `model` forward `horizon` days for every row of `start`.
+
+    start: (series, last DATE, bufs ARRAY<ARRAY<DOUBLE>> oldest first
+    [, consts ARRAY<DOUBLE>]).  The whole recursion is one `aggregate` over
+    the step sequence -- a per-row fold, so rows (series) run in parallel and
+    nothing is collected.  The prediction of a step is bound once (a
+    one-element `transform`) and used for the output (clamped at 0) and the
+    buffer feedback.  Output: (series, step, datum, predicted, model_used).
+    """
+    P = model.n_buffers
+    has_consts = "consts" in start.columns and len(model.const_w) > 0
+
+    def step(acc, i):
+        bufs = acc["bufs"]
+        d = F.date_add(F.col("last"), i)
+        cal = calendar_columns(d)
+        pred = _wt(model.intercept)
+        pred = F.lit(0.0) if pred is None else pred
+
+        def add(acc_expr, w, x):
+            wc = _wt(w)
+            return acc_expr if wc is None else acc_expr + wc * x
+
+        for name, w in zip(CALENDAR_FEATURES, model.calendar):
+            pred = add(pred, w, cal[name].cast("double"))
+        for p in range(P):
+            b = F.element_at(bufs, p + 1)
+            for k, w in sorted(model._p(model.lags, p, {}).items()):
+                pred = add(pred, w, _lag(b, k))
+            for k, w in sorted(model._p(model.rolls, p, {}).items()):
+                pred = add(pred, w, _tail_mean(b, k))
+            pred = add(pred, model._p(model.last_w, p, 0.0), F.element_at(b, -1))
+            pred = add(pred, model._p(model.mean_w, p, 0.0), _mean(b))
+        if has_consts:
+            for j, w in enumerate(model.const_w):
+                pred = add(pred, w, F.element_at(F.col("consts"), j + 1))
+
+        def advance(y):
+            fb = F.greatest(F.lit(0.0), y) if model.feed_clamped else y
+            new_bufs = []
+            for p in range(P):
+                b = F.element_at(bufs, p + 1)
+                sh = _wt(model._p(model.share, p, 1.0 if P == 1 else 0.0))
+                x = F.lit(0.0) if sh is None else sh * fb
+                h = _wt(model._p(model.hold, p, 0.0))
+                if h is not None:
+                    x = x + h * F.element_at(b, -1)
+                new_bufs.append(_push(b, x, buffer_len))
+            return F.struct(F.array(*new_bufs).alias("bufs"),
+                            F.concat(acc["out"], F.array(F.greatest(F.lit(0.0), y))).alias("out"))
+
+        return F.element_at(F.transform(F.array(pred), advance), 1)
+
+    init = F.struct(F.col("bufs").alias("bufs"),
+                    F.array().cast("array<double>").alias("out"))
+    steps = F.sequence(F.lit(1), F.lit(horizon))
+    folded = start.withColumn("_fc", F.aggregate(steps, init, step))
+    return folded.select(
+        "series", "last", F.posexplode("_fc.out").alias("step0", "predicted")
+    ).select("series", (F.col("step0") + 1).alias("step"),
+             F.date_add("last", F.col("step0") + 1).alias("datum"), "predicted",
+             F.lit(model_name).alias("model_used"))
+
+
+def start_buffers(daily: DataFrame, series: list[str], unit: str, length: int = BUFFER_DAYS) -> DataFrame:
+    """One start row for `unit`: the last `length` values of each listed
+    series as buffers (in list order) and the last date.  Only the tails
+    (length rows per series) are gathered."""
+    order = F.create_map(*[x for i, s in enumerate(series) for x in (F.lit(s), F.lit(i))])
+    t = tail_n(daily.where(F.col("series").isin(series)), length)
+    per = t.groupBy("series").agg(
+        F.array_sort(F.collect_list(F.struct("datum", "value"))).alias("pts"),
+        F.max("datum").alias("last"))
+    per = per.select(F.element_at(order, F.col("series")).alias("i"), "last",
+                     F.transform("pts", lambda x: x["value"]).alias("buf"))
+    one = per.groupBy(F.lit(unit).alias("series")).agg(
+        F.array_sort(F.collect_list(F.struct("i", "buf"))).alias("b"), F.max("last").alias("last"))
+    return one.select("series", "last", F.transform("b", lambda x: x["buf"]).alias("bufs"))
+
+
+def univariate_start(daily: DataFrame, length: int = BUFFER_DAYS) -> DataFrame:
+    """Start rows for per-series folds: each series' own last `length` values."""
+    t = tail_n(daily, length)
+    per = t.groupBy("series").agg(
+        F.array_sort(F.collect_list(F.struct("datum", "value"))).alias("pts"),
+        F.max("datum").alias("last"))
+    return per.select("series", "last",
+                      F.array(F.transform("pts", lambda x: x["value"])).alias("bufs"))
+
+
+def total_fold_model(intercept: float, weights: list[float], series: list[str], shares: list[float],
+                     lags=(1, 3, 7, 14, 30), windows=(3, 7, 14, 30)) -> FoldModel:
+    """Map raw-feature weights in training order (calendar, all lags, all
+    rolling means) onto a FoldModel for the total forecast: each series
+    buffer is fed back with share * (unclamped) prediction."""
+    P, nl, nw = len(series), len(lags), len(windows)
+    cal = list(weights[:7])
+    lag_w = weights[7:7 + P * nl]
+    roll_w = weights[7 + P * nl:7 + P * nl + P * nw]
+    return FoldModel(
+        intercept=intercept, n_buffers=P, calendar=cal,
+        lags=[{k: lag_w[p * nl + j] for j, k in enumerate(lags)} for p in range(P)],
+        rolls=[{w: roll_w[p * nw + j] for j, w in enumerate(windows)} for p in range(P)],
+        share=list(shares), hold=[0.0] * P, feed_clamped=False)
+
+
+def per_series_fold_model(lags=(1, 3, 7, 14, 30), windows=(3, 7, 14, 30),
+                          feed_clamped: bool = True) -> FoldModel:
+    """Univariate fold whose coefficients come from each row's `intercept`
+    and `weights` (calendar, own lags, own rolling means) -- e.g. the output
+    of models.per_series_ridge -- so every series runs its own model."""
+    w = F.col("weights")
+    nl = len(lags)
+    return FoldModel(
+        intercept=F.col("intercept"), n_buffers=1,
+        calendar=[w[i] for i in range(7)],
+        lags=[{k: w[7 + j] for j, k in enumerate(lags)}],
+        rolls=[{k: w[7 + nl + j] for j, k in enumerate(windows)}],
+        share=[1.0], feed_clamped=feed_clamped)
+
+
+def product_fold_model(intercept: float, weights: list[float], target_idx: int, n_series: int,
+                       lags=(1, 3, 7, 14, 30), windows=(3, 7, 14, 30)) -> FoldModel:
+    """Single-product recursive forecast over all series buffers: the
+    target's buffer gets the (unclamped) prediction, sibling buffers repeat
+    their last value, and sibling value features use the buffer mean.
+    Weights in training order: calendar, all lags, all rolling, siblings."""
+    P, nl, nw = n_series, len(lags), len(windows)
+    lag_w = weights[7:7 + P * nl]
+    roll_w = weights[7 + P * nl:7 + P * nl + P * nw]
+    sib_w = weights[7 + P * nl + P * nw:]
+    sibs = [p for p in range(P) if p != target_idx]
+    mean_w = [0.0] * P
+    for j, p in enumerate(sibs):
+        mean_w[p] = sib_w[j] if j < len(sib_w) else 0.0
+    return FoldModel(
+        intercept=intercept, n_buffers=P, calendar=list(weights[:7]),
+        lags=[{k: lag_w[p * nl + j] for j, k in enumerate(lags)} for p in range(P)],
+        rolls=[{w: roll_w[p * nw + j] for j, w in enumerate(windows)} for p in range(P)],
+        mean_w=mean_w,
+        share=[1.0 if p == target_idx else 0.0 for p in range(P)],
+        hold=[0.0 if p == target_idx else 1.0 for p in range(P)], feed_clamped=False)

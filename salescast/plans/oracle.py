@@ -353,3 +353,35 @@ FROM days d CROSS JOIN types t LEFT JOIN ed e ON e.datum = d.datum AND e.series
 WITH {DAILY}
 SELECT to_json({{'series': series, 'datum': datum, 'value': value}}) AS json FROM daily""",
 ))
+
+
+SQL.update(_q(
+    recursive_forecast=f"""
+WITH RECURSIVE {DENSE},
+init AS (SELECT series, MAX(datum) AS last,
+                list_reverse((list(value ORDER BY datum DESC))[1:30]) AS buf
+         FROM dense GROUP BY series),
+r(series, last, step, buf, pred) AS (
+  SELECT series, last, 0, buf, CAST(NULL AS DOUBLE) FROM init
+  UNION ALL
+  SELECT series, last, s1, list_append(buf, GREATEST(0.0, p))[2:], p FROM (
+    SELECT series, last, buf, step + 1 AS s1,
+           2.0::DOUBLE
+           + (-3.0)::DOUBLE * CAST(CASE WHEN isodow(CAST(last + (step + 1) * INTERVAL 1 DAY AS DATE)) IN (6, 7)
+                                         THEN 1 ELSE 0 END AS DOUBLE)
+           + 0.5::DOUBLE * buf[-1]
+           + 0.2::DOUBLE * buf[-7]
+           + 0.1::DOUBLE * ((((0.0::DOUBLE + buf[-3]) + buf[-2]) + buf[-1]) / 3) AS p
+    FROM r WHERE step < 30) x)
+SELECT series, CAST(step AS INTEGER) AS step, CAST(last + step * INTERVAL 1 DAY AS DATE) AS datum,
+       ROUND(GREATEST(0.0, pred), 6) AS predicted, 'fixed_linear' AS model_used
+FROM r WHERE step > 0""",
+    score_new_points=f"""
+WITH {DENSE}, a AS (SELECT MAX(datum) AS as_of FROM dense),
+f AS (SELECT series, datum, value, {', '.join(_lag_cols(LAGS, True) + _roll_cols(WINDOWS, False))}
+      FROM dense)
+SELECT series, datum, value,
+       ROUND(GREATEST(0.0, 1.0::DOUBLE + 0.3::DOUBLE * lag_1 + 0.3::DOUBLE * lag_7
+                      + 0.2::DOUBLE * rolling_7 + 0.1::DOUBLE * rolling_30), 2) AS predicted
+FROM f, a WHERE datum > as_of - INTERVAL 7 DAY""",
+))

@@ -360,3 +360,148 @@ def ingest_explode(spark, sf_dir):
 @query
 def records_json(spark, sf_dir):
     return ingest.records_json(_daily(spark, sf_dir).select("series", "datum", "value"))
+
+
+# --- models and recursive forecasts ---------------------------------------------
+
+from salescast.functions.calendar import CALENDAR_FEATURES  # noqa: E402
+from salescast.operators import models  # noqa: E402
+from salescast.session import scratch_path  # noqa: E402
+
+SERIES_FEATURES = CALENDAR_FEATURES + features.lag_names() + features.rolling_names()
+
+# --- fixed values: coefficients of the fixed-model queries ------------------------
+# recursive_forecast: 2 - 3*IsWeekend + 0.5*lag_1 + 0.2*lag_7 + 0.1*rolling_3
+FIXED_FOLD = {"intercept": 2.0, "is_weekend": -3.0, "lags": {1: 0.5, 7: 0.2}, "rolls": {3: 0.1}}
+# score_new_points: 1 + 0.3*lag_1 + 0.3*lag_7 + 0.2*rolling_7 + 0.1*rolling_30
+FIXED_SCORER = {"intercept": 1.0, "features": ["lag_1", "lag_7", "rolling_7", "rolling_30"],
+                "weights": [0.3, 0.3, 0.2, 0.1]}
+# -----------------------------------------------------------------------------
+
+
+def _series_training(spark, sf_dir):
+    """Per-series training frame: own calendar, lags and rolling means on the
+    dense grid, warm-up rows dropped, last-fold holdout split."""
+    f = features.lag_rolling(_dense(spark, sf_dir)).withColumns(calendar_columns("datum"))
+    keep = F.lit(True)
+    for c in SERIES_FEATURES:
+        keep = keep & F.col(c).isNotNull()
+    return features.time_split(f.where(keep), dense=True)
+
+
+def _series_coefs(spark, sf_dir):
+    return models.per_series_ridge(_series_training(spark, sf_dir), SERIES_FEATURES, "value", alpha=1.0)
+
+
+def _total_matrix(spark, sf_dir, target="Total_Sales"):
+    d = _daily(spark, sf_dir)
+    s = series_list(d)
+    fm = features.feature_matrix(ser.dense_grid(d, span="global"), s, target=target)
+    return features.time_split(fm.withColumn("series", F.lit(target)), dense=True), s
+
+
+@query
+def recursive_forecast(spark, sf_dir):
+    c = FIXED_FOLD
+    m = forecast.FoldModel(intercept=c["intercept"], calendar=[0, 0, 0, 0, 0, 0, c["is_weekend"]],
+                           lags=[c["lags"]], rolls=[c["rolls"]], share=[1.0], feed_clamped=True)
+    fc = forecast.recursive_forecast(forecast.univariate_start(_dense(spark, sf_dir)), m, 30,
+                                     model_name="fixed_linear")
+    return fc.select("series", "step", "datum", r6("predicted").alias("predicted"), "model_used")
+
+
+@query
+def score_new_points(spark, sf_dir):
+    dense = _dense(spark, sf_dir)
+    a = trends.as_of_date(dense)
+    pts = features.features_asof(dense.where(F.col("datum") <= F.date_sub(a, 7)),
+                                 dense.where(F.col("datum") > F.date_sub(a, 7)))
+    c = FIXED_SCORER
+    coefs = dense.select("series").distinct().select(
+        "series", F.lit(c["intercept"]).alias("intercept"),
+        F.array(*[F.lit(w) for w in c["weights"]]).alias("weights"))
+    s = models.score_linear(pts, coefs, c["features"], out="raw_pred")
+    return s.select("series", "datum", "value",
+                    F.round(F.greatest(F.lit(0.0), F.col("raw_pred")), 2).alias("predicted"))
+
+
+@query
+def per_series_ridge(spark, sf_dir):
+    tr = _series_training(spark, sf_dir)
+    coefs = models.per_series_ridge(tr, SERIES_FEATURES, "value", alpha=1.0)
+    scored = models.score_linear(tr.where(F.col("split") == "test"), coefs, SERIES_FEATURES)
+    m = metrics.regression_metrics(scored.select(
+        "series", F.lit("ridge").alias("model"), F.col("value").alias("actual"), "predicted"))
+    return m.select("series", "model", "n", r6("mae").alias("mae"), r6("rmse").alias("rmse"),
+                    r6("r2").alias("r2"))
+
+
+@query
+def forecast_product(spark, sf_dir):
+    start = forecast.univariate_start(_dense(spark, sf_dir)).join(_series_coefs(spark, sf_dir), "series")
+    fc = forecast.recursive_forecast(start, forecast.per_series_fold_model(), 30, model_name="ridge")
+    return fc.select("series", "step", "datum", F.round("predicted", 2).alias("predicted"), "model_used")
+
+
+@query
+def score_recent(spark, sf_dir):
+    tr = _series_training(spark, sf_dir)
+    recent = ser.tail_n(tr, 30)
+    s = models.score_linear(recent, _series_coefs(spark, sf_dir), SERIES_FEATURES)
+    return s.select("series", "datum", F.col("value").alias("actual"),
+                    F.round(F.greatest(F.lit(0.0), F.col("predicted")), 2).alias("predicted"))
+
+
+@query
+def recursive_forecast_product(spark, sf_dir):
+    d = _daily(spark, sf_dir)
+    s = series_list(d)
+    target = s[0]
+    fm, _ = _total_matrix(spark, sf_dir, target=target)
+    cols = features.feature_columns(s, target)
+    res = models.train_models(fm, cols, target, specs=[models.ModelSpec("Ridge", "ridge", {"alpha": 1.0})])
+    b, ws = models.linear_coefficients(res.models["Ridge"], cols)
+    fmod = forecast.product_fold_model(b, ws, s.index(target), len(s))
+    start = forecast.start_buffers(ser.dense_grid(d, span="global"), s, target)
+    return forecast.recursive_forecast(start, fmod, 30, model_name="Ridge")
+
+
+@query
+def model_leaderboard(spark, sf_dir):
+    fm, s = _total_matrix(spark, sf_dir)
+    res = models.train_models(fm, features.feature_columns(s), "Total_Sales", specs=models.FAST_SPECS)
+    best = models.best_by_target(res.metrics)
+    return res.metrics.join(best, "target").select(
+        "target", "model", "n", r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"),
+        (F.col("model") == F.col("best_model")).alias("is_best"))
+
+
+@query
+def feature_importance(spark, sf_dir):
+    fm, s = _total_matrix(spark, sf_dir)
+    cols = features.feature_columns(s)
+    spec = [x for x in models.FAST_SPECS if x.kind == "forest"]
+    res = models.train_models(fm, cols, "Total_Sales", specs=spec)
+    return models.feature_importance(spark, res.models[spec[0].name], cols, 10)
+
+
+@query
+def model_registry(spark, sf_dir):
+    fm, s = _total_matrix(spark, sf_dir)
+    res = models.train_models(fm, features.feature_columns(s), "Total_Sales",
+                              specs=[x for x in models.FAST_SPECS if x.kind in ("ridge", "elasticnet")])
+    root = scratch_path(spark, "models")
+    models.save_models(spark, res, root)
+    return models.load_registry(spark, root).select("target", "model", "is_best", r6("rmse").alias("rmse"))
+
+
+@query
+def predictions_long(spark, sf_dir):
+    tf = forecast.trend_forecast(_daily(spark, sf_dir), days=30).select(
+        "series", "datum", F.col("predicted_sales").alias("predicted"), "model_used")
+    start = forecast.univariate_start(_dense(spark, sf_dir)).join(_series_coefs(spark, sf_dir), "series")
+    rf = forecast.recursive_forecast(start, forecast.per_series_fold_model(), 30, model_name="ridge").select(
+        "series", "datum", F.round("predicted", 2).alias("predicted"), "model_used")
+    u = tf.unionByName(rf)
+    return u.select(F.col("datum").alias("prediction_date"), F.col("series").alias("target_product"),
+                    F.col("predicted").alias("predicted_value"), "model_used")
