@@ -385,3 +385,31 @@ SELECT series, datum, value,
                       + 0.2::DOUBLE * rolling_7 + 0.1::DOUBLE * rolling_30), 2) AS predicted
 FROM f, a WHERE datum > as_of - INTERVAL 7 DAY""",
 ))
+
+
+STREAM_FACTS = """ed AS (SELECT event_type AS series, CAST(ts AS DATE) AS datum, ROUND(SUM(value), 2) AS value
+       FROM events GROUP BY 1, 2),
+days AS (SELECT DISTINCT datum FROM ed), types AS (SELECT DISTINCT event_type AS series FROM events),
+prod AS (SELECT t.series, d.datum, COALESCE(e.value, 0.0) AS value
+         FROM days d CROSS JOIN types t LEFT JOIN ed e ON e.datum = d.datum AND e.series = t.series),
+facts AS (SELECT series, datum, value FROM prod
+          UNION ALL SELECT 'Total_Sales', datum, SUM(value) FROM prod GROUP BY datum)"""
+
+SQL.update(_q(
+    stream_process=f"WITH {STREAM_FACTS} SELECT series, datum, ROUND(value, 6) AS value FROM facts",
+    stream_anomaly=f"""
+WITH {STREAM_FACTS},
+scored AS (
+  SELECT series, datum, value,
+         COUNT(value) OVER w AS n, AVG(value) OVER w AS baseline_mean, STDDEV_SAMP(value) OVER w AS baseline_std
+  FROM facts
+  WINDOW w AS (PARTITION BY series ORDER BY datum RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW))
+SELECT series, datum, ROUND(value, 6) AS value, n, ROUND(baseline_mean, 6) AS baseline_mean,
+       ROUND(baseline_std, 6) AS baseline_std,
+       CASE WHEN value > baseline_mean THEN 'high_sales' ELSE 'low_sales' END AS alert_type,
+       CASE WHEN abs(value - baseline_mean) > 3 * baseline_std THEN 'high' ELSE 'medium' END AS severity
+FROM scored WHERE n >= 5 AND abs(value - baseline_mean) > 2 * baseline_std""",
+    stream_daily_rollup=f"""
+SELECT event_type AS series, CAST(ts AS DATE) AS datum, ROUND(SUM(value), 6) AS value, COUNT(*) AS n_events
+FROM events GROUP BY 1, 2""",
+))
