@@ -413,3 +413,33 @@ FROM scored WHERE n >= 5 AND abs(value - baseline_mean) > 2 * baseline_std""",
 SELECT event_type AS series, CAST(ts AS DATE) AS datum, ROUND(SUM(value), 6) AS value, COUNT(*) AS n_events
 FROM events GROUP BY 1, 2""",
 ))
+
+
+SQL.update(_q(
+    analysis_report=f"""
+WITH {TARGETS}, {MONTHLY.replace('FROM daily', 'FROM targets')},
+trend AS (SELECT series, regr_slope(total, month_idx) AS slope FROM resampled GROUP BY 1),
+moy AS (SELECT series, CAST(month(month) AS INTEGER) AS mo, SUM(total) / SUM(n_days) AS a FROM m GROUP BY 1, 2),
+season AS (SELECT series, stddev_samp(a) / avg(a) AS strength,
+                  first(mo ORDER BY a DESC, mo ASC) AS peak_month, first(mo ORDER BY a ASC, mo ASC) AS low_month
+           FROM moy GROUP BY 1),
+tt AS (SELECT t.slope, s.strength, s.peak_month, s.low_month FROM trend t JOIN season s USING (series)
+       WHERE series = 'Total_Sales'),
+a AS (SELECT MAX(datum) AS as_of FROM targets),
+lvl AS (SELECT AVG(t.value) AS level FROM targets t, a WHERE t.series = 'Total_Sales' AND t.datum >= a.as_of - INTERVAL 30 DAY),
+fc AS (SELECT ROUND(GREATEST(0.0, COALESCE((SELECT level FROM lvl), 50.0)
+                * (1.0 + 0.1 * sin(2 * pi() * dayofyear(d) / 365))
+                * CASE WHEN isodow(d) IN (6, 7) THEN 0.8 ELSE 1.0 END), 2) AS p
+       FROM (SELECT CAST(as_of + g * INTERVAL 1 DAY AS DATE) AS d FROM a, generate_series(1, 30) x(g)))
+SELECT (SELECT COUNT(*) FROM daily) AS n_records, (SELECT MIN(datum) FROM daily) AS first_date,
+       (SELECT MAX(datum) FROM daily) AS last_date,
+       (SELECT string_agg(series, ', ' ORDER BY series) FROM (SELECT DISTINCT series FROM daily)) AS products,
+       ROUND(slope, 6) AS trend_slope, CASE WHEN slope > 0 THEN 'Increasing' ELSE 'Decreasing' END AS trend_direction,
+       ROUND(strength, 6) AS seasonal_strength, peak_month, low_month,
+       (SELECT ROUND(AVG(p), 6) FROM fc) AS forecast_mean, (SELECT COUNT(*) FROM fc) AS forecast_days
+FROM tt""",
+    store_roundtrip=f"""
+WITH {STORE}
+SELECT series, datum, value, predicted, source, ingest_ts, strftime(datum, '%Y-%m') AS month FROM store""",
+))
+SQL["backfill_store"] = SQL["backfill_predictions"]

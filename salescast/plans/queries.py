@@ -565,3 +565,44 @@ def stream_daily_rollup(spark, sf_dir):
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     return out.select("series", "datum", r6("value").alias("value"), "n_events")
+
+
+# --- report and store round trips ---------------------------------------------
+
+from salescast.operators import report  # noqa: E402
+from salescast.sources import store as store_io  # noqa: E402
+
+
+@query
+def analysis_report(spark, sf_dir):
+    d = _daily(spark, sf_dir)
+    t = ser.all_targets(d)
+    rep = report.analysis_report(d, trends.trend_seasonality(t),
+                                 forecast.trend_forecast(t, days=30), forecast_col="predicted_sales")
+    return rep.select("n_records", "first_date", "last_date", "products",
+                      r6("trend_slope").alias("trend_slope"), "trend_direction",
+                      r6("seasonal_strength").alias("seasonal_strength"), "peak_month", "low_month",
+                      r6("forecast_mean").alias("forecast_mean"), "forecast_days")
+
+
+@query
+def store_roundtrip(spark, sf_dir):
+    root = scratch_path(spark, "store")
+    store_io.init_store(spark, root)
+    store_io.append_facts(_store(spark, sf_dir), root)
+    back = store_io.read_table(spark, root, "sales_data")
+    return back.select("series", "datum", "value", "predicted", "source", "ingest_ts", "month")
+
+
+@query
+def backfill_store(spark, sf_dir):
+    root = scratch_path(spark, "store")
+    store_io.append_facts(_store(spark, sf_dir), root)
+    st = store_io.read_table(spark, root, "sales_data")
+    means = st.groupBy("series").agg(F.round(F.avg("value"), 2).alias("new_pred"))
+    filled = serving.backfill_predictions(st, lambda rows: rows.join(means, "series"), limit=50)
+    touched = serving.tail_n(serving.needs_prediction(st), 50).select("month").distinct()
+    # rewrite only the month partitions that received a prediction
+    store_io.overwrite_months(filled.join(touched, "month", "left_semi").drop("month"), root)
+    back = store_io.read_table(spark, root, "sales_data")
+    return back.select("series", "datum", "value", "predicted")
