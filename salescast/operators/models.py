@@ -222,16 +222,19 @@ def per_series_ridge(df: DataFrame, feature_cols: list[str], label: str = "value
     space, n_train).
     """
     k = len(feature_cols)
-    x = [F.col(c).cast("double") for c in feature_cols]
-    y = F.col(label).cast("double")
+    q = [f"CAST(`{c}` AS DOUBLE)" for c in feature_cols]
+    yq = f"CAST(`{label}` AS DOUBLE)"
     tr = df if split_col is None else df.where(F.col(split_col) == "train")
-    tr = tr.where(y.isNotNull())
-    for c in x:
-        tr = tr.where(c.isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
-    aggs.append(F.array(*[F.sum(c) for c in x]).alias("sx"))
-    aggs.append(F.array(*[F.sum(c * y) for c in x]).alias("sxy"))
-    aggs.append(F.array(*[F.sum(x[i] * x[j]) for i in range(k) for j in range(k)]).alias("sxx"))
+    tr = tr.where(F.expr(" AND ".join(f"{e} IS NOT NULL" for e in [yq] + q)))
+    # X'X is symmetric: aggregate the upper triangle only.  The wide
+    # aggregate is given as SQL text so it is parsed once, not built call by
+    # call.
+    aggs = [F.count(F.lit(1)).alias("n"), F.expr(f"sum({yq})").alias("sy"),
+            F.expr(f"sum({yq} * {yq})").alias("syy"),
+            F.expr("array(" + ", ".join(f"sum({a})" for a in q) + ")").alias("sx"),
+            F.expr("array(" + ", ".join(f"sum({a} * {yq})" for a in q) + ")").alias("sxy"),
+            F.expr("array(" + ", ".join(f"sum({q[i]} * {q[j]})" for i in range(k) for j in range(i, k))
+                   + ")").alias("sxx_upper")]
     stats = tr.groupBy("series").agg(*aggs)
 
     def solve(pdf):
@@ -242,7 +245,9 @@ def per_series_ridge(df: DataFrame, feature_cols: list[str], label: str = "value
             n = float(r.n)
             sx = np.asarray(r.sx, dtype=float)
             sxy = np.asarray(r.sxy, dtype=float)
-            sxx = np.asarray(r.sxx, dtype=float).reshape(k, k)
+            sxx = np.zeros((k, k))
+            sxx[np.triu_indices(k)] = np.asarray(r.sxx_upper, dtype=float)
+            sxx = sxx + np.triu(sxx, 1).T
             mu, ybar = sx / n, r.sy / n
             cxx = sxx - n * np.outer(mu, mu)          # centred Gram
             cxy = sxy - n * mu * ybar

@@ -17,8 +17,21 @@ from salescast.schemas import TOTAL_SERIES
 DEFAULT_BUCKET_DAYS = 366
 
 
+def first_day(c: str = "datum", v: str = "value") -> Column:
+    """min(datum) written over (datum, value).  Referencing the aggregated
+    value keeps the optimizer from rewriting a bound of a rolled-up frame
+    into a bound over the raw fact rows -- which would scan the facts a
+    second time instead of sharing the rolled-up shuffle."""
+    return F.min(F.struct(c, v))[c]
+
+
+def last_day(c: str = "datum", v: str = "value") -> Column:
+    """max(datum), see first_day."""
+    return F.max(F.struct(c, v))[c]
+
+
 def series_bounds(daily: DataFrame) -> DataFrame:
-    return daily.groupBy("series").agg(F.min("datum").alias("lo"), F.max("datum").alias("hi"))
+    return daily.groupBy("series").agg(first_day().alias("lo"), last_day().alias("hi"))
 
 
 def dense_grid(daily: DataFrame, span: str = "series", fill: float | None = 0.0) -> DataFrame:
@@ -32,8 +45,8 @@ def dense_grid(daily: DataFrame, span: str = "series", fill: float | None = 0.0)
         cal = series_bounds(daily).select(
             "series", F.explode(F.sequence("lo", "hi")).alias("datum"))
     elif span == "global":
-        lo = daily.agg(F.min("datum")).scalar()
-        hi = daily.agg(F.max("datum")).scalar()
+        lo = daily.agg(first_day()).scalar()
+        hi = daily.agg(last_day()).scalar()
         cal = daily.select("series").distinct().select(
             "series", F.explode(F.sequence(lo, hi)).alias("datum"))
     else:
@@ -68,7 +81,7 @@ def future_dates(daily: DataFrame, days: int, as_of: Column | None = None) -> Da
     """N consecutive days after each series' last date (or after `as_of`)."""
     if days < 1:
         raise ValueError("days must be >= 1")
-    b = daily.groupBy("series").agg(F.max("datum").alias("last"))
+    b = daily.groupBy("series").agg(last_day().alias("last"))
     start = F.col("last") if as_of is None else as_of
     return b.select(
         "series",

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from salescast.functions import calendar as cal
 from salescast.functions import columns as col
+from salescast.operators.series import last_day
 
 
 def as_of_date(daily: DataFrame, as_of=None) -> Column:
     """Explicit reference date; default is the latest datum (scalar subquery)."""
     if as_of is None:
-        return daily.agg(F.max("datum")).scalar()
+        return daily.agg(last_day()).scalar()
     return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
 
 
@@ -69,7 +70,8 @@ def _monthly(daily: DataFrame) -> DataFrame:
 
 
 def _resample(m: DataFrame) -> DataFrame:
-    b = m.groupBy("series").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    b = m.groupBy("series").agg(F.min(F.struct("month", "total"))["month"].alias("lo"),
+                                F.max(F.struct("month", "total"))["month"].alias("hi"))
     spine = b.select("series", "lo", F.explode(
         F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month"))
     return spine.join(m, ["series", "month"], "left").select(
