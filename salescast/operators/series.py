@@ -42,9 +42,8 @@ def dense_grid(daily: DataFrame, span: str = "series", fill: float | None = 0.0)
     enter as a one-row scalar subquery, not a join).
     """
     if span == "series":
-        cal = series_bounds(daily).select(
-            "series", F.explode(F.sequence("lo", "hi")).alias("datum"))
-    elif span == "global":
+        return _gap_fill(daily, fill)
+    if span == "global":
         lo = daily.agg(first_day()).scalar()
         hi = daily.agg(last_day()).scalar()
         cal = daily.select("series").distinct().select(
@@ -56,6 +55,21 @@ def dense_grid(daily: DataFrame, span: str = "series", fill: float | None = 0.0)
     return out.select("series", "datum", v.alias("value"))
 
 
+def _gap_fill(daily: DataFrame, fill: float | None) -> DataFrame:
+    """Per-series dense grid in one pass: every row also emits the missing
+    days up to the series' next row.  One shuffle by series over the
+    daily-grain frame (a series holds at most one row per calendar day), no
+    bounds aggregate and no join back."""
+    w = Window.partitionBy("series").orderBy("datum")
+    end = F.greatest(F.col("datum"), F.coalesce(F.date_sub(F.lead("datum").over(w), 1), F.col("datum")))
+    x = daily.select("series", "datum", "value", end.alias("_end"))
+    x = x.select("series", "value", F.posexplode(F.sequence("datum", "_end")).alias("_i", "_d"))
+    first = F.col("value") if fill is None else F.coalesce("value", F.lit(float(fill)))
+    gap = F.lit(None).cast("double") if fill is None else F.lit(float(fill))
+    return x.select("series", F.col("_d").alias("datum"),
+                    F.when(F.col("_i") == 0, first).otherwise(gap).alias("value"))
+
+
 def total_series(daily: DataFrame, name: str = TOTAL_SERIES) -> DataFrame:
     """Row total across series per day (missing series count as 0)."""
     return daily.groupBy("datum").agg(
