@@ -31,7 +31,7 @@ def _bad_single_partition(plan: str) -> list[str]:
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             child = lines[i + 1] if i + 1 < len(lines) else ""
-            if not ("Aggregate(keys=[]" in child and "partial_" in child):
+            if not (("Aggregate(keys=[]" in child or "Aggregate(key=[]" in child) and "partial_" in child):
                 bad.append(line.strip() + " <- " + child.strip())
     return bad
 
