@@ -171,9 +171,27 @@ def save_models(spark: SparkSession, result: TrainResult, root: str) -> DataFram
                      name == result.best, now))
     reg = spark.createDataFrame(rows, schemas.MODEL_REGISTRY)
     reg.write.mode("append").parquet(f"{root.rstrip('/')}/_registry")
+    write_metrics_json(result.metrics, root, result.target)
     return reg
 
 
+METRICS_SCHEMA = T.StructType([
+    T.StructField("target", T.StringType()), T.StructField("model", T.StringType()),
+    T.StructField("n", T.LongType()), T.StructField("mae", T.DoubleType()),
+    T.StructField("rmse", T.DoubleType()), T.StructField("r2", T.DoubleType())])
+
+
+def write_metrics_json(metrics: DataFrame, root: str, target: str) -> None:
+    """Per-target metrics as JSON lines under root/<target>/_metrics."""
+    metrics.select(*[f.name for f in METRICS_SCHEMA.fields]).coalesce(1).write.mode("overwrite").json(
+        f"{root.rstrip('/')}/{target}/_metrics")
+
+
+def read_metrics_json(spark: SparkSession, root: str, target: str = "*") -> DataFrame:
+    """Read metrics back with an explicit schema (no inference)."""
+    return spark.read.schema(METRICS_SCHEMA).json(f"{root.rstrip('/')}/{target}/_metrics")
+
+
 def load_registry(spark: SparkSession, root: str) -> DataFrame:
     """Latest registry row per (target, model)."""
     r = spark.read.schema(schemas.MODEL_REGISTRY).parquet(f"{root.rstrip('/')}/_registry")

@@ -443,3 +443,16 @@ WITH {STORE}
 SELECT series, datum, value, predicted, source, ingest_ts, strftime(datum, '%Y-%m') AS month FROM store""",
 ))
 SQL["backfill_store"] = SQL["backfill_predictions"]
+
+
+SQL.update(_q(
+    stream_predictions=f"""
+WITH {STREAM_FACTS},
+f AS (SELECT series, datum, value, {', '.join(_lag_cols(LAGS, True) + _roll_cols(WINDOWS, False)).replace('PARTITION BY series ORDER BY datum', 'PARTITION BY series ORDER BY datum')}
+      FROM facts)
+SELECT datum AS prediction_date, series AS target_product,
+       ROUND(GREATEST(0.0, 1.0::DOUBLE + 0.3::DOUBLE * lag_1 + 0.3::DOUBLE * lag_7
+                      + 0.2::DOUBLE * rolling_7 + 0.1::DOUBLE * rolling_30), 6) AS predicted_value,
+       'fixed_linear' AS model_used
+FROM f WHERE lag_1 IS NOT NULL""",
+))

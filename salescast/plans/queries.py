@@ -492,7 +492,9 @@ def model_registry(spark, sf_dir):
                               specs=[x for x in models.FAST_SPECS if x.kind in ("ridge", "elasticnet")])
     root = scratch_path(spark, "models")
     models.save_models(spark, res, root)
-    return models.load_registry(spark, root).select("target", "model", "is_best", r6("rmse").alias("rmse"))
+    reg = models.load_registry(spark, root).select("target", "model", "is_best")
+    met = models.read_metrics_json(spark, root).select("target", "model", r6("rmse").alias("rmse"))
+    return reg.join(met, ["target", "model"])
 
 
 @query
@@ -502,9 +504,14 @@ def predictions_long(spark, sf_dir):
     start = forecast.univariate_start(_dense(spark, sf_dir)).join(_series_coefs(spark, sf_dir), "series")
     rf = forecast.recursive_forecast(start, forecast.per_series_fold_model(), 30, model_name="ridge").select(
         "series", "datum", F.round("predicted", 2).alias("predicted"), "model_used")
-    u = tf.unionByName(rf)
-    return u.select(F.col("datum").alias("prediction_date"), F.col("series").alias("target_product"),
-                    F.col("predicted").alias("predicted_value"), "model_used")
+    u = tf.unionByName(rf).select(F.col("datum").alias("prediction_date"),
+                                  F.col("series").alias("target_product"),
+                                  F.col("predicted").alias("predicted_value"), "model_used",
+                                  F.col("datum").cast("timestamp").alias("ts"))
+    root = scratch_path(spark, "store")
+    store_io.append_predictions(u, root)
+    return store_io.read_table(spark, root, "predictions").select(
+        "prediction_date", "target_product", "predicted_value", "model_used")
 
 
 # --- streaming ----------------------------------------------------------------
@@ -526,11 +533,25 @@ def _stream_fixture(spark, sf_dir):
     return root, in_dir
 
 
+def _fixed_predictor(history, batch_facts):
+    """Score each batch day from the rows before it (history and earlier
+    days of the batch) with the fixed linear scorer."""
+    pts = features.features_asof(history, batch_facts)
+    c = FIXED_SCORER
+    coefs = batch_facts.select("series").distinct().select(
+        "series", F.lit(c["intercept"]).alias("intercept"),
+        F.array(*[F.lit(w) for w in c["weights"]]).alias("weights"))
+    s = models.score_linear(pts, coefs, c["features"], out="raw_pred").where(F.col("raw_pred").isNotNull())
+    return s.select(F.col("datum").alias("prediction_date"), F.col("series").alias("target_product"),
+                    F.greatest(F.lit(0.0), F.col("raw_pred")).alias("predicted_value"),
+                    F.lit("fixed_linear").alias("model_used"))
+
+
 def _run_stream_process(spark, sf_dir):
     root, in_dir = _stream_fixture(spark, sf_dir)
     prods = _event_products(spark, sf_dir)
     codes = series_list(prods.withColumnRenamed("code", "series"))
-    proc = stream.BatchProcessor(f"{root}/store", prods, codes)
+    proc = stream.BatchProcessor(f"{root}/store", prods, codes, predictor=_fixed_predictor)
     q = stream.run_ingest(spark, f"{in_dir}/*", f"{root}/store", f"{root}/_ckpt", proc,
                           max_files_per_trigger=1)
     q.awaitTermination()
@@ -553,6 +574,14 @@ def stream_anomaly(spark, sf_dir):
                     "alert_type", "severity")
 
 
+@query
+def stream_predictions(spark, sf_dir):
+    root = _run_stream_process(spark, sf_dir)
+    p = spark.read.parquet(f"{root}/store/predictions")
+    return p.select("prediction_date", "target_product", r6("predicted_value").alias("predicted_value"),
+                    "model_used")
+
+
 @query
 def stream_daily_rollup(spark, sf_dir):
     root = scratch_path(spark, "rollup")

@@ -59,7 +59,13 @@ class BatchProcessor:
 
     def __init__(self, root: str, products: DataFrame, product_codes: list[str],
                  scorer: Callable[[DataFrame], DataFrame] | None = None,
-                 baseline_days: int = BASELINE_DAYS, source: str = "realtime"):
+                 baseline_days: int = BASELINE_DAYS, source: str = "realtime",
+                 predictor: Callable[[DataFrame, DataFrame], DataFrame] | None = None):
+        """scorer: facts -> facts with `predicted` (stored with the facts).
+        predictor: (store slice before the batch, batch facts) -> rows of
+        (prediction_date, target_product, predicted_value, model_used),
+        appended to the predictions table (one row per target and model)."""
+        self.predictor = predictor
         self.root = root
         self.products = products
         self.codes = product_codes
@@ -86,12 +92,28 @@ class BatchProcessor:
                 "series", "datum", F.col("value").cast("double"), F.col("predicted").cast("double"),
                 F.lit(self.source).alias("source"), F.current_timestamp().alias("ingest_ts"),
                 F.date_format("datum", "yyyy-MM").alias("month"), F.lit(batch_id).cast("long").alias("batch"))
+            if self.predictor is not None:
+                self._predict(spark, valid, facts, batch_id)
             (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("month", "batch").parquet(_p(self.root, "sales_data")))
             self._check_anomalies(spark, valid, batch_id)
         finally:
             validated.unpersist()
 
+    def _predict(self, spark: SparkSession, valid: DataFrame, facts: DataFrame, batch_id: int) -> None:
+        """Score the batch days from the store state before the batch."""
+        try:
+            hist = read_facts(spark, self.root).where(F.col("batch") != batch_id)
+            hist.limit(0).collect()
+        except Exception:  # noqa: BLE001 - empty store on the first batch
+            hist = spark.createDataFrame([], FACTS)
+        preds = self.predictor(hist.select("series", "datum", "value"), facts.select("series", "datum", "value"))
+        (preds.select(F.current_timestamp().alias("ts"), "prediction_date", "target_product",
+                      F.col("predicted_value").cast("double"), "model_used",
+                      F.lit(batch_id).cast("long").alias("batch"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch").parquet(_p(self.root, "predictions")))
+
     def _check_anomalies(self, spark: SparkSession, valid: DataFrame, batch_id: int) -> None:
         """Alerts for this batch's rows, each against the store's trailing
         window (store already holds the batch: insert before check)."""
