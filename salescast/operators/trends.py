@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salescast.functions import calendar as cal
@@ -70,14 +70,21 @@ def _monthly(daily: DataFrame) -> DataFrame:
 
 
 def _resample(m: DataFrame) -> DataFrame:
-    b = m.groupBy("series").agg(F.min(F.struct("month", "total"))["month"].alias("lo"),
-                                F.max(F.struct("month", "total"))["month"].alias("hi"))
-    spine = b.select("series", "lo", F.explode(
-        F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    return spine.join(m, ["series", "month"], "left").select(
-        "series", "month",
-        F.coalesce("total", F.lit(0.0)).alias("total"),
-        F.months_between("month", "lo").cast("int").alias("month_idx"),
+    """Fill empty months with 0 in one window pass over the monthly frame:
+    each month also emits the empty months up to the series' next month;
+    the series' first month (for the index) comes from the same window."""
+    w = Window.partitionBy("series").orderBy("month")
+    end = F.coalesce(F.add_months(F.lead("month").over(w), -1), F.col("month"))
+    x = m.select("series", "month", "total", "n_days", F.first("month").over(w).alias("_lo"),
+                 F.greatest(F.col("month"), end).alias("_end"))
+    x = x.select("series", "total", "n_days", "_lo",
+                 F.posexplode(F.sequence("month", "_end", F.expr("INTERVAL 1 MONTH"))).alias("_i", "_m"))
+    own = F.col("_i") == 0
+    return x.select(
+        "series", F.col("_m").alias("month"),
+        F.when(own, F.col("total")).otherwise(F.lit(0.0)).alias("total"),
+        F.months_between("_m", "_lo").cast("int").alias("month_idx"),
+        F.when(own, F.col("n_days")).otherwise(F.lit(0)).cast("long").alias("n_days"),
     )
 
 
@@ -105,9 +112,12 @@ def trend_seasonality(daily: DataFrame) -> DataFrame:
     seasonal strength (sample stddev / mean of the month-of-year averages),
     peak and low month (earliest month on ties)."""
     m = _monthly(daily)
+    # Both branches read the same monthly aggregate (sum and day count), so
+    # its shuffle -- and the fact scan below it -- is shared.
     trend = _resample(m).groupBy("series").agg(
         F.regr_slope("total", "month_idx").alias("trend_slope"),
-        F.count(F.lit(1)).alias("n_months"))
+        F.count(F.lit(1)).alias("n_months"),
+        F.sum("n_days").alias("n_days"))
     moy = m.groupBy("series", F.month("month").alias("month")).agg(
         (F.sum("total") / F.sum("n_days")).alias("avg_value"))
     season = moy.groupBy("series").agg(

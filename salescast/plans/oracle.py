@@ -36,7 +36,8 @@ mb AS (SELECT series, MIN(month) AS lo, MAX(month) AS hi FROM m GROUP BY 1),
 spine AS (SELECT series, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month FROM mb),
 resampled AS (
   SELECT s.series, s.month, COALESCE(m.total, 0.0) AS total,
-         CAST(datediff('month', s.lo, s.month) AS INTEGER) AS month_idx
+         CAST(datediff('month', s.lo, s.month) AS INTEGER) AS month_idx,
+         COALESCE(m.n_days, 0) AS n_days
   FROM spine s LEFT JOIN m ON s.series = m.series AND s.month = m.month)"""
 
 
@@ -64,7 +65,7 @@ SELECT t.series, ROUND(t.slope, 6) AS trend_slope,
 FROM trend t JOIN season s ON t.series = s.series""",
     monthly_resample=f"""
 WITH {DAILY}, {MONTHLY}
-SELECT series, month, total, month_idx FROM resampled""",
+SELECT series, month, total, month_idx, n_days FROM resampled""",
     seasonal_profile=f"""
 WITH {DAILY}
 SELECT series, CAST(month(datum) AS INTEGER) AS month, AVG(value) AS avg_value

@@ -82,3 +82,11 @@ def test_feature_matrix_drops_warmup(spark):
     assert fm.count() == 30
     assert len(fm.columns) == 1 + 7 + 2 * 9 + 1
     assert fm.agg(F.min("datum")).first()[0].isoformat() == "2019-12-31"
+
+
+def test_dense_grid_global_span_fills_both_ends(spark):
+    df = daily_df(spark, [("A", "2020-01-03", 1.0), ("A", "2020-01-05", 2.0),
+                          ("B", "2020-01-01", 3.0), ("B", "2020-01-02", 4.0)])
+    got = sorted((r.series, r.datum.day, r.value) for r in ser.dense_grid(df, span="global").collect())
+    assert got == [("A", 1, 0.0), ("A", 2, 0.0), ("A", 3, 1.0), ("A", 4, 0.0), ("A", 5, 2.0),
+                   ("B", 1, 3.0), ("B", 2, 4.0), ("B", 3, 0.0), ("B", 4, 0.0), ("B", 5, 0.0)]
