@@ -257,3 +257,48 @@ def product_fold_model(intercept: float, weights: list[float], target_idx: int,
         mean_w=mean_w,
         share=[1.0 if p == target_idx else 0.0 for p in range(P)],
         hold=[0.0 if p == target_idx else 1.0 for p in range(P)], feed_clamped=False)
+
+
+def recursive_forecast_pipeline(start: DataFrame, model, series: list[str], shares: list[float],
+                                horizon: int = 30, lags=(1, 3, 7, 14, 30), windows=(3, 7, 14, 30),
+                                checkpoint_every: int = 1, buffer_len: int = BUFFER_DAYS,
+                                model_name: str = "model") -> DataFrame:
+    """Recursive total forecast with any fitted pipeline (e.g. a tree model).
+
+    A non-linear model cannot be folded into one expression, so this is a
+    loop over horizon *steps* (not rows): each step derives the feature
+    columns of every start row from its buffers, runs one distributed
+    `transform` over all rows, and pushes share * prediction into each
+    buffer.  Lineage is cut with a reliable `checkpoint()` (to the session's
+    checkpoint folder) every `checkpoint_every` steps -- by default every
+    step: the state is one small row per series, while an uncut chain lets
+    each step's expressions be inlined into the next and grow with depth.
+    """
+    from salescast.session import checkpoint_dir
+    checkpoint_dir(start.sparkSession)
+    state = start.select("series", "last", "bufs", F.array().cast("array<double>").alias("out"),
+                         F.lit(1).alias("_step"))
+    P = len(series)
+    # Feature and update expressions are built once (the step number is a
+    # column), so each step only re-plans, it does not rebuild them.
+    d = F.date_add(F.col("last"), F.col("_step"))
+    cols = {k: v.cast("double") for k, v in calendar_columns(d).items()}
+    for p, s in enumerate(series):
+        b = F.element_at(F.col("bufs"), p + 1)
+        for k in lags:
+            cols[f"{s}_lag_{k}"] = _lag(b, k)
+        for w in windows:
+            cols[f"{s}_rolling_{w}"] = _tail_mean(b, w)
+    y = F.col("prediction")
+    new_bufs = F.array(*[_push(F.element_at(F.col("bufs"), p + 1), F.lit(float(shares[p])) * y, buffer_len)
+                         for p in range(P)]).alias("bufs")
+    new_out = F.concat(F.col("out"), F.array(F.greatest(F.lit(0.0), y))).alias("out")
+    next_step = (F.col("_step") + 1).alias("_step")
+    for i in range(1, horizon + 1):
+        scored = model.transform(state.withColumns(cols))
+        state = scored.select("series", "last", new_bufs, new_out, next_step)
+        if checkpoint_every and i % checkpoint_every == 0 and i < horizon:
+            state = state.checkpoint(eager=True)
+    return state.select("series", "last", F.posexplode("out").alias("step0", "predicted")).select(
+        "series", (F.col("step0") + 1).alias("step"), F.date_add("last", F.col("step0") + 1).alias("datum"),
+        "predicted", F.lit(model_name).alias("model_used"))

@@ -635,3 +635,18 @@ def backfill_store(spark, sf_dir):
     store_io.overwrite_months(filled.join(touched, "month", "left_semi").drop("month"), root)
     back = store_io.read_table(spark, root, "sales_data")
     return back.select("series", "datum", "value", "predicted")
+
+
+@query
+def recursive_forecast_tree(spark, sf_dir):
+    """Total forecast with a tree model: step loop + periodic checkpoints."""
+    d = _daily(spark, sf_dir)
+    fm, s = _total_matrix(spark, sf_dir)
+    cols = features.feature_columns(s)
+    spec = [x for x in models.FAST_SPECS if x.kind == "forest"]
+    res = models.train_models(fm, cols, "Total_Sales", specs=spec)
+    g = ser.dense_grid(d, span="global")
+    shares = {r["series"]: r["share"] for r in ser.product_mix(g).collect()}
+    start = forecast.start_buffers(g, s, "Total_Sales")
+    return forecast.recursive_forecast_pipeline(start, res.models[spec[0].name], s, [shares[x] for x in s],
+                                                30, model_name=spec[0].name)
