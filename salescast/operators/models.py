@@ -148,6 +148,35 @@ def train_models(fm: DataFrame, feature_cols: list[str], target: str,
     return TrainResult(target, models, met, pred, best, feature_cols)
 
 
+def train_all_targets(frames: dict, specs: list[ModelSpec] | None = None,
+                      parallelism: int = 4) -> dict[str, TrainResult]:
+    """Train and compare models for a few targets at once.
+
+    `frames` maps target -> (feature frame with split, feature columns).  The
+    targets are submitted from a small driver thread pool so their
+    (distributed) fits overlap on the cluster; for many series use
+    `per_series_ridge`, which fits all of them in one job.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(item):
+        target, (fm, cols) = item
+        return target, train_models(fm, cols, target, specs)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return dict(pool.map(one, frames.items()))
+
+
+def leaderboard(results: dict[str, TrainResult]) -> DataFrame:
+    """All targets' metrics in one frame, with each target's best model."""
+    mets = [r.metrics for r in results.values()]
+    m = mets[0]
+    for x in mets[1:]:
+        m = m.unionByName(x)
+    best = best_by_target(m)
+    return m.join(best, "target").withColumn("is_best", F.col("model") == F.col("best_model")).drop("best_model")
+
+
 def best_by_target(metrics: DataFrame, rule: str = "rmse") -> DataFrame:
     """Best model per target: min RMSE (or max R^2); ties -> smaller name."""
     if rule == "rmse":

@@ -25,6 +25,12 @@ SCALE_CONF = {
     # anything larger falls back to a shuffled sort-merge join.
     "spark.sql.autoBroadcastJoinThreshold": str(16 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(16 * 1024 * 1024),
+    # Shuffle partitions are sized at runtime: AQE coalesces small ones
+    # towards the advisory size and splits skewed ones; scans split files at
+    # maxPartitionBytes.  `spark.sql.shuffle.partitions` is only the upper
+    # bound to start from (set per cluster size).
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }

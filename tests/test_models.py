@@ -61,3 +61,17 @@ def test_fast_leaderboard_and_registry(spark, tmp_path):
     assert pm.transform(fm.where("split = 'test'")).count() == fm.where("split = 'test'").count()
     imp = models.feature_importance(spark, res.models["RandomForest"], cols, 5)
     assert imp.count() == 5
+
+
+def test_train_all_targets_parallel(spark):
+    rnd = random.Random(9)
+    frames = {}
+    for t in ("T1", "T2"):
+        rows = consecutive("X", "2020-01-01", [float(30 + rnd.randint(-5, 5)) for _ in range(200)])
+        f = features.lag_rolling(daily_df(spark, rows)).na.drop()
+        f = features.time_split(f, dense=True).withColumnRenamed("value", t)
+        frames[t] = (f, features.lag_names() + features.rolling_names())
+    lin = [s for s in models.FAST_SPECS if s.kind in ("ridge", "elasticnet")]
+    res = models.train_all_targets(frames, lin, parallelism=2)
+    lb = models.leaderboard(res)
+    assert lb.count() == 4 and lb.where("is_best").count() == 2
