@@ -47,16 +47,6 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders rolled up to (series=o_orderpriority, datum, value=count)."""
-    o = read_table(spark, sf_dir, "orders", "o_orderpriority", "o_orderdate")
-    return (
-        o.groupBy(F.col("o_orderpriority").alias("series"),
-                  F.to_date("o_orderdate").alias("datum"))
-        .agg(F.count(F.lit(1)).cast("double").alias("value"))
-    )
-
-
 def part_catalog(spark: SparkSession, sf_dir: str, series_col: str = "p_type") -> DataFrame:
     """Product dimension for the test binding: one row per distinct series."""
     return (
