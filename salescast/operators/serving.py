@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salescast.operators.series import tail_n
+from salescast.operators.series import bucketed_window, tail_n
 from salescast.operators.trends import as_of_date
 
 # --- fixed values ---------------------------------------------------------------
@@ -25,16 +25,22 @@ def check_days(days: int) -> int:
 
 
 def naive_predictions(dense: DataFrame, lag: int = 7) -> DataFrame:
-    """Same-weekday-last-week scorer: predicted = value `lag` rows back."""
-    w = Window.partitionBy("series").orderBy("datum")
-    return dense.withColumn("predicted", F.lag("value", lag).over(w))
+    """Same-weekday-last-week scorer on a dense grid: predicted = value `lag`
+    rows back (calendar-bucketed window, see series.bucketed_window)."""
+    return bucketed_window(dense, lag, lambda x, w: x.withColumn("predicted", F.lag("value", lag).over(w)))
 
 
 def recent_rows(store: DataFrame, days: int = 7, as_of=None) -> DataFrame:
     """Rows with datum >= as_of - days (inclusive, no upper bound)."""
     check_days(days)
     a = as_of_date(store, as_of)
-    return store.where(F.col("datum") >= F.date_sub(a, days))
+    lo = F.date_sub(a, days)
+    cond = F.col("datum") >= lo
+    if "month" in store.columns:
+        # The store is partitioned by 'yyyy-MM'; the same bound on the
+        # partition column lets the scan skip whole months.
+        cond = (F.col("month") >= F.date_format(lo, "yyyy-MM")) & cond
+    return store.where(cond)
 
 
 def actual_vs_predicted(actuals: DataFrame, predictions: DataFrame, n: int = 30) -> DataFrame:

@@ -42,3 +42,17 @@ def test_no_single_partition_exchange_in_fact_operators(spark):
                  "forecast_product", "actual_vs_predicted"):
         df = E.queries()[name](spark, SF001)
         assert _bad_single_partition(_plan(df)) == [], name
+
+
+def test_recent_rows_prune_store_months(spark, tmp_path):
+    import datetime as dt
+
+    from salescast.sources import store as store_io
+    rows = [("A", dt.date(2023, m, 1), float(m)) for m in range(1, 13)]
+    df = spark.createDataFrame(rows, "series string, datum date, value double")
+    root = str(tmp_path / "store")
+    store_io.append_facts(df, root)
+    st = store_io.read_table(spark, root, "sales_data")
+    r = serving.recent_rows(st, days=40, as_of="2023-12-01")
+    assert sorted(x.datum.month for x in r.collect()) == [11, 12]
+    assert "PartitionFilters: [isnotnull(month" in _plan(r) and "GreaterThanOrEqual(datum" in _plan(r)
