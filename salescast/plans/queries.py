@@ -87,9 +87,17 @@ def _dense(spark, sf_dir):
     return ser.dense_grid(_daily(spark, sf_dir))
 
 
-def series_list(daily: DataFrame) -> list[str]:
-    """Distinct series codes (a small dimension) for wide layouts."""
-    return [r[0] for r in daily.select("series").distinct().orderBy("series").collect()]
+def series_list(codes: DataFrame) -> list[str]:
+    """Distinct codes of a small dimension frame (column `series`), sorted,
+    for wide layouts that need their column list up front."""
+    return [r[0] for r in codes.select("series").distinct().orderBy("series").collect()]
+
+
+def _series_domain(spark, sf_dir):
+    """Series codes of the p_type binding, read from the part dimension (a
+    small column scan) rather than from the rolled-up facts."""
+    return series_list(tables.read_table(spark, sf_dir, "part", "p_type")
+                       .where(F.col("p_type").isNotNull()).select(F.col("p_type").alias("series")))
 
 
 @query
@@ -110,13 +118,13 @@ def all_targets(spark, sf_dir):
 @query
 def pivot_daily(spark, sf_dir):
     d = _daily(spark, sf_dir)
-    return ser.pivot_wide(d, series_list(d))
+    return ser.pivot_wide(d, _series_domain(spark, sf_dir))
 
 
 @query
 def unpivot_roundtrip(spark, sf_dir):
     d = _daily(spark, sf_dir)
-    s = series_list(d)
+    s = _series_domain(spark, sf_dir)
     return ser.unpivot_long(ser.pivot_wide(d, s), s).where(F.col("value").isNotNull())
 
 
@@ -163,7 +171,7 @@ def rolling_features(spark, sf_dir):
 @query
 def feature_matrix(spark, sf_dir):
     d = _daily(spark, sf_dir)
-    return features.feature_matrix(ser.dense_grid(d, span="global"), series_list(d))
+    return features.feature_matrix(ser.dense_grid(d, span="global"), _series_domain(spark, sf_dir))
 
 
 @query
@@ -395,7 +403,7 @@ def _series_coefs(spark, sf_dir):
 
 def _total_matrix(spark, sf_dir, target="Total_Sales"):
     d = _daily(spark, sf_dir)
-    s = series_list(d)
+    s = _series_domain(spark, sf_dir)
     fm = features.feature_matrix(ser.dense_grid(d, span="global"), s, target=target)
     return features.time_split(fm.withColumn("series", F.lit(target)), dense=True), s
 
@@ -455,7 +463,7 @@ def score_recent(spark, sf_dir):
 @query
 def recursive_forecast_product(spark, sf_dir):
     d = _daily(spark, sf_dir)
-    s = series_list(d)
+    s = _series_domain(spark, sf_dir)
     target = s[0]
     fm, _ = _total_matrix(spark, sf_dir, target=target)
     cols = features.feature_columns(s, target)
