@@ -73,7 +73,7 @@ def test_trend_forecast_fallback_level(spark):
     assert abs(fc.predicted_sales / 50.0 - 1) < 0.2
 
 
-@pytest.mark.skipif(not os.path.exists(WIDE_FILE), reason="daily history file not present")
+@pytest.mark.skipif(not WIDE_FILE or not os.path.exists(WIDE_FILE), reason="SALESCAST_WIDE_HISTORY not set")
 def test_total_forecast_golden(spark):
     from salescast import schemas
     from salescast.operators import features, models, series as ser
