@@ -120,14 +120,13 @@ def feature_columns(series: list[str], target: str = TOTAL_SERIES) -> list[str]:
 def _positions(df: DataFrame, dense: bool) -> DataFrame:
     """0-based row position and row count per series.
 
-    dense=True: position = days since the series' first day (count and
-    first day from one unordered window over the daily-grain series, no
-    second pass over the inputs).  dense=False: row_number over the series.
+    dense=True: position = days since the series' first day; the count and
+    first day come from a small per-series aggregate joined back, so no task
+    holds a whole series.  dense=False: row_number over the series.
     """
     if dense:
-        w = Window.partitionBy("series")
-        return df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn(
-            "_pos", F.datediff("datum", F.min("datum").over(w)))
+        st = df.groupBy("series").agg(F.min("datum").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+        return df.join(st, "series").withColumn("_pos", F.datediff("datum", "_lo")).drop("_lo")
     w = Window.partitionBy("series")
     return df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn(
         "_pos", F.row_number().over(w.orderBy("datum")) - 1)

@@ -40,37 +40,23 @@ def dense_grid(daily: DataFrame, span: str = "series", fill: float | None = 0.0)
     span='series': each series from its own first to last day.
     span='global': every series over the overall first..last day (the bounds
     enter as one struct-valued scalar subquery, not a join).
+
+    The calendar comes from a small per-series bounds aggregate, is exploded
+    and joined back on (series, datum) -- the key the roll-up is already
+    partitioned by -- so no task ever holds a whole series.
     """
     if span == "series":
-        return _gap_fill(daily, fill)
-    if span == "global":
-        bounds = daily.agg(F.struct(first_day().alias("lo"), last_day().alias("hi"))).scalar()
-        return _gap_fill(daily, fill, bounds)
-    raise ValueError(f"span must be 'series' or 'global', got {span!r}")
-
-
-def _gap_fill(daily: DataFrame, fill: float | None, bounds: Column | None = None) -> DataFrame:
-    """Dense grid in one pass: every row also emits the missing days up to
-    its series' next row.  With `bounds` (a struct<lo, hi> scalar) the first
-    row of a series also fills back to `lo` and the last one forward to `hi`.
-    One shuffle by series over the daily-grain frame (a series holds at most
-    one row per calendar day), no bounds aggregate and no join back."""
-    w = Window.partitionBy("series").orderBy("datum")
-    nxt = F.date_sub(F.lead("datum").over(w), 1)
-    if bounds is None:
-        start = F.col("datum")
-        end = F.coalesce(nxt, F.col("datum"))
+        cal = series_bounds(daily).select(
+            "series", F.explode(F.sequence("lo", "hi")).alias("datum"))
+    elif span == "global":
+        b = daily.agg(F.struct(first_day().alias("lo"), last_day().alias("hi"))).scalar()
+        cal = daily.groupBy("series").agg(F.count(F.lit(1)).alias("_n")).select(
+            "series", F.explode(F.sequence(b["lo"], b["hi"])).alias("datum"))
     else:
-        start = F.when(F.lag("datum").over(w).isNull(), F.least(bounds["lo"], F.col("datum"))) \
-            .otherwise(F.col("datum"))
-        end = F.coalesce(nxt, F.greatest(bounds["hi"], F.col("datum")))
-    x = daily.select("series", "datum", "value", start.alias("_start"),
-                     F.greatest(F.col("datum"), end).alias("_end"))
-    x = x.select("series", "datum", "value", F.explode(F.sequence("_start", "_end")).alias("_d"))
-    first = F.col("value") if fill is None else F.coalesce("value", F.lit(float(fill)))
-    gap = F.lit(None).cast("double") if fill is None else F.lit(float(fill))
-    return x.select("series", F.col("_d").alias("datum"),
-                    F.when(F.col("_d") == F.col("datum"), first).otherwise(gap).alias("value"))
+        raise ValueError(f"span must be 'series' or 'global', got {span!r}")
+    out = cal.join(daily.select("series", "datum", "value"), ["series", "datum"], "left")
+    v = F.col("value") if fill is None else F.coalesce("value", F.lit(float(fill)))
+    return out.select("series", "datum", v.alias("value"))
 
 
 def total_series(daily: DataFrame, name: str = TOTAL_SERIES) -> DataFrame:
