@@ -457,3 +457,12 @@ SELECT datum AS prediction_date, series AS target_product,
        'fixed_linear' AS model_used
 FROM f WHERE lag_1 IS NOT NULL""",
 ))
+
+
+SQL["predictions_long"] = f"""
+WITH fc_trend AS ({SQL["trend_forecast"]}),
+     fc_fold AS ({SQL["recursive_forecast"]})
+SELECT datum AS prediction_date, series AS target_product, predicted_sales AS predicted_value, model_used
+FROM fc_trend
+UNION ALL
+SELECT datum, series, predicted, model_used FROM fc_fold"""

@@ -507,11 +507,12 @@ def model_registry(spark, sf_dir):
 
 @query
 def predictions_long(spark, sf_dir):
-    tf = forecast.trend_forecast(_daily(spark, sf_dir), days=30).select(
+    """Forecasts of two models (trend-based for every target, the fixed
+    linear fold per series) unioned long, appended to the predictions store
+    and read back."""
+    tf = forecast.trend_forecast(_targets(spark, sf_dir), days=30).select(
         "series", "datum", F.col("predicted_sales").alias("predicted"), "model_used")
-    start = forecast.univariate_start(_dense(spark, sf_dir)).join(_series_coefs(spark, sf_dir), "series")
-    rf = forecast.recursive_forecast(start, forecast.per_series_fold_model(), 30, model_name="ridge").select(
-        "series", "datum", F.round("predicted", 2).alias("predicted"), "model_used")
+    rf = recursive_forecast(spark, sf_dir).select("series", "datum", "predicted", "model_used")
     u = tf.unionByName(rf).select(F.col("datum").alias("prediction_date"),
                                   F.col("series").alias("target_product"),
                                   F.col("predicted").alias("predicted_value"), "model_used",
@@ -522,88 +523,6 @@ def predictions_long(spark, sf_dir):
         "prediction_date", "target_product", "predicted_value", "model_used")
 
 
-# --- streaming ----------------------------------------------------------------
-
-from salescast.streaming import pipeline as stream  # noqa: E402
-
-
-def _stream_fixture(spark, sf_dir):
-    """Payload files from the events table, one file per week of days,
-    written in date order so the file source replays them in order."""
-    root = scratch_path(spark, "stream")
-    in_dir = f"{root}/incoming"
-    ed = tables.events_daily(spark, sf_dir).withColumn("value", F.round("value", 2))
-    pay = ingest.payloads_from_daily(ed).withColumn(
-        "wk", F.floor(F.unix_date(F.to_date(F.get_json_object("value", "$.datum"))) / 7))
-    weeks = [r[0] for r in pay.select("wk").distinct().orderBy("wk").collect()]
-    for i, wk in enumerate(weeks):
-        pay.where(F.col("wk") == wk).select("value").coalesce(1).write.text(f"{in_dir}/part{i:05d}")
-    return root, in_dir
-
-
-def _fixed_predictor(history, batch_facts):
-    """Score each batch day from the rows before it (history and earlier
-    days of the batch) with the fixed linear scorer."""
-    pts = features.features_asof(history, batch_facts)
-    c = FIXED_SCORER
-    coefs = batch_facts.select("series").distinct().select(
-        "series", F.lit(c["intercept"]).alias("intercept"),
-        F.array(*[F.lit(w) for w in c["weights"]]).alias("weights"))
-    s = models.score_linear(pts, coefs, c["features"], out="raw_pred").where(F.col("raw_pred").isNotNull())
-    return s.select(F.col("datum").alias("prediction_date"), F.col("series").alias("target_product"),
-                    F.greatest(F.lit(0.0), F.col("raw_pred")).alias("predicted_value"),
-                    F.lit("fixed_linear").alias("model_used"))
-
-
-def _run_stream_process(spark, sf_dir):
-    root, in_dir = _stream_fixture(spark, sf_dir)
-    prods = _event_products(spark, sf_dir)
-    codes = series_list(prods.withColumnRenamed("code", "series"))
-    proc = stream.BatchProcessor(f"{root}/store", prods, codes, predictor=_fixed_predictor)
-    q = stream.run_ingest(spark, f"{in_dir}/*", f"{root}/store", f"{root}/_ckpt", proc,
-                          max_files_per_trigger=1)
-    q.awaitTermination()
-    return root
-
-
-@query
-def stream_process(spark, sf_dir):
-    root = _run_stream_process(spark, sf_dir)
-    f = stream.read_facts(spark, f"{root}/store")
-    return f.select("series", "datum", r6("value").alias("value"))
-
-
-@query
-def stream_anomaly(spark, sf_dir):
-    root = _run_stream_process(spark, sf_dir)
-    a = spark.read.parquet(f"{root}/store/alerts")
-    return a.select("series", "datum", r6("value").alias("value"), "n",
-                    r6("baseline_mean").alias("baseline_mean"), r6("baseline_std").alias("baseline_std"),
-                    "alert_type", "severity")
-
-
-@query
-def stream_predictions(spark, sf_dir):
-    root = _run_stream_process(spark, sf_dir)
-    p = spark.read.parquet(f"{root}/store/predictions")
-    return p.select("prediction_date", "target_product", r6("predicted_value").alias("predicted_value"),
-                    "model_used")
-
-
-@query
-def stream_daily_rollup(spark, sf_dir):
-    root = scratch_path(spark, "rollup")
-    src = f"{sf_dir.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(src).schema
-    # The file source watches a directory; the glob keeps it to the events table.
-    ev = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-          .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
-    q = stream.write_rollup(stream.daily_rollup_stream(ev), f"{root}/out", f"{root}/_ckpt", "complete")
-    q.awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
-    return out.select("series", "datum", r6("value").alias("value"), "n_events")
-
-
 # --- report and store round trips ---------------------------------------------
 
 from salescast.operators import report  # noqa: E402

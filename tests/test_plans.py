@@ -56,3 +56,15 @@ def test_recent_rows_prune_store_months(spark, tmp_path):
     r = serving.recent_rows(st, days=40, as_of="2023-12-01")
     assert sorted(x.datum.month for x in r.collect()) == [11, 12]
     assert "PartitionFilters: [isnotnull(month" in _plan(r) and "GreaterThanOrEqual(datum" in _plan(r)
+
+
+def test_fact_table_scanned_once(spark):
+    """Plan branches over the daily roll-up share one scan of the facts
+    (reused exchange) instead of re-reading lineitem per branch."""
+    for name in ("daily_sales_dense", "trend_seasonality", "lag_features", "anomaly_alerts",
+                 "time_split", "per_series_ridge"):
+        df = E.queries()[name](spark, SF001)
+        df.collect()  # final adaptive plan
+        final = _plan(df).split("== Initial Plan ==")[0]
+        scans = [ln for ln in final.splitlines() if "FileScan" in ln and "lineitem.parquet" in ln]
+        assert len(scans) <= 1, (name, len(scans))
