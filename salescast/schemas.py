@@ -31,13 +31,6 @@ WIDE_HISTORY = T.StructType(
     ]
 )
 
-# Ingest payload: one JSON object per line, {"datum": "...", "sales": {code: v}}.
-INGEST_PAYLOAD = T.StructType([
-    T.StructField("datum", T.StringType(), True),
-    T.StructField("sales", T.MapType(T.StringType(), T.DoubleType()), True),
-    T.StructField("_corrupt_record", T.StringType(), True),
-])
-
 # Store tables (long form of the fact store; month partition column for pruning).
 SALES_STORE = T.StructType([
     T.StructField("series", T.StringType(), False),

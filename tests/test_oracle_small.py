@@ -1,6 +1,5 @@
 """Every query with an oracle against DuckDB on the smallest tables."""
 import math
-import os
 
 import duckdb
 import pytest
