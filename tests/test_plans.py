@@ -75,3 +75,13 @@ def test_fact_table_scanned_once(spark):
         final = _plan(df).split("== Initial Plan ==")[0]
         scans = [ln for ln in final.splitlines() if "FileScan" in ln and "lineitem.parquet" in ln]
         assert len(scans) <= 1, (name, len(scans))
+
+
+def test_explicit_as_of_pushes_date_bound_to_fact_scan(spark):
+    """With an explicit reference date the recent-window bound passes through
+    the roll-up and reaches the parquet scan (row groups are skipped)."""
+    from salescast.operators import trends
+    df = trends.trend_direction(Q._daily(spark, SF001), as_of="2001-06-30")
+    plan = _plan(df)
+    scan = [ln for ln in plan.splitlines() if "FileScan" in ln and "lineitem.parquet" in ln]
+    assert scan and "GreaterThanOrEqual(l_shipdate,2001-05-01T00:00)" in scan[0]
