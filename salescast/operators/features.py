@@ -141,6 +141,16 @@ def time_split(df: DataFrame, n_splits: int = N_SPLITS, dense: bool = False) ->
                         ).drop("_pos", "_n")
 
 
+def time_split_panel(df: DataFrame, n_splits: int = N_SPLITS) -> DataFrame:
+    """Panel holdout cut by date, so every series shares the boundary: over
+    the panel's calendar of D consecutive days the last D // (n_splits + 1)
+    days are 'test'.  The calendar bounds are one scalar subquery."""
+    b = df.agg(F.struct(F.min("datum").alias("lo"), F.max("datum").alias("hi"))).scalar()
+    n_days = F.datediff(b["hi"], b["lo"]) + 1
+    t = F.floor(n_days / (n_splits + 1))
+    return df.withColumn("split", F.when(F.datediff(b["hi"], F.col("datum")) < t, "test").otherwise("train"))
+
+
 def time_folds(df: DataFrame, n_splits: int = N_SPLITS, dense: bool = False) -> DataFrame:
     """Expanding folds, compactly: `test_fold` = i when the row is in fold i's
     test block, null when it is only ever training data.  Fold i trains on

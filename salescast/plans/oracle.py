@@ -466,3 +466,10 @@ SELECT datum AS prediction_date, series AS target_product, predicted_sales AS pr
 FROM fc_trend
 UNION ALL
 SELECT datum, series, predicted, model_used FROM fc_fold"""
+
+
+SQL["time_split_panel"] = f"""
+WITH {DENSE}, b AS (SELECT MIN(datum) AS lo, MAX(datum) AS hi FROM dense)
+SELECT series, datum, value,
+       CASE WHEN datediff('day', datum, hi) < (datediff('day', lo, hi) + 1) // 6 THEN 'test' ELSE 'train' END AS split
+FROM dense, b"""

@@ -188,6 +188,11 @@ def time_split(spark, sf_dir):
     return features.time_split(_dense(spark, sf_dir), dense=True)
 
 
+@query
+def time_split_panel(spark, sf_dir):
+    return features.time_split_panel(_dense(spark, sf_dir))
+
+
 @query
 def time_folds(spark, sf_dir):
     return features.time_folds(_dense(spark, sf_dir), dense=True)

@@ -75,3 +75,14 @@ def test_train_all_targets_parallel(spark):
     res = models.train_all_targets(frames, lin, parallelism=2)
     lb = models.leaderboard(res)
     assert lb.count() == 4 and lb.where("is_best").count() == 2
+
+
+def test_metrics_match_regression_evaluator(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    rnd = random.Random(2)
+    rows = [("A", "m", float(rnd.randint(0, 50)), float(rnd.randint(0, 50))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "series string, model string, actual double, predicted double")
+    m = metrics.regression_metrics(df).first()
+    for name, v in (("mae", m.mae), ("rmse", m.rmse), ("r2", m.r2)):
+        ev = RegressionEvaluator(labelCol="actual", predictionCol="predicted", metricName=name)
+        assert abs(ev.evaluate(df) - v) < 1e-9, name

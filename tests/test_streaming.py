@@ -51,3 +51,21 @@ def test_rollup_append_holds_back_open_windows(spark, tmp_path):
     # watermark = max(ts) - 1 day: windows ending after it stay open
     days = sorted(r.datum.day for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert days == [1, 2]
+
+
+def test_polling_stream_start_and_stop(spark, tmp_path):
+    inc = tmp_path / "in"
+    spark.createDataFrame([('{"datum":"2024-02-01","sales":{"A":3.0}}',)], "value string") \
+        .coalesce(1).write.text(str(inc / "p0"))
+    prods = spark.createDataFrame([("A",)], "code string")
+    root = str(tmp_path / "store")
+    q = stream.run_ingest(spark, str(inc / "*"), root, str(tmp_path / "ckpt"),
+                          stream.BatchProcessor(root, prods, ["A"]), available_now=False,
+                          processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        assert q.isActive
+        assert stream.read_facts(spark, root).count() == 2  # A and the total
+    finally:
+        q.stop()
+    assert not q.isActive
