@@ -231,6 +231,17 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def score_recent(model: PipelineModel, fm: DataFrame, n: int = 30, key: str = "series",
+                 clamp: bool = True) -> DataFrame:
+    """Score the last n rows per `key` of a feature frame with a fitted
+    pipeline (e.g. a target's best model): only the tails are transformed."""
+    from salescast.operators.series import tail_n
+    t = tail_n(fm.withColumnRenamed(key, "series") if key != "series" else fm, n)
+    p = F.col("prediction")
+    out = model.transform(t).withColumn("predicted", F.round(F.greatest(F.lit(0.0), p), 2) if clamp else p)
+    return out.drop("prediction", "features_raw", "features")
+
+
 def feature_importance(spark: SparkSession, model: PipelineModel, feature_cols: list[str],
                        top: int = 10) -> DataFrame:
     """Top-k feature importances of a tree pipeline, as a DataFrame."""

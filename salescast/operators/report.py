@@ -53,3 +53,8 @@ def report_lines(report: DataFrame, target: str = TOTAL_SERIES) -> DataFrame:
     if "forecast_mean" in r.columns:
         lines.append(F.format_string("Forecast (%d days) mean: %.2f", "forecast_days", "forecast_mean"))
     return r.select(F.explode(F.array(*lines)).alias("value"))
+
+
+def write_report(report: DataFrame, path: str, target: str = TOTAL_SERIES) -> None:
+    """Write the report's text lines as one text file (a one-row report)."""
+    report_lines(report, target).coalesce(1).write.mode("overwrite").text(path)

@@ -75,6 +75,14 @@ def recent_alerts(alerts: DataFrame, days: int = 7, as_of_ts=None, n: int | None
     return r.limit(n) if n else r
 
 
+def recent_predictions(predictions: DataFrame, days: int = 7, as_of_ts=None) -> DataFrame:
+    """Predictions with ts >= as_of_ts - days, newest first (no row cap)."""
+    check_days(days)
+    a = predictions.agg(F.max("ts")).scalar() if as_of_ts is None else F.lit(as_of_ts).cast("timestamp")
+    return predictions.where(F.col("ts") >= a - F.make_dt_interval(F.lit(days))).orderBy(
+        F.col("ts").desc(), F.col("target_product").asc(), F.col("model_used").asc())
+
+
 def needs_prediction(store: DataFrame) -> DataFrame:
     return store.where(F.col("predicted").isNull() | (F.col("predicted") == 0))
 

@@ -86,3 +86,24 @@ def test_metrics_match_regression_evaluator(spark):
     for name, v in (("mae", m.mae), ("rmse", m.rmse), ("r2", m.r2)):
         ev = RegressionEvaluator(labelCol="actual", predictionCol="predicted", metricName=name)
         assert abs(ev.evaluate(df) - v) < 1e-9, name
+
+
+def test_score_recent_with_pipeline_and_recent_predictions(spark, tmp_path):
+    import datetime as dt
+
+    from salescast.operators import report, serving, series as ser, trends
+    rnd = random.Random(4)
+    dfl = daily_df(spark, consecutive("T", "2020-01-01", [float(40 + rnd.randint(-9, 9)) for _ in range(200)]))
+    f = features.lag_rolling(dfl).na.drop()
+    fm = features.time_split(f, dense=True)
+    cols = features.lag_names() + features.rolling_names()
+    res = models.train_models(fm, cols, "value", specs=[models.ModelSpec("Ridge", "ridge", {"alpha": 1.0})])
+    sc = models.score_recent(res.models["Ridge"], fm, 10)
+    assert sc.count() == 10 and sc.where("predicted < 0").count() == 0
+    preds = spark.createDataFrame(
+        [(dt.datetime(2024, 1, d), dt.date(2024, 1, d), "T", 1.0, "m") for d in (1, 5, 9, 10)],
+        "ts timestamp, prediction_date date, target_product string, predicted_value double, model_used string")
+    assert [r.ts.day for r in serving.recent_predictions(preds, 7).collect()] == [10, 9, 5]
+    rep = report.analysis_report(dfl, trends.trend_seasonality(ser.all_targets(dfl)))
+    report.write_report(rep, str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).count() == 7
