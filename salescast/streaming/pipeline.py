@@ -88,6 +88,9 @@ class BatchProcessor:
                 facts = self.scorer(facts)
             if "predicted" not in facts.columns:
                 facts = facts.withColumn("predicted", F.lit(None).cast("double"))
+            # used by the predictor, the store write and the anomaly keys
+            facts = facts.persist()
+            self._cached = facts
             out = facts.select(
                 "series", "datum", F.col("value").cast("double"), F.col("predicted").cast("double"),
                 F.lit(self.source).alias("source"), F.current_timestamp().alias("ingest_ts"),
@@ -99,6 +102,9 @@ class BatchProcessor:
             self._check_anomalies(spark, valid, facts.select("series", "datum"), batch_id)
         finally:
             validated.unpersist()
+            if getattr(self, "_cached", None) is not None:
+                self._cached.unpersist()
+                self._cached = None
 
     def _predict(self, spark: SparkSession, valid: DataFrame, facts: DataFrame, batch_id: int) -> None:
         """Score the batch days from the store state before the batch."""
