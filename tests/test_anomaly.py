@@ -44,3 +44,18 @@ def test_bucketed_equals_unbucketed(spark):
     b = anomaly.score_anomalies(df, bucket_days=40)
     cols = ["series", "datum", "n", "baseline_mean", "is_alert"]
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
+
+
+def test_property_short_windows_never_alert(spark):
+    """D-7 bound: the tested value sits in its own baseline, so with n rows
+    max |z| = (n-1)/sqrt(n) < 2 for n <= 5 -- no values can raise an alert."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.floats(min_value=0, max_value=1e6, allow_nan=False), min_size=1, max_size=5))
+    def check(vals):
+        df = daily_df(spark, consecutive("T", "2021-05-01", vals))
+        assert anomaly.anomaly_alerts(df).count() == 0
+
+    check()
