@@ -57,6 +57,8 @@ DEFAULT_SPECS = [
 # Small presets for interactive runs and registered queries.
 FAST_SPECS = [
     ModelSpec("RandomForest", "forest", {"numTrees": 20, "maxDepth": 6, "seed": 42}),
+    ModelSpec("GBTDeep", "gbt", {"maxIter": 5, "maxDepth": 4, "stepSize": 0.3, "seed": 42}),
+    ModelSpec("GBTWide", "gbt", {"maxIter": 5, "maxDepth": 3, "stepSize": 0.1, "seed": 42}),
     ModelSpec("GradientBoosting", "gbt", {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "seed": 42}),
     ModelSpec("Ridge", "ridge", {"alpha": 1.0}),
     ModelSpec("ElasticNet", "elasticnet", {"alpha": 1.0, "l1_ratio": 0.5}),
