@@ -1,8 +1,9 @@
 """The queries of this subpackage, for the driver's entry module."""
 
-from . import decontaminate
+from . import decontaminate, langid
 
 QUERIES = {
+    "op4_language_id": langid.op4_language_id,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
