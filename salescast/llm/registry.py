@@ -1,12 +1,14 @@
 """The queries of this subpackage, for the driver's entry module."""
 
-from . import decontaminate, langid
+from . import decontaminate, langid, superminhash
 
 QUERIES = {
     "op4_language_id": langid.op4_language_id,
+    "op7_superminhash": superminhash.op7_superminhash,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 SQL = {
+    "op7_superminhash": superminhash.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
