@@ -5,7 +5,7 @@ at step j it offers the value j + u, u uniform in [0, 1), to the j-th place of i
 place keeps its least offer.  Once every place holds a value below j + 1 no later step can change it, so
 long texts stop after a step or two.  Documents that share a band of the signature are candidates; each
 band's candidates are compared on their full shingle sets with the band's smallest document, then those
-that are still apart in a band with each other, in blocks.  Links are grouped by connected components.
+that are still apart in a band with each other, in blocks, on their full sets too.  Links are grouped by connected components.
 
 Inputs: (doc_id, text); other columns are ignored.  Null, empty and blank texts have no shingles: they
 link with nothing.  Equal sets (copies) are one class before anything is compared.  A repeated doc_id
@@ -26,8 +26,7 @@ from .common import U64, WordHashes, components, mix, shingles, table, written
 BANDS, ROWS = 24, 6  # a pair at similarity 0.85 is missed with probability (1 - 0.85^6)^24 = 1e-5, at 0.8 6e-4
 STEP = U64(32)  # offers are held as step * 2^32 + u * 2^32
 FULL = U64(2**64 - 1)
-APART = 0.12  # a signature's estimate may be off by so much (four standard errors) before the sets are compared
-BLOCK = 512
+BLOCK, COLUMNS = 512, 4096
 
 
 def signatures(sets: list[np.ndarray], m: int = BANDS * ROWS) -> np.ndarray:
@@ -88,12 +87,10 @@ def sign(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> D
                     key = mix(key * U64(3) + sig[:, :, r])
                 yield pd.DataFrame({"doc_id": ids, "n_shingles": [len(s) for s in sets],
                                     "key": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                                    "bands": list(key.view(np.int64)),
-                                    "sig": [x.astype(np.uint16).tobytes() for x in
-                                            mix(sig.reshape(len(sets), -1))]})
+                                    "bands": list(key.view(np.int64))})
 
     return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_shingles long, key binary, bands array<long>, sig binary")
+        run, "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -105,42 +102,80 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "set": [shingle_set(t, width, words).view(np.int64)
                                                                  for t in pdf["text"]]})
 
-    return docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id", "left_semi") \
+    # ids grow with the corpus: never a broadcast
+    return docs.select("doc_id", "text").where("text is not null").join(ids.hint("merge"), "doc_id", "left_semi") \
         .dropDuplicates(["doc_id"]).mapInPandas(run, "doc_id long, set array<long>")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union on their full sets."""
-    pairs = written(pairs, "near-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(full_sets(docs, ids, width), "near-sets")
-    return pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b") \
-        .join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a") \
+    return pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")).hint("merge"), "b") \
+        .join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")).hint("merge"), "a") \
         .withColumn("both", F.size(F.array_intersect("x", "y"))) \
         .where(F.expr(f"100 * both >= {percent} * (size(x) + size(y) - both)")).select("a", "b")
 
 
-def block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members (band, key, doc_id, component, sig) of one band bucket that are still apart and whose
-    signatures' estimate is near enough; buckets are cut into blocks of about BLOCK that meet pair by pair."""
+def shared_items(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``; COLUMNS items at a time."""
+    items, code = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    often = np.cumsum(np.bincount(code, minlength=len(items)) > 1) - 1  # only repeated items can be shared
+    repeated = np.bincount(code, minlength=len(items)) > 1
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    keep = repeated[code]
+    row, code = row[keep], often[code[keep]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    out = np.zeros((len(a), len(b)), np.float64)
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        s, e = np.searchsorted(code, [lo, lo + COLUMNS])
+        held = np.zeros((len(a) + len(b), COLUMNS), np.float32)
+        held[row[s:e], code[s:e] - lo] = 1
+        out += held[:len(a)] @ held[len(a):].T
+    return out.astype(np.int64)
+
+
+def forest(pairs: np.ndarray, n: int) -> list[int]:
+    """Numbers of the pairs that join two parts not joined before."""
+    up, out = list(range(n)), []
+    for k, (x, y) in enumerate(pairs.tolist()):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
+def block_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links among members (band, key, doc_id, component, set) of one bucket that were still apart.
+
+    A bucket is cut into blocks of about BLOCK documents that meet pair by pair, each pair of blocks in a
+    task's memory; a block pair returns no more links than are needed to join what it finds linked.
+    """
     size = members.groupBy("band", "key").agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"))
     rows = members.join(size, ["band", "key"]) \
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))) \
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))) \
-        .select("band", "key", "doc_id", "component", "sig", "block",
+        .select("band", "key", "doc_id", "component", "set", "block",
                 F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    least = percent / 100 - APART
 
     def run(pdf):
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
         ids, comp, block = (pdf[c].to_numpy() for c in ("doc_id", "component", "block"))
-        left, out = np.flatnonzero(block == pdf["i"].to_numpy()), []
+        sets = [np.asarray(x) for x in pdf["set"]]
+        left = np.flatnonzero(block == pdf["i"].to_numpy())
         right = np.flatnonzero(block == pdf["j"].to_numpy())
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((block[right] != block[x]) | (ids[right] > ids[x]))]
-            y = y[(sig[y] == sig[x]).mean(1) >= least] if len(y) else y
-            out += [(min(ids[x], ids[z]), max(ids[x], ids[z])) for z in y]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+        size = np.array([len(x) for x in sets])
+        both = shared_items([sets[x] for x in left], [sets[x] for x in right])
+        near = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+        near &= comp[left][:, None] != comp[right][None, :]
+        x, y = np.nonzero(near)
+        pairs = np.stack([left[x], right[y]], 1)
+        pairs = ids[pairs[forest(pairs, len(ids))]].reshape(-1, 2)
+        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
 
     return rows.groupBy("band", "key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
@@ -156,21 +191,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     least = band.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")) \
         .where("n > 1").drop("n")
     shared = written(band.join(least, ["band", "key"]), "near-shared")
-    links = written(confirmed(docs, shared.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct(),
-                              width, percent), "near-links")
+    sets = written(full_sets(docs, shared.select("doc_id").distinct(), width), "near-sets")
+    links = written(confirmed(shared.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct(),
+                              sets, percent), "near-links")
     found = written(components(links), "near-components")
-    # buckets whose documents are not all in one component yet
-    now = shared.drop("a").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left") \
-        .withColumn("component", F.coalesce("component", "doc_id"))
-    split = now.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo < hi").select("band", "key")
-    apart = written(now.join(split, ["band", "key"], "left_semi"), "near-apart")
-    sigs = signed.select("doc_id", "sig").join(apart.select("doc_id").distinct(), "doc_id", "left_semi") \
-        .dropDuplicates(["doc_id"])
-    rest = block_pairs(apart.join(sigs, "doc_id"), percent)
-    more = confirmed(docs, rest.join(shared.select("a", F.col("doc_id").alias("b")), ["a", "b"], "left_anti"),
-                     width, percent)
-    links = written(links.union(more), "near-links")
+    # buckets whose documents are not all in one component yet; bands often hold the same documents
+    now = written(shared.drop("a").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                  .withColumn("component", F.coalesce("component", "doc_id")), "near-now")
+    split = now.groupBy("band", "key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("who2")) \
+        .where("lo < hi").groupBy("n", "who", "who2").agg(F.min(F.struct("band", "key")).alias("b")).select("b.*")
+    apart = now.join(split, ["band", "key"], "left_semi").join(sets.hint("merge"), "doc_id")
+    links = written(links.union(block_links(apart, percent)), "near-links")
     comp = reps.join(components(links).withColumnRenamed("node", "rep"), "rep", "left") \
         .select("key", F.coalesce("component", "rep").alias("component_id"))
     return signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")) \
