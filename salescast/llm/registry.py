@@ -1,10 +1,11 @@
 """The queries of this subpackage, for the driver's entry module."""
 
-from . import decontaminate, langid, superminhash
+from . import decontaminate, langid, packing, superminhash
 
 QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op7_superminhash": superminhash.op7_superminhash,
+    "op8_packing": packing.op8_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
