@@ -1,8 +1,9 @@
 """The queries of this subpackage, for the driver's entry module."""
 
-from . import decontaminate, langid, packing, superminhash
+from . import decontaminate, langid, packing, pivots, superminhash
 
 QUERIES = {
+    "op1_pivot_index": pivots.op1_pivot_index,
     "op4_language_id": langid.op4_language_id,
     "op7_superminhash": superminhash.op7_superminhash,
     "op8_packing": packing.op8_packing,
@@ -10,6 +11,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_pivot_index": pivots.SQL,
     "op7_superminhash": superminhash.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
