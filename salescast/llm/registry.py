@@ -1,11 +1,12 @@
 """The queries of this subpackage, for the driver's entry module."""
 
-from . import decontaminate, langid, linkgraph, maglev, packing, pivots, superminhash
+from . import decontaminate, langid, linkgraph, maglev, packing, pivots, pseudonyms, superminhash
 
 QUERIES = {
     "op1_pivot_index": pivots.op1_pivot_index,
     "op3_maglev": maglev.op3_maglev,
     "op4_language_id": langid.op4_language_id,
+    "op5_pseudonyms": pseudonyms.op5_pseudonyms,
     "op6_link_graph": linkgraph.op6_link_graph,
     "op7_superminhash": superminhash.op7_superminhash,
     "op8_packing": packing.op8_packing,
