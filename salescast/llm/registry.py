@@ -1,9 +1,10 @@
 """The queries of this subpackage, for the driver's entry module."""
 
-from . import decontaminate, langid, linkgraph, maglev, packing, pivots, pseudonyms, superminhash
+from . import decontaminate, langid, linkgraph, maglev, packing, pivots, pseudonyms, quality_cnn, superminhash
 
 QUERIES = {
     "op1_pivot_index": pivots.op1_pivot_index,
+    "op2_quality_cnn": quality_cnn.op2_quality_cnn,
     "op3_maglev": maglev.op3_maglev,
     "op4_language_id": langid.op4_language_id,
     "op5_pseudonyms": pseudonyms.op5_pseudonyms,
