@@ -1,6 +1,6 @@
 """The queries of this subpackage, for the driver's entry module."""
 
-from . import decontaminate, langid, linkgraph, maglev, packing, pivots, pseudonyms, quality_cnn, superminhash
+from . import decontaminate, langid, linkgraph, maglev, packing, passages, pivots, pseudonyms, quality_cnn, superminhash
 
 QUERIES = {
     "op1_pivot_index": pivots.op1_pivot_index,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_link_graph": linkgraph.op6_link_graph,
     "op7_superminhash": superminhash.op7_superminhash,
     "op8_packing": packing.op8_packing,
+    "op9_compact_windows": passages.op9_compact_windows,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
