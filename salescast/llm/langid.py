@@ -160,19 +160,21 @@ def score_texts(texts: list[str], f: LanguageFilters):
     return [f.langs[b] if s > 0 else UND for b, s in zip(best, score)], score
 
 
-def identify(docs: DataFrame, filters: LanguageFilters, keep: list[str]) -> DataFrame:
-    """``docs``'s columns ``keep`` with lang_pred and score."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(filters)
+def identify(docs: DataFrame, filters: LanguageFilters, keep: list[str],
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs``'s columns ``keep`` (none of them named as in ``names``) with the language and its score."""
+    held = docs.sparkSession.sparkContext.broadcast(filters)
     schema = docs.select(*keep).schema
     out = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema)
+    text = "text" if "text" in keep else "_text"
 
     def run(batches):
         for pdf in batches:
-            langs, score = score_texts(pdf["_text"].fillna("").tolist(), held.value)
-            yield pdf[keep].assign(lang_pred=langs, score=score)
+            langs, score = score_texts(pdf[text].fillna("").tolist(), held.value)
+            yield pdf[keep].assign(**{names[0]: langs, names[1]: score})
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(run, f"{out}, lang_pred string, score double")
+    read = keep if text in keep else [*keep, F.col("text").alias(text)]
+    return docs.select(*read).mapInPandas(run, f"{out}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(divisor: int, rest: int):

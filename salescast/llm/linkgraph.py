@@ -2,9 +2,9 @@
 
 The longest matching rule decides a page.  Every other page gets its host's verdict: trust runs forward
 from hosts whose pages the allow rules cover (personalised PageRank), distrust runs backward from hosts
-whose pages the block rules cover (who links to a blocked host is suspect), and a host whose distrust
-reaches ``threshold`` and exceeds its trust is blocked.  A seed's weight is the share of its pages that
-such rules decide.  Links are the absolute links of the pages' HTML; a link inside a host keeps its weight.
+whose pages the block rules cover (who links to a blocked host is suspect, as far as its links go there),
+and a host whose distrust reaches ``threshold`` and exceeds its trust is blocked.  A seed's weight is the
+share of its pages that such rules decide.  Both scores lie between 0 and the number of hosts; distrust is 1 at most.  Links are the absolute links of the pages' HTML; a link inside a host keeps its weight.
 
 Inputs: pages (page_id, url, html); other columns are ignored.  A null url, or one without ``://``, has
 empty host and path, matches no rule and is allowed.  Null or empty html has no links.  Repeated rows
@@ -51,16 +51,19 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
 
 
+def closed(edges: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``edges`` with a link to itself for every host without links: it keeps what it has."""
+    every = hosts.select(F.col("host").alias("src")).union(edges.select("dst")).distinct()
+    ends = every.join(edges.select("src").distinct(), "src", "left_anti")
+    return edges.union(ends.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("weight")))
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, score): score = (1 - damping) * seed + damping * what comes in over ``edges``, from seed = score.
+    """(host, score): score = (1 - damping) * seed + damping * what comes in over ``edges``, from score = seed.
 
-    edges (src, dst, weight) with a source's weights summing to 1, seeds (host, seed).  A host without
-    links keeps what it has.  A step sums partial sums per host; every third is written to cut the plan.
+    edges (src, dst, weight), seeds (host, seed).  A step sums partial sums per host; every third is
+    written to cut the plan.
     """
-    edges = edges.join(seeds.select(F.col("host").alias("src")).distinct(), "src", "full_outer") \
-        .select("src", F.coalesce("dst", "src").alias("dst"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    ends = edges.select(F.col("dst").alias("src")).distinct().join(edges.select("src"), "src", "left_anti")
-    edges = written(edges.union(ends.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("weight"))), "url-edges")
     score = seeds.select("host", F.col("seed").alias("score"))
     for step in range(steps):
         came = score.join(edges, score["host"] == edges["src"]) \
@@ -77,14 +80,12 @@ def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, dam
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages``."""
     parsed = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = parsed.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
-    edges = written(host_edges(parsed), "url-links")
     seeds = written(judged.where("host <> ''").groupBy("host").agg(
         F.avg((F.coalesce("r.verdict", F.lit("")) == "allow").cast("double")).alias("allow"),
         F.avg((F.coalesce("r.verdict", F.lit("")) == "block").cast("double")).alias("block")), "url-seeds")
+    edges = written(closed(written(host_edges(parsed), "url-links"), seeds), "url-edges")
     trust = propagate(edges, seeds.select("host", F.col("allow").alias("seed")).where("seed > 0"), damping, steps)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    total = back.groupBy("src").agg(F.sum("weight").alias("total"))
-    back = back.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("weight"))
     distrust = propagate(back, seeds.select("host", F.col("block").alias("seed")).where("seed > 0"), damping, steps)
     hosts = written(trust.withColumnRenamed("score", "trust").join(
         distrust.withColumnRenamed("score", "distrust"), "host", "full_outer"), "url-hosts")
