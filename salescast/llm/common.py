@@ -69,10 +69,10 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
         return words
     if n < width:
         width = n
-    out = np.zeros(n - width + 1, U64)
-    for k in range(width):
-        out = mix(out * U64(3) + words[k:n - width + 1 + k])
-    return out
+    out = np.full(n - width + 1, width, U64)
+    for k in range(width):  # the words' hashes are random already; odd factors tell their places apart
+        out += words[k:n - width + 1 + k] * U64((2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    return mix(out)
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from salescast.llm import (decontaminate, langid, linkgraph, maglev, packing, passages, pivots, pseudonyms,
                            quality_cnn, superminhash)
 from salescast.llm.common import components
-from tests.conftest import SF01
+from conftest import SF01
 
 DOCS = "doc_id long, text string, lang string, score double, slot string"
 ODD = [(1, None, "en", 1.0, "x"), (2, "", None, None, None), (3, " \n\t ", "en", 0.0, ""), (4, "one", None, 1.0, "x"),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from salescast.llm import pseudonyms
-from tests.conftest import SF001, SF01
-from tests.llm.test_operators import brute_components
+from conftest import SF001, SF01
+from test_operators import brute_components
 
 
 @pytest.fixture(scope="module")
