@@ -26,7 +26,8 @@ from .common import table, written
 
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 21
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 500_000  # cached by a Python worker, for all its tasks
+SEPARATOR = "\x01"  # a "word" of its own, put between words that are learned together
 END = 2  # fixed by the contract
 
 
@@ -43,6 +44,23 @@ class WordTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        ids = self.tok.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = ids[0] if len(ids) == 1 else None
+
+    def learn(self, words: list[str]):
+        """Ids of ``words``: a thousand at a time as one text, cut at the separator's id."""
+        for s in range(0, len(words), 1000):
+            part = [w for w in words[s:s + 1000] if SEPARATOR not in w]
+            alone = [w for w in words[s:s + 1000] if SEPARATOR in w]
+            ids = np.array(self.tok.encode(f" {SEPARATOR} ".join(part), add_special_tokens=False).ids, self.dtype)
+            cut = np.flatnonzero(ids == self.separator) if self.separator is not None else ()
+            if part and len(cut) == len(part) - 1:
+                for w, a, b in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
+                    self.known[w] = ids[a:b].tobytes()
+            else:
+                alone += part
+            for w in alone:
+                self.known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids, little-endian, of ``dtype``."""
@@ -55,18 +73,26 @@ class WordTokenizer:
             except KeyError:
                 if len(self.known) + len(part) > KNOWN_WORDS:
                     self.known.clear()
-                new = list(set(part).difference(self.known))
-                for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, self.dtype).tobytes()
+                self.learn(list(set(part).difference(self.known)))
                 out.append(b"".join(map(self.known.__getitem__, part)))
         return b"".join(out)
 
 
+_LOADED: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """This process's tokenizer; Spark's Python workers keep it, and its cache, from task to task."""
+    if path not in _LOADED:
+        _LOADED[path] = WordTokenizer(path)
+    return _LOADED[path]
+
+
 def tokenise(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """(doc_id, tokens): little-endian ids of 2 bytes (4 for a large vocabulary), ``end`` last."""
 
     def run(batches):
-        tok = WordTokenizer(tokenizer)
+        tok = word_tokenizer(tokenizer)
         for pdf in batches:
             last = tok.dtype.type(end).tobytes()
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [tok.encode(t or "") + last for t in pdf["text"]]})
