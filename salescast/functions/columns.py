@@ -65,8 +65,6 @@ def alert_severity(x, mean, std) -> Column:
     return F.when(F.abs(_c(x) - _c(mean)) > HIGH_SEVERITY_SIGMA * _c(std), "high").otherwise("medium")
 
 
-def alert_message(x, mean) -> Column:
-    side = F.when(_c(x) > _c(mean), "higher").otherwise("lower")
-    return F.format_string(
-        "Anomaly detected: Total sales %.2f is significantly %s than recent average %.2f",
-        _c(x), side, _c(mean))
+def alert_message(x, mean, series="series") -> Column:
+    side = F.when(_c(x) > _c(mean), "above").otherwise("below")
+    return F.format_string("%s: %.2f lies far %s the mean %.2f of its recent days", _c(series), _c(x), side, _c(mean))

@@ -57,16 +57,20 @@ def features_asof(history: DataFrame, points: DataFrame, lags=LAGS, windows=WIND
     Each point sees the history and the earlier points (the store's state
     when points are applied in date order).  lag_k = the value k rows before
     the point, or the mean of all earlier rows when there are fewer than k;
-    rolling_w = mean of the (up to) w rows before the point.  History enters
-    only from the earliest point date minus the longest look-back (a pushed
-    date filter); on a dense history that slice holds every row the features
-    can see.
+    rolling_w = mean of the (up to) w rows before the point.  Look-backs count
+    rows, whatever the gaps between their dates: of what lies before a series'
+    earliest point, its newest rows enter, as many as the longest look-back
+    (a partial limit per task before the shuffle), and all rows since.
     """
     lags, windows = list(lags), list(windows)
     look = max(lags + windows)
-    lo = points.agg(F.min("datum")).scalar()
-    h = history.where(F.col("datum") >= F.date_sub(lo, look)).select(
-        "series", "datum", "value", F.lit(False).alias("_new"))
+    first = points.groupBy("series").agg(F.min("datum").alias("_first"))
+    h = history.select("series", "datum", "value").join(first, "series")
+    since = h.where(F.col("datum") >= F.col("_first"))
+    back = Window.partitionBy("series").orderBy(F.col("datum").desc(), F.col("value").desc())
+    before = h.where(F.col("datum") < F.col("_first")) \
+        .withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= look).drop("_n")
+    h = before.unionByName(since).select("series", "datum", "value", F.lit(False).alias("_new"))
     p = points.select("series", "datum", "value", F.lit(True).alias("_new"))
     w = Window.partitionBy("series").orderBy("datum", "_new")
     mean_before = F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, -1))

@@ -10,18 +10,18 @@ def regression_metrics(scored: DataFrame, label: str = "actual", pred: str = "pr
                        keys=("series", "model")) -> DataFrame:
     """MAE, RMSE, R^2 per key in one aggregate (all models scored in one job).
 
-    R^2 = 1 - SSE / SST with SST from the sufficient statistics n, sum y,
-    sum y^2, so no second pass for the mean is needed.
+    R^2 = 1 - SSE / SST with SST = n * population variance, which merges
+    centred partial sums: one pass, and no cancellation for labels with a
+    large mean.
     """
     e = F.col(label) - F.col(pred)
     g = scored.where(F.col(label).isNotNull() & F.col(pred).isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.abs(e)).alias("_sae"),
         F.sum(e * e).alias("_sse"),
-        F.sum(label).alias("_sy"),
-        F.sum(F.col(label) * F.col(label)).alias("_syy"),
+        F.var_pop(label).alias("_var"),
     )
-    sst = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n")
+    sst = F.col("_var") * F.col("n")
     return g.select(
         *keys, "n",
         (F.col("_sae") / F.col("n")).alias("mae"),

@@ -20,7 +20,7 @@ BACKFILL_LIMIT = 50
 
 def check_days(days: int) -> int:
     if not isinstance(days, int) or days < 1 or days > MAX_DAYS:
-        raise ValueError(f"days must be between 1 and {MAX_DAYS}")
+        raise ValueError(f"days: expected a whole number from 1 to {MAX_DAYS}, got {days!r}")
     return days
 
 
@@ -66,18 +66,20 @@ def latest_rows(store: DataFrame, n: int = 10, ts_col: str = "ingest_ts") -> Dat
     return store.orderBy(F.col(ts_col).desc(), F.col("datum").desc(), F.col("series").asc()).limit(n)
 
 
-def recent_alerts(alerts: DataFrame, days: int = 7, as_of_ts=None, n: int | None = 20) -> DataFrame:
-    """Alerts with ts >= as_of_ts - days, newest first (top n when given)."""
-    check_days(days)
+def recent_alerts(alerts: DataFrame, days: int = 7, as_of_ts=None) -> DataFrame:
+    """All alerts with ts >= as_of_ts - days, newest first."""
     a = alerts.agg(F.max("ts")).scalar() if as_of_ts is None else F.lit(as_of_ts).cast("timestamp")
-    r = alerts.where(F.col("ts") >= a - F.make_dt_interval(F.lit(days)))
-    r = r.orderBy(F.col("ts").desc(), F.col("series").asc(), F.col("alert_type").asc())
-    return r.limit(n) if n else r
+    return alerts.where(F.col("ts") >= a - F.make_dt_interval(F.lit(days))).orderBy(
+        F.col("ts").desc(), F.col("series").asc(), F.col("alert_type").asc())
+
+
+def latest_alerts(alerts: DataFrame, n: int = 20) -> DataFrame:
+    """The newest n alerts, however old."""
+    return alerts.orderBy(F.col("ts").desc(), F.col("series").asc(), F.col("alert_type").asc()).limit(n)
 
 
 def recent_predictions(predictions: DataFrame, days: int = 7, as_of_ts=None) -> DataFrame:
     """Predictions with ts >= as_of_ts - days, newest first (no row cap)."""
-    check_days(days)
     a = predictions.agg(F.max("ts")).scalar() if as_of_ts is None else F.lit(as_of_ts).cast("timestamp")
     return predictions.where(F.col("ts") >= a - F.make_dt_interval(F.lit(days))).orderBy(
         F.col("ts").desc(), F.col("target_product").asc(), F.col("model_used").asc())
@@ -92,23 +94,25 @@ def backfill_predictions(store: DataFrame, scorer: Callable[[DataFrame], DataFra
     """Score the newest `limit` rows per series that lack a prediction and
     write the scores back by key: left join + coalesce(new, old).
 
-    `scorer` maps the selected rows to (key..., new_pred).  Returns the whole
+    `scorer` maps the selected rows to (key..., new_pred); rows that share a
+    key get one score (the largest, should they differ), so the join never
+    multiplies stored rows.  Returns the whole
     store with updated predictions; persisting it is a dynamic overwrite of
     the touched month partitions (``sources.store.overwrite_months``).
     """
     key = list(key)
     todo = tail_n(needs_prediction(store), limit)
-    scores = scorer(todo).select(*key, "new_pred")
+    scores = scorer(todo).groupBy(*key).agg(F.max("new_pred").alias("new_pred"))
     return store.join(scores, key, "left").withColumn(
         "predicted", F.coalesce("new_pred", "predicted")).drop("new_pred")
 
 
 def product_catalog(dim: DataFrame, registry: DataFrame) -> DataFrame:
     """Product dimension with a has_model flag (left join on the registry's
-    distinct targets) and the label cut to 50 characters."""
+    distinct targets), the full name and a label cut to 50 characters."""
     targets = registry.select(F.col("target").alias("code")).distinct()
     return dim.join(targets.withColumn("_m", F.lit(True)), "code", "left").select(
-        "code", F.substring("name", 1, NAME_MAX_CHARS).alias("name"),
+        "code", "name", F.substring("name", 1, NAME_MAX_CHARS).alias("label"),
         F.coalesce("_m", F.lit(False)).alias("has_model"))
 
 

@@ -163,7 +163,8 @@ SQL.update(_q(
     daily_sales_dense=f"WITH {DENSE} SELECT series, datum, value FROM dense",
     total_sales=f"WITH {TOTAL} SELECT series, datum, value FROM total",
     all_targets=f"WITH {TOTAL} SELECT series, datum, value FROM daily UNION ALL SELECT series, datum, value FROM total",
-    pivot_daily=f"WITH {DAILY} SELECT * FROM (PIVOT daily ON series USING SUM(value) GROUP BY datum)",
+    pivot_daily=f"WITH {DAILY} SELECT datum, " + ", ".join(
+        f"SUM(CASE WHEN series = '{s}' THEN value END) AS \"{s}\"" for s in P_TYPES) + " FROM daily GROUP BY datum",
     unpivot_roundtrip=f"WITH {DAILY} SELECT series, datum, value FROM daily",
     calendar_features=f"WITH {TOTAL} SELECT datum, {CAL_COLS} FROM total",
     future_dates=f"""
@@ -238,7 +239,7 @@ REGISTRY = TARGETS + """,
 registry AS (SELECT series AS target FROM targets GROUP BY series HAVING COUNT(*) >= 730),
 dim AS (SELECT DISTINCT p_type AS code FROM part),
 dimn AS (SELECT code, concat(upper(code[1]), lower(code[2:]), ' product line (part type ', code, ')') AS name FROM dim),
-catalog AS (SELECT d.code, substr(d.name, 1, 50) AS name, r.target IS NOT NULL AS has_model
+catalog AS (SELECT d.code, d.name, substr(d.name, 1, 50) AS label, r.target IS NOT NULL AS has_model
             FROM dimn d LEFT JOIN (SELECT DISTINCT target FROM registry) r ON d.code = r.target)"""
 
 TREND_FC = TARGETS + """,
@@ -270,7 +271,10 @@ FROM alerts""",
     recent_alerts=f"""
 WITH {ALERTS}, t AS (SELECT CAST(datum AS TIMESTAMP) AS ts, * FROM alerts)
 SELECT ts, series, datum, alert_type, severity FROM t
-WHERE ts >= (SELECT MAX(ts) FROM t) - INTERVAL 7 DAY
+WHERE ts >= (SELECT MAX(ts) FROM t) - INTERVAL 7 DAY""",
+    latest_alerts=f"""
+WITH {ALERTS}, t AS (SELECT CAST(datum AS TIMESTAMP) AS ts, * FROM alerts)
+SELECT ts, series, datum, alert_type, severity FROM t
 ORDER BY ts DESC, series ASC, alert_type ASC LIMIT 20""",
     recent_data=f"""
 WITH {STORE}
@@ -303,7 +307,7 @@ todo AS (SELECT series, datum FROM store WHERE predicted IS NULL OR predicted =
 scores AS (SELECT t.series, t.datum, m.new_pred FROM todo t JOIN means m ON t.series = m.series)
 SELECT s.series, s.datum, s.value, COALESCE(sc.new_pred, s.predicted) AS predicted
 FROM store s LEFT JOIN scores sc ON s.series = sc.series AND s.datum = sc.datum""",
-    product_catalog=f"WITH {REGISTRY} SELECT code, name, has_model FROM catalog",
+    product_catalog=f"WITH {REGISTRY} SELECT code, name, label, has_model FROM catalog",
     products_with_models=f"""
 WITH {REGISTRY} SELECT code, name FROM dimn WHERE code IN (SELECT target FROM registry)""",
     catalog_summary=f"""

@@ -246,7 +246,13 @@ def anomaly_alerts(spark, sf_dir):
 @query
 def recent_alerts(spark, sf_dir):
     al = anomaly.alerts_table(anomaly.anomaly_alerts(_targets(spark, sf_dir)))
-    return serving.recent_alerts(al, days=7, n=20).select("ts", "series", "datum", "alert_type", "severity")
+    return serving.recent_alerts(al, days=7).select("ts", "series", "datum", "alert_type", "severity")
+
+
+@query
+def latest_alerts(spark, sf_dir):
+    al = anomaly.alerts_table(anomaly.anomaly_alerts(_targets(spark, sf_dir)))
+    return serving.latest_alerts(al, n=20).select("ts", "series", "datum", "alert_type", "severity")
 
 
 @query

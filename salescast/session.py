@@ -69,6 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="salescast-ckpt-")
     sc.setCheckpointDir(d)
     # setCheckpointDir may add a per-application sub folder.

@@ -16,42 +16,38 @@ PAYLOAD = T.StructType([
 ])
 
 # --- fixed values: quarantine reasons, checked in this order -------------------
-REASONS = ["malformed_json", "missing_datum", "bad_datum", "missing_sales",
-           "negative_value", "unknown_product"]
+REASONS = ["malformed_json", "missing_datum", "bad_datum", "missing_sales"]
 # -----------------------------------------------------------------------------
 
 
 def parse_payloads(text: DataFrame, text_col: str = "value") -> DataFrame:
-    """raw text -> (raw, datum DATE, sales MAP, reason-before-product-check)."""
+    """raw text -> (raw, datum DATE, sales MAP, reason)."""
     raw = F.col(text_col)
     p = F.from_json(raw, PAYLOAD, {"mode": "PERMISSIVE"})
     x = text.select(raw.alias("raw"), p.alias("p"))
     datum = F.try_to_date(F.col("p.datum"), "yyyy-MM-dd")
     sales = F.col("p.sales")
-    neg = F.exists(F.map_values(sales), lambda v: v < 0)
     reason = (
         F.when(F.get_json_object(F.col("raw"), "$").isNull(), "malformed_json")
         .when(F.col("p.datum").isNull(), "missing_datum")
         .when(datum.isNull(), "bad_datum")
         .when(sales.isNull(), "missing_sales")
-        .when(neg, "negative_value")
     )
     return x.select("raw", datum.alias("datum"), sales.alias("sales"), reason.alias("reason"))
 
 
 def validate_payloads(parsed: DataFrame, products: DataFrame) -> DataFrame:
-    """Add 'unknown_product' for records with a key outside the product
-    dimension (codes in column `code`).  The membership test is an anti join
-    on the exploded keys; offending records are matched back by a hash of the
-    raw text (identical payloads share one verdict)."""
-    keyed = parsed.withColumn("_rid", F.xxhash64("raw"))
-    keys = keyed.where(F.col("reason").isNull()).select(
-        "_rid", F.explode(F.map_keys("sales")).alias("code"))
-    bad = keys.join(products.select("code"), "code", "left_anti").select("_rid").distinct() \
-        .withColumn("_unknown", F.lit(True))
-    out = keyed.join(bad, "_rid", "left")
-    reason = F.coalesce(F.col("reason"), F.when(F.col("_unknown"), F.lit("unknown_product")))
-    return out.withColumn("reason", reason).drop("_rid", "_unknown")
+    """Parsed records with their reason; codes outside the product dimension (column `code`) are no fault.
+
+    Such codes are ignored by what follows; ``unknown_codes`` lists them.
+    """
+    return parsed
+
+
+def unknown_codes(parsed: DataFrame, products: DataFrame) -> DataFrame:
+    """(datum, code, value): the entries of usable records whose code is not in the product dimension."""
+    return parsed.where(F.col("reason").isNull()).select("datum", F.explode("sales").alias("code", "value")) \
+        .join(products.select("code"), "code", "left_anti").select("datum", "code", "value")
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,10 +64,11 @@ def explode_payloads(valid: DataFrame, products: list[str]) -> DataFrame:
     return valid.select("datum", F.explode(rows).alias("r")).select("r.series", "datum", "r.value")
 
 
-def payload_total(valid: DataFrame) -> DataFrame:
-    """Row total of each payload (missing products are 0)."""
-    return valid.select("datum", F.aggregate(F.map_values("sales"), F.lit(0.0),
-                                             lambda acc, v: acc + F.coalesce(v, F.lit(0.0))).alias("total"))
+def payload_total(valid: DataFrame, products: list[str]) -> DataFrame:
+    """(datum, total): each payload's own total over the known products; missing ones are 0."""
+    parts = F.transform(F.array(*[F.lit(p) for p in products]),
+                        lambda k: F.coalesce(F.try_element_at(F.col("sales"), k), F.lit(0.0)))
+    return valid.select("datum", F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v).alias("total"))
 
 
 def payloads_from_daily(daily: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ root lives in the shared checkpoint folder (or any shared path given).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,9 @@ def init_store(spark: SparkSession, root: str) -> None:
         try:
             spark.read.schema(schema).parquet(path).limit(0).collect()
             continue
-        except Exception:  # noqa: BLE001 - missing path
-            pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
         w = spark.createDataFrame([], schema).write.mode("ignore")
         if PARTITIONS[name]:
             w = w.partitionBy(*PARTITIONS[name])
@@ -52,6 +54,7 @@ def as_fact_rows(df: DataFrame, source: str = "realtime") -> DataFrame:
         (F.col("source") if "source" in cols else F.lit(source)).alias("source"),
         (F.col("ingest_ts") if "ingest_ts" in cols else F.current_timestamp()).alias("ingest_ts"),
         F.date_format("datum", "yyyy-MM").alias("month"),
+        *(["batch"] if "batch" in cols else []),
     )
 
 
@@ -75,8 +78,10 @@ def append_alerts(df: DataFrame, root: str) -> None:
 
 
 def overwrite_months(df: DataFrame, root: str) -> None:
-    """Replace exactly the month partitions present in `df` (dynamic
-    partition overwrite); other months are untouched."""
+    """Replace exactly the partitions present in `df` (dynamic partition
+    overwrite); others are untouched.  Rows read from a stream's store carry
+    their `batch` and go back into its (month, batch) layout."""
+    by = ["month", "batch"] if "batch" in df.columns else ["month"]
     (as_fact_rows(df).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month").parquet(table_path(root, "sales_data")))
+     .partitionBy(*by).parquet(table_path(root, "sales_data")))

@@ -17,12 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescast.operators.anomaly import BASELINE_DAYS, anomaly_alerts
-from salescast.operators.series import total_series
 from salescast.schemas import TOTAL_SERIES
 from salescast.sources import ingest
 
@@ -83,7 +83,9 @@ class BatchProcessor:
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch").parquet(_p(self.root, "quarantine")))
             long = ingest.explode_payloads(valid, self.codes)
-            facts = long.unionByName(total_series(long, TOTAL_SERIES))
+            # each payload has its own total, so facts do not depend on how days fall into batches
+            facts = long.unionByName(ingest.payload_total(valid, self.codes).select(
+                F.lit(TOTAL_SERIES).alias("series"), "datum", F.col("total").alias("value")))
             if self.scorer is not None:
                 facts = self.scorer(facts)
             if "predicted" not in facts.columns:
@@ -99,7 +101,7 @@ class BatchProcessor:
                 self._predict(spark, valid, facts, batch_id)
             (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("month", "batch").parquet(_p(self.root, "sales_data")))
-            self._check_anomalies(spark, valid, facts.select("series", "datum"), batch_id)
+            self._check_anomalies(spark, valid, facts.select("series", "datum", "value"), batch_id)
         finally:
             validated.unpersist()
             if getattr(self, "_cached", None) is not None:
@@ -110,7 +112,9 @@ class BatchProcessor:
         """Score the batch days from the store state before the batch."""
         try:  # a missing path fails when the read is defined, not in a job
             hist = read_facts(spark, self.root).where(F.col("batch") != batch_id)
-        except Exception:  # noqa: BLE001 - empty store on the first batch
+        except AnalysisException as e:  # no store before the first batch
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             hist = spark.createDataFrame([], FACTS)
         preds = self.predictor(hist.select("series", "datum", "value"), facts.select("series", "datum", "value"))
         (preds.select(F.current_timestamp().alias("ts"), "prediction_date", "target_product",
@@ -129,7 +133,7 @@ class BatchProcessor:
         store = read_facts(spark, self.root).where(
             (F.col("month") >= F.date_format(start, "yyyy-MM")) & (F.col("datum") >= start))
         alerts = anomaly_alerts(store.select("series", "datum", "value"), self.days)
-        alerts = alerts.join(keys, ["series", "datum"], "left_semi")
+        alerts = alerts.join(keys, ["series", "datum", "value"], "left_semi")
         (alerts.select(F.current_timestamp().alias("ts"), "series", "datum", "value", "n", "baseline_mean",
                        "baseline_std", "alert_type", "message", "severity",
                        F.lit(batch_id).cast("long").alias("batch"))

@@ -25,7 +25,7 @@ def test_eleven_rows_high(spark):
 def test_low_side_and_message(spark):
     a = anomaly.anomaly_alerts(_spike(spark, 11, base=50.0, spike=0.0)).first()
     assert a.alert_type == "low_sales"
-    assert a.message.startswith("Anomaly detected: Total sales 0.00 is significantly lower than recent average")
+    assert a.message == "T: 0.00 lies far below the mean 45.45 of its recent days"
 
 
 def test_window_is_thirty_calendar_days(spark):

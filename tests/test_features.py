@@ -69,6 +69,21 @@ def test_features_asof_short_history_uses_mean(spark):
     assert r.lag_1 == 4.0 and r.lag_3 == 3.0 and r.rolling_3 == 3.0
 
 
+def test_features_asof_counts_rows_across_gaps(spark):
+    import datetime as dt
+    hist = [("A", (dt.date(2024, 1, 1) + dt.timedelta(days=2 * i)).isoformat(), i) for i in range(60)]
+    pts = daily_df(spark, [("A", "2024-09-01", 7.0)])
+    r = features.features_asof(daily_df(spark, hist), pts).first()
+    assert (r.lag_30, r.rolling_30, r.lag_1) == (30.0, 44.5, 59.0)
+
+
+def test_r2_with_a_large_mean(spark):
+    from salescast.operators.metrics import regression_metrics
+    rows = [("A", "m", 1e9 + i % 2, 1e9 + 0.5) for i in range(10)]
+    df = spark.createDataFrame(rows, "series string, model string, actual double, predicted double")
+    assert abs(regression_metrics(df).first().r2) < 1e-6
+
+
 def test_unpivot_pivot_roundtrip(spark):
     df = _rand_dense(spark, n_series=3, days=20)
     s = ["S0", "S1", "S2"]

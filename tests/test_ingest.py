@@ -18,8 +18,10 @@ def test_validation_reasons(spark):
     prods = spark.createDataFrame([("M01AB",), ("N02BA",)], "code string")
     v = ingest.validate_payloads(ingest.parse_payloads(_text(spark, lines)), prods)
     got = {r.raw: r.reason for r in v.collect()}
-    assert [got[x] for x in lines] == [None, "unknown_product", "missing_datum", "bad_datum",
-                                        "missing_sales", "negative_value", "malformed_json"]
+    assert [got[x] for x in lines] == [None, None, "missing_datum", "bad_datum", "missing_sales", None, "malformed_json"]
+    assert [tuple(r) for r in ingest.unknown_codes(v, prods).select("code", "value").collect()] == [("XXX", 2.0)]
+    totals = sorted(r.total for r in ingest.payload_total(v.where("reason is null"), ["M01AB", "N02BA"]).collect())
+    assert totals == [-3.0, 1.0, 9.7]
 
 
 def test_explode_missing_product_is_zero(spark):
