@@ -28,7 +28,7 @@ def _rows(cols, rows):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("part", "lineitem", "events", "orders"):
+    for t in ("part", "lineitem", "events", "orders", "documents", "embeddings", "pages", "benchmark", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     return c
 
