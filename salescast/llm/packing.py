@@ -52,7 +52,8 @@ class WordTokenizer:
         for s in range(0, len(words), 1000):
             part = [w for w in words[s:s + 1000] if SEPARATOR not in w]
             alone = [w for w in words[s:s + 1000] if SEPARATOR in w]
-            ids = np.array(self.tok.encode(f" {SEPARATOR} ".join(part), add_special_tokens=False).ids, self.dtype)
+            joined = self.tok.encode_batch_fast([f" {SEPARATOR} ".join(part)], add_special_tokens=False)  # no offsets
+            ids = np.array(joined[0].ids, self.dtype)
             cut = np.flatnonzero(ids == self.separator) if self.separator is not None else ()
             if part and len(cut) == len(part) - 1:
                 for w, a, b in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
