@@ -88,7 +88,8 @@ def feature_matrix(dense_global: DataFrame, series: list[str], target: str = TOT
     plus sibling series values for single-series targets, plus the target.
 
     `dense_global` is the dense grid over one shared calendar; rows with any
-    missing feature (the warm-up days) are dropped.
+    missing feature (the warm-up days) are dropped.  A listed series that the
+    grid does not hold (a product never sold) is a series of zeros.
     """
     f = lag_rolling(dense_global, bucket_days=bucket_days)
     names = lag_names() + rolling_names()
@@ -105,8 +106,10 @@ def feature_matrix(dense_global: DataFrame, series: list[str], target: str = TOT
         out = wide.join(tgt, "datum")
     else:
         out = wide.join(pivot_wide(dense_global, series), "datum")
-    out = out.withColumns(calendar_columns("datum"))
     feats = feature_columns(series, target)
+    # On one shared calendar a hole is a listed series without any rows: it counts as a zero series.
+    out = out.fillna(0.0, [c for c in [*feats, target] if c not in CALENDAR_FEATURES])
+    out = out.withColumns(calendar_columns("datum"))
     keep = F.lit(True)
     for c in feats:
         keep = keep & F.col(c).isNotNull()

@@ -125,6 +125,9 @@ def recursive_forecast(start: DataFrame, model: FoldModel, horizon: int = 30,
     buffer feedback.  Output: (series, step, datum, predicted, model_used).
     """
     P = model.n_buffers
+    longest = max((k for d in [*model.lags, *model.rolls] for k in d), default=0)
+    if longest > buffer_len:
+        raise ValueError(f"the model looks back {longest} days, its buffers hold {buffer_len}")
     has_consts = "consts" in start.columns and len(model.const_w) > 0
 
     def step(acc, i):
@@ -181,8 +184,9 @@ def recursive_forecast(start: DataFrame, model: FoldModel, horizon: int = 30,
 
 def start_buffers(daily: DataFrame, series: list[str], unit: str, length: int = BUFFER_DAYS) -> DataFrame:
     """One start row for `unit`: the last `length` values of each listed
-    series as buffers (in list order) and the last date.  Only the tails
-    (length rows per series) are gathered."""
+    series as buffers and the last date.  There is one buffer per listed
+    series, in list order; a series without rows has a buffer of zeros.  Only
+    the tails (length rows per series) are gathered."""
     order = F.create_map(*[x for i, s in enumerate(series) for x in (F.lit(s), F.lit(i))])
     t = tail_n(daily.where(F.col("series").isin(series)), length)
     per = t.groupBy("series").agg(
@@ -191,8 +195,10 @@ def start_buffers(daily: DataFrame, series: list[str], unit: str, length: int =
     per = per.select(F.element_at(order, F.col("series")).alias("i"), "last",
                      F.transform("pts", lambda x: x["value"]).alias("buf"))
     one = per.groupBy(F.lit(unit).alias("series")).agg(
-        F.array_sort(F.collect_list(F.struct("i", "buf"))).alias("b"), F.max("last").alias("last"))
-    return one.select("series", "last", F.transform("b", lambda x: x["buf"]).alias("bufs"))
+        F.map_from_entries(F.collect_list(F.struct("i", "buf"))).alias("b"), F.max("last").alias("last"))
+    slots = F.transform(F.array(*[F.lit(i) for i in range(len(series))]), lambda i: F.coalesce(
+        F.try_element_at(F.col("b"), i), F.array_repeat(F.lit(0.0), length)))
+    return one.select("series", "last", slots.alias("bufs"))
 
 
 def univariate_start(daily: DataFrame, length: int = BUFFER_DAYS) -> DataFrame:

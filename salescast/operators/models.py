@@ -54,15 +54,6 @@ DEFAULT_SPECS = [
     ModelSpec("Ridge", "ridge", {"alpha": 1.0}),
     ModelSpec("ElasticNet", "elasticnet", {"alpha": 1.0, "l1_ratio": 0.5}),
 ]
-# Small presets for interactive runs and registered queries.
-FAST_SPECS = [
-    ModelSpec("RandomForest", "forest", {"numTrees": 20, "maxDepth": 6, "seed": 42}),
-    ModelSpec("GBTDeep", "gbt", {"maxIter": 5, "maxDepth": 4, "stepSize": 0.3, "seed": 42}),
-    ModelSpec("GBTWide", "gbt", {"maxIter": 5, "maxDepth": 3, "stepSize": 0.1, "seed": 42}),
-    ModelSpec("GradientBoosting", "gbt", {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "seed": 42}),
-    ModelSpec("Ridge", "ridge", {"alpha": 1.0}),
-    ModelSpec("ElasticNet", "elasticnet", {"alpha": 1.0, "l1_ratio": 0.5}),
-]
 # -----------------------------------------------------------------------------
 
 
@@ -142,8 +133,9 @@ def train_models(fm: DataFrame, feature_cols: list[str], target: str,
         pred = preds[0]
         for p in preds[1:]:
             pred = pred.unionByName(p)
-        met = regression_metrics(pred, keys=("target", "model"))
-        rows = met.collect()  # one small row per model
+        rows = regression_metrics(pred, keys=("target", "model")).collect()  # one small row per model
+        # from the rows: a later use of the metrics does not score the models again
+        met = fm.sparkSession.createDataFrame([[r[f.name] for f in METRICS_SCHEMA] for r in rows], METRICS_SCHEMA)
     finally:
         data.unpersist()
     best = min(rows, key=lambda r: (r["rmse"], r["model"]))["model"]
@@ -331,6 +323,25 @@ def per_series_ridge(df: DataFrame, feature_cols: list[str], label: str = "value
     return stats.groupBy("series").applyInPandas(solve, schema)
 
 
+def save_coefficients(coefs: DataFrame, root: str, model: str) -> None:
+    """Per-series models as rows under root/_coefficients: (target, model, intercept, weights, n_train, saved_at)."""
+    coefs.select(F.col("series").alias("target"), F.lit(model).alias("model"), "intercept", "weights", "n_train",
+                 F.current_timestamp().alias("saved_at")) \
+        .write.mode("append").parquet(f"{root.rstrip('/')}/_coefficients")
+
+
+def load_coefficients(spark: SparkSession, root: str) -> DataFrame:
+    """Latest row per (target, model)."""
+    r = spark.read.schema(COEFFICIENTS).parquet(f"{root.rstrip('/')}/_coefficients")
+    return r.groupBy("target", "model").agg(F.max_by(F.struct(*r.columns), "saved_at").alias("r")).select("r.*")
+
+
+COEFFICIENTS = T.StructType([
+    T.StructField("target", T.StringType()), T.StructField("model", T.StringType()),
+    T.StructField("intercept", T.DoubleType()), T.StructField("weights", T.ArrayType(T.DoubleType())),
+    T.StructField("n_train", T.LongType()), T.StructField("saved_at", T.TimestampType())])
+
+
 def score_linear(df: DataFrame, coefs: DataFrame, feature_cols: list[str],
                  out: str = "predicted") -> DataFrame:
     """intercept + weights . features, JVM-side, coefficients joined per series."""

@@ -236,7 +236,8 @@ alerts AS (
   FROM scored WHERE n >= 5 AND abs(value - baseline_mean) > 2 * baseline_std)"""
 
 REGISTRY = TARGETS + """,
-registry AS (SELECT series AS target FROM targets GROUP BY series HAVING COUNT(*) >= 730),
+registry AS (SELECT series AS target FROM daily GROUP BY series  -- one complete feature row (30 lags) at least
+             HAVING datediff('day', MIN(datum), MAX(datum)) + 1 > 30),
 dim AS (SELECT DISTINCT p_type AS code FROM part),
 dimn AS (SELECT code, concat(upper(code[1]), lower(code[2:]), ' product line (part type ', code, ')') AS name FROM dim),
 catalog AS (SELECT d.code, d.name, substr(d.name, 1, 50) AS label, r.target IS NOT NULL AS has_model
@@ -347,8 +348,12 @@ SELECT s.series, s.datum, s.value, s.split,
        ROUND(COALESCE(CASE WHEN st.sd = 0 THEN NULL ELSE (s.value - st.m) / st.sd END, 0.0), 6) AS value_z
 FROM s JOIN st ON s.series = st.series""",
     ingest_validate=f"""
-WITH {EV_PAY}
-SELECT datum, CAST(COUNT(*) AS INTEGER) AS n_products, NULL::VARCHAR AS reason FROM ed GROUP BY datum""",
+WITH {EV_PAY}, g AS (SELECT datum, CAST(COUNT(*) AS INTEGER) AS n FROM ed GROUP BY datum)
+SELECT datum, n AS n_products, NULL::VARCHAR AS reason FROM g
+UNION ALL SELECT NULL, NULL, 'malformed_json' FROM g
+UNION ALL SELECT NULL, n, 'missing_datum' FROM g
+UNION ALL SELECT NULL, n, 'bad_datum' FROM g
+UNION ALL SELECT datum, NULL, 'missing_sales' FROM g""",
     ingest_explode=f"""
 WITH {EV_PAY},
 days AS (SELECT DISTINCT datum FROM ed), types AS (SELECT DISTINCT event_type AS series FROM events)
@@ -453,13 +458,14 @@ SQL["backfill_store"] = SQL["backfill_predictions"]
 SQL.update(_q(
     stream_predictions=f"""
 WITH {STREAM_FACTS},
-f AS (SELECT series, datum, value, {', '.join(_lag_cols(LAGS, True) + _roll_cols(WINDOWS, False)).replace('PARTITION BY series ORDER BY datum', 'PARTITION BY series ORDER BY datum')}
+f AS (SELECT series, datum, value, {', '.join(_lag_cols(LAGS, True) + _roll_cols(WINDOWS, False))}
       FROM facts)
 SELECT datum AS prediction_date, series AS target_product,
-       ROUND(GREATEST(0.0, 1.0::DOUBLE + 0.3::DOUBLE * lag_1 + 0.3::DOUBLE * lag_7
-                      + 0.2::DOUBLE * rolling_7 + 0.1::DOUBLE * rolling_30), 6) AS predicted_value,
+       ROUND(GREATEST(0.0, 1.0::DOUBLE + 0.3::DOUBLE * COALESCE(lag_1, 0.0) + 0.3::DOUBLE * COALESCE(lag_7, 0.0)
+                      + 0.2::DOUBLE * COALESCE(rolling_7, 0.0) + 0.1::DOUBLE * COALESCE(rolling_30, 0.0)),
+             6) AS predicted_value,
        'fixed_linear' AS model_used
-FROM f WHERE lag_1 IS NOT NULL""",
+FROM f""",
 ))
 
 
@@ -477,3 +483,56 @@ WITH {DENSE}, b AS (SELECT MIN(datum) AS lo, MAX(datum) AS hi FROM dense)
 SELECT series, datum, value,
        CASE WHEN datediff('day', datum, hi) < (datediff('day', lo, hi) + 1) // 6 THEN 'test' ELSE 'train' END AS split
 FROM dense, b"""
+
+
+# --- recursive forecasts over the buffers of all series ---------------------------
+_WE = ("CAST(CASE WHEN isodow(CAST(last + (step + 1) * INTERVAL 1 DAY AS DATE)) IN (6, 7) "
+       "THEN 1 ELSE 0 END AS DOUBLE)")
+_BUFS = ", ".join(f"(SELECT list_reverse((list(value ORDER BY datum DESC))[1:30]) FROM gdense "
+                  f"WHERE series = '{s}') AS b{p}" for p, s in enumerate(P_TYPES))
+_B = ", ".join(f"b{p}" for p in range(len(P_TYPES)))
+_S = ", ".join(f"s{p}" for p in range(len(P_TYPES)))
+
+
+def _tail_mean(b, w):
+    return f"(list_sum({b}[-{w}:]) / {w})"
+
+
+SQL["recursive_forecast_total"] = f"""
+WITH RECURSIVE {DENSE_GLOBAL},
+warm AS (SELECT g.series, g.datum, g.value FROM gdense g, gb WHERE g.datum >= gb.lo + INTERVAL 30 DAY),
+tot AS (SELECT AVG(v) AS m FROM (SELECT SUM(value) AS v FROM warm GROUP BY datum)),
+init AS (SELECT (SELECT MAX(datum) FROM gdense) AS last, {_BUFS}, {", ".join(
+    f"(SELECT AVG(value) FROM warm WHERE series = '{s}') / (SELECT m FROM tot) AS s{p}" for p, s in enumerate(P_TYPES))}),
+r(step, last, {_B}, {_S}, pred) AS (
+  SELECT 0, last, {_B}, {_S}, CAST(NULL AS DOUBLE) FROM init
+  UNION ALL
+  SELECT step + 1, last, {", ".join(f"list_append(b{p}, s{p} * p)[2:]" for p in range(len(P_TYPES)))}, {_S}, p
+  FROM (SELECT *, 5.0::DOUBLE - 2.0::DOUBLE * {_WE} + {" + ".join(
+      f"0.3::DOUBLE * b{p}[-1] + 0.2::DOUBLE * b{p}[-7] + 0.1::DOUBLE * {_tail_mean(f'b{p}', 3)}"
+      for p in range(len(P_TYPES)))} AS p FROM r WHERE step < 30) x)
+SELECT 'Total_Sales' AS series, CAST(step AS INTEGER) AS step, CAST(last + step * INTERVAL 1 DAY AS DATE) AS datum,
+       ROUND(GREATEST(0.0, pred), 6) AS predicted, 'fixed_linear' AS model_used
+FROM r WHERE step > 0"""
+
+# A target's own buffer takes its predictions; the other buffers repeat their last value.
+SQL["recursive_forecast_sibling"] = f"""
+WITH RECURSIVE {DENSE_GLOBAL},
+buf AS (SELECT series, MAX(datum) AS last, list_reverse((list(value ORDER BY datum DESC))[1:30]) AS b
+        FROM gdense GROUP BY series),
+sib AS (SELECT t.series, s.series AS other, s.b FROM buf t JOIN buf s ON t.series <> s.series),
+steps AS (SELECT CAST(i AS INTEGER) AS i FROM generate_series(0, 29) g(i)),
+moved AS (SELECT series, i, b[-1] AS last_value,
+                 list_concat(b, list_resize([]::DOUBLE[], i, b[-1]))[-30:] AS b FROM sib, steps),
+other AS (SELECT series, i, SUM(0.05::DOUBLE * last_value + 0.02::DOUBLE * list_avg(b)) AS add FROM moved GROUP BY 1, 2),
+r(series, step, last, b, pred) AS (
+  SELECT series, 0, last, b, CAST(NULL AS DOUBLE) FROM buf
+  UNION ALL
+  SELECT series, step + 1, last, list_append(b, p)[2:], p
+  FROM (SELECT r.series, r.step, r.last, r.b,
+               2.0::DOUBLE - 1.0::DOUBLE * {_WE} + 0.4::DOUBLE * b[-1] + 0.2::DOUBLE * b[-7]
+               + 0.2::DOUBLE * {_tail_mean('b', 7)} + o.add AS p
+        FROM r JOIN other o ON o.series = r.series AND o.i = r.step WHERE step < 30) x)
+SELECT series, CAST(step AS INTEGER) AS step, CAST(last + step * INTERVAL 1 DAY AS DATE) AS datum,
+       ROUND(GREATEST(0.0, pred), 6) AS predicted, 'fixed_linear' AS model_used
+FROM r WHERE step > 0"""

@@ -218,10 +218,10 @@ def _store(spark, sf_dir):
 
 
 def _registry(spark, sf_dir):
-    """Targets with at least two years of daily rows count as modelled."""
-    t = _targets(spark, sf_dir)
-    return t.groupBy(F.col("series").alias("target")).agg(F.count(F.lit(1)).alias("n")) \
-        .where(F.col("n") >= 730).select("target")
+    """The registry of a store with one fitted model per series: trained, saved and read back."""
+    root = scratch_path(spark, "models")
+    models.save_coefficients(_series_coefs(spark, sf_dir), root, "Ridge")
+    return models.load_coefficients(spark, root).select("target")
 
 
 def _catalog_dim(spark, sf_dir):
@@ -362,9 +362,16 @@ def _event_products(spark, sf_dir):
 
 @query
 def ingest_validate(spark, sf_dir):
-    v = ingest.validate_payloads(ingest.parse_payloads(_event_payloads(spark, sf_dir)),
-                                 _event_products(spark, sf_dir))
-    return v.select("datum", F.size("sales").alias("n_products"), "reason")
+    """Good payloads and, of each day, one with each kind of fault."""
+    good = _event_payloads(spark, sf_dir)
+    day, sales = (F.get_json_object("value", x) for x in ("$.datum", "$.sales"))
+    bad = good.select(F.explode(F.array(
+        F.format_string("not json %s", day),
+        F.format_string('{"sales":%s}', sales),
+        F.format_string('{"datum":"%s noon","sales":%s}', day, sales),
+        F.format_string('{"datum":"%s"}', day))).alias("value"))
+    v = ingest.validate_payloads(ingest.parse_payloads(good.union(bad)), _event_products(spark, sf_dir))
+    return v.select("datum", F.when(F.col("sales").isNotNull(), F.size("sales")).alias("n_products"), "reason")
 
 
 @query
@@ -392,6 +399,12 @@ SERIES_FEATURES = CALENDAR_FEATURES + features.lag_names() + features.rolling_na
 # --- fixed values: coefficients of the fixed-model queries ------------------------
 # recursive_forecast: 2 - 3*IsWeekend + 0.5*lag_1 + 0.2*lag_7 + 0.1*rolling_3
 FIXED_FOLD = {"intercept": 2.0, "is_weekend": -3.0, "lags": {1: 0.5, 7: 0.2}, "rolls": {3: 0.1}}
+# recursive_forecast_total: 5 - 2*IsWeekend + the sum over all series of 0.3*lag_1 + 0.2*lag_7 + 0.1*rolling_3
+FIXED_TOTAL = {"intercept": 5.0, "is_weekend": -2.0, "lags": {1: 0.3, 7: 0.2}, "rolls": {3: 0.1}}
+# recursive_forecast_sibling: 2 - IsWeekend + 0.4*lag_1 + 0.2*lag_7 + 0.2*rolling_7 of the series itself
+# + 0.05*lag_1 + 0.02 * the level of each sibling
+FIXED_SIBLING = {"intercept": 2.0, "is_weekend": -1.0, "lags": {1: 0.4, 7: 0.2}, "rolls": {7: 0.2},
+                 "sibling_lag_1": 0.05, "sibling_value": 0.02}
 # score_new_points: 1 + 0.3*lag_1 + 0.3*lag_7 + 0.2*rolling_7 + 0.1*rolling_30
 FIXED_SCORER = {"intercept": 1.0, "features": ["lag_1", "lag_7", "rolling_7", "rolling_30"],
                 "weights": [0.3, 0.3, 0.2, 0.1]}
@@ -429,6 +442,49 @@ def recursive_forecast(spark, sf_dir):
     return fc.select("series", "step", "datum", r6("predicted").alias("predicted"), "model_used")
 
 
+@query
+def recursive_forecast_total(spark, sf_dir):
+    """Total forecast over the buffers of all series; each step's prediction goes back into every buffer by
+    its series' share of the warmed-up days' total."""
+    s = _series_domain(spark, sf_dir)
+    g = ser.dense_grid(_daily(spark, sf_dir), span="global")
+    first = g.agg(ser.first_day().alias("d")).scalar()
+    mix = ser.product_mix(g.where(F.col("datum") >= F.date_add(first, max(features.LAGS))))
+    shares = mix.agg(F.map_from_entries(F.collect_list(F.struct("series", "share"))).alias("m")).scalar()
+    start = forecast.start_buffers(g, s, "Total_Sales").withColumn("mix", shares).withColumn("shares", F.array(
+        *[F.coalesce(F.try_element_at("mix", F.lit(x)), F.lit(0.0)) for x in s]))
+    c = FIXED_TOTAL
+    m = forecast.FoldModel(intercept=c["intercept"], n_buffers=len(s), calendar=[0, 0, 0, 0, 0, 0, c["is_weekend"]],
+                           lags=[c["lags"]] * len(s), rolls=[c["rolls"]] * len(s),
+                           share=[F.element_at("shares", p + 1) for p in range(len(s))])
+    fc = forecast.recursive_forecast(start, m, 30, model_name="fixed_linear")
+    return fc.select("series", "step", "datum", r6("predicted").alias("predicted"), "model_used")
+
+
+@query
+def recursive_forecast_sibling(spark, sf_dir):
+    """Every product's forecast (R2): its own buffer takes the predictions, its siblings' buffers repeat their
+    last value, and a sibling's value feature is its buffer's mean."""
+    s = _series_domain(spark, sf_dir)
+    g = ser.dense_grid(_daily(spark, sf_dir), span="global")
+    c, parts = FIXED_SIBLING, []
+    all_bufs = forecast.start_buffers(g, s, "all")
+    for i, name in enumerate(s):
+        own = [p == i for p in range(len(s))]
+        m = forecast.FoldModel(
+            intercept=c["intercept"], n_buffers=len(s), calendar=[0, 0, 0, 0, 0, 0, c["is_weekend"]],
+            lags=[c["lags"] if o else {1: c["sibling_lag_1"]} for o in own],
+            rolls=[c["rolls"] if o else {} for o in own],
+            mean_w=[0.0 if o else c["sibling_value"] for o in own],
+            share=[float(o) for o in own], hold=[float(not o) for o in own])
+        parts.append(forecast.recursive_forecast(all_bufs.withColumn("series", F.lit(name)), m, 30,
+                                                 model_name="fixed_linear"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.select("series", "step", "datum", r6("predicted").alias("predicted"), "model_used")
+
+
 @query
 def score_new_points(spark, sf_dir):
     dense = _dense(spark, sf_dir)
@@ -488,7 +544,7 @@ def recursive_forecast_product(spark, sf_dir):
 @query
 def model_leaderboard(spark, sf_dir):
     fm, s = _total_matrix(spark, sf_dir)
-    res = models.train_models(fm, features.feature_columns(s), "Total_Sales", specs=models.FAST_SPECS)
+    res = models.train_models(fm, features.feature_columns(s), "Total_Sales", specs=models.DEFAULT_SPECS)
     best = models.best_by_target(res.metrics)
     return res.metrics.join(best, "target").select(
         "target", "model", "n", r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"),
@@ -499,7 +555,7 @@ def model_leaderboard(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     fm, s = _total_matrix(spark, sf_dir)
     cols = features.feature_columns(s)
-    spec = [x for x in models.FAST_SPECS if x.kind == "forest"]
+    spec = [x for x in models.DEFAULT_SPECS if x.kind == "forest"]
     res = models.train_models(fm, cols, "Total_Sales", specs=spec)
     return models.feature_importance(spark, res.models[spec[0].name], cols, 10)
 
@@ -508,7 +564,7 @@ def feature_importance(spark, sf_dir):
 def model_registry(spark, sf_dir):
     fm, s = _total_matrix(spark, sf_dir)
     res = models.train_models(fm, features.feature_columns(s), "Total_Sales",
-                              specs=[x for x in models.FAST_SPECS if x.kind in ("ridge", "elasticnet")])
+                              specs=models.DEFAULT_SPECS)
     root = scratch_path(spark, "models")
     models.save_models(spark, res, root)
     reg = models.load_registry(spark, root).select("target", "model", "is_best")
@@ -540,28 +596,28 @@ from salescast.streaming import pipeline as stream  # noqa: E402
 
 
 def _stream_fixture(spark, sf_dir):
-    """Payload files from the events table, one file per week of days,
-    written in date order so the file source replays them in order."""
+    """Payload files from the events table, one file per week of days, in one
+    write: the (one a day) payloads pass one task in date order, so the files'
+    times, by which the file source replays them, are in order too."""
     root = scratch_path(spark, "stream")
     in_dir = f"{root}/incoming"
     ed = tables.events_daily(spark, sf_dir).withColumn("value", F.round("value", 2))
     pay = ingest.payloads_from_daily(ed).withColumn(
         "wk", F.floor(F.unix_date(F.to_date(F.get_json_object("value", "$.datum"))) / 7))
-    weeks = [r[0] for r in pay.select("wk").distinct().orderBy("wk").collect()]
-    for i, wk in enumerate(weeks):
-        pay.where(F.col("wk") == wk).select("value").coalesce(1).write.text(f"{in_dir}/part{i:05d}")
+    pay.repartition(1).sortWithinPartitions("wk", "value").write.partitionBy("wk").text(in_dir)
     return root, in_dir
 
 
 def _fixed_predictor(history, batch_facts):
     """Score each batch day from the rows before it (history and earlier
     days of the batch) with the fixed linear scorer."""
-    pts = features.features_asof(history, batch_facts)
     c = FIXED_SCORER
+    # a series' first day has nothing before it: its features count as 0
+    pts = features.features_asof(history, batch_facts).fillna(0.0, c["features"])
     coefs = batch_facts.select("series").distinct().select(
         "series", F.lit(c["intercept"]).alias("intercept"),
         F.array(*[F.lit(w) for w in c["weights"]]).alias("weights"))
-    s = models.score_linear(pts, coefs, c["features"], out="raw_pred").where(F.col("raw_pred").isNotNull())
+    s = models.score_linear(pts, coefs, c["features"], out="raw_pred")
     return s.select(F.col("datum").alias("prediction_date"), F.col("series").alias("target_product"),
                     F.greatest(F.lit(0.0), F.col("raw_pred")).alias("predicted_value"),
                     F.lit("fixed_linear").alias("model_used"))
@@ -607,9 +663,8 @@ def stream_daily_rollup(spark, sf_dir):
     root = scratch_path(spark, "rollup")
     src = f"{sf_dir.rstrip('/')}/events.parquet"
     schema = spark.read.parquet(src).schema
-    # The file source watches a directory; the glob keeps it to the events table.
-    ev = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-          .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    # The file source takes a table of one file only by way of a glob; this one also matches a directory of part files.
+    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src[:-1]}[{src[-1]}]")
     q = stream.write_rollup(stream.daily_rollup_stream(ev), f"{root}/out", f"{root}/_ckpt", "complete")
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/out")
@@ -663,7 +718,7 @@ def recursive_forecast_tree(spark, sf_dir):
     d = _daily(spark, sf_dir)
     fm, s = _total_matrix(spark, sf_dir)
     cols = features.feature_columns(s)
-    spec = [x for x in models.FAST_SPECS if x.kind == "forest"]
+    spec = [x for x in models.DEFAULT_SPECS if x.kind == "forest"]
     res = models.train_models(fm, cols, "Total_Sales", specs=spec)
     g = ser.dense_grid(d, span="global")
     shares = {r["series"]: r["share"] for r in ser.product_mix(g).collect()}

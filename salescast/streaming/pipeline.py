@@ -164,10 +164,15 @@ def daily_rollup_stream(events: DataFrame, watermark: str = "1 day") -> DataFram
 
 def write_rollup(agg: DataFrame, out_dir: str, checkpoint: str, mode: str = "complete"):
     """Run the rollup to completion; each micro-batch replaces the output
-    (complete mode) or appends finalized windows (append mode)."""
+    (complete mode) or adds finalized windows (append mode) as a partition of
+    its own, `batch`, which a replayed micro-batch overwrites."""
     def sink(df: DataFrame, batch_id: int) -> None:
         o = df.select("series", F.to_date(F.col("window.start")).alias("datum"), "value", "n_events")
-        o.write.mode("overwrite" if mode == "complete" else "append").parquet(out_dir)
+        if mode == "complete":
+            o.write.mode("overwrite").parquet(out_dir)
+        else:
+            (o.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out_dir))
 
     return (agg.writeStream.outputMode(mode).foreachBatch(sink)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

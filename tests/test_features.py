@@ -105,3 +105,12 @@ def test_dense_grid_global_span_fills_both_ends(spark):
     got = sorted((r.series, r.datum.day, r.value) for r in ser.dense_grid(df, span="global").collect())
     assert got == [("A", 1, 0.0), ("A", 2, 0.0), ("A", 3, 1.0), ("A", 4, 0.0), ("A", 5, 2.0),
                    ("B", 1, 3.0), ("B", 2, 4.0), ("B", 3, 0.0), ("B", 4, 0.0), ("B", 5, 0.0)]
+
+
+def test_unsold_product_is_a_zero_series(spark):
+    d = daily_df(spark, consecutive("A", "2024-01-01", [float(i) for i in range(60)]))
+    g = ser.dense_grid(d, span="global")
+    fm = features.feature_matrix(g, ["A", "B"])
+    assert fm.count() == 30
+    assert fm.where("B_lag_30 = 0 and B_rolling_3 = 0 and A_lag_1 > 0").count() == 30
+    assert features.feature_matrix(g, ["A", "B"], target="A").where("B = 0").count() == 30

@@ -105,3 +105,15 @@ def test_total_forecast_golden(spark):
     t = trends.trend_seasonality(tot).first()
     assert abs(t.trend_slope - (-0.8257)) < 1e-3 and abs(t.seasonal_strength - 0.1704) < 1e-3
     assert (t.peak_month, t.low_month) == (1, 7)
+
+
+def test_start_buffers_have_one_slot_per_listed_series(spark):
+    rows = consecutive("A", "2024-01-01", [1.0] * 40) + consecutive("C", "2024-01-01", [3.0] * 40)
+    r = forecast.start_buffers(daily_df(spark, rows), ["A", "B", "C"], "T").first()
+    assert [b[-1] for b in r.bufs] == [1.0, 0.0, 3.0] and [len(b) for b in r.bufs] == [30, 30, 30]
+
+
+def test_model_that_looks_back_beyond_its_buffers_is_refused(spark):
+    start = forecast.univariate_start(daily_df(spark, consecutive("A", "2024-01-01", [1.0] * 50)))
+    with pytest.raises(ValueError, match="looks back 31"):
+        forecast.recursive_forecast(start, forecast.FoldModel(intercept=0.0, lags=[{31: 1.0}]), 3)

@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 
 from salescast.operators import features, metrics, models
 
+# the six kinds with few and shallow trees
+SMALL_SPECS = [models.ModelSpec(s.name, s.kind, s.params | {
+    "forest": {"numTrees": 20, "maxDepth": 6}, "gbt": {"maxIter": 5, "maxDepth": 3}}.get(s.kind, {}))
+    for s in models.DEFAULT_SPECS]
+
 
 def test_per_series_ridge_matches_numpy(spark):
     rnd = random.Random(1)
@@ -50,13 +55,13 @@ def test_fast_leaderboard_and_registry(spark, tmp_path):
         {"dow": F.weekday("datum").cast("double")}).na.drop()
     cols = features.lag_names() + features.rolling_names() + ["dow"]
     fm = features.time_split(f, dense=True).withColumnRenamed("value", "y")
-    res = models.train_models(fm, cols, "y", specs=models.FAST_SPECS)
+    res = models.train_models(fm, cols, "y", specs=SMALL_SPECS)
     names = {r.model for r in res.metrics.collect()}
-    assert names == {s.name for s in models.FAST_SPECS}
+    assert names == {s.name for s in SMALL_SPECS}
     reg = models.save_models(spark, res, str(tmp_path / "models"))
     assert reg.where("is_best").count() == 1
     back = models.load_registry(spark, str(tmp_path / "models"))
-    assert back.count() == len(models.FAST_SPECS)
+    assert back.count() == len(SMALL_SPECS)
     pm = models.load_model(back.where("is_best").first().path)
     assert pm.transform(fm.where("split = 'test'")).count() == fm.where("split = 'test'").count()
     imp = models.feature_importance(spark, res.models["RandomForest"], cols, 5)
@@ -71,7 +76,7 @@ def test_train_all_targets_parallel(spark):
         f = features.lag_rolling(daily_df(spark, rows)).na.drop()
         f = features.time_split(f, dense=True).withColumnRenamed("value", t)
         frames[t] = (f, features.lag_names() + features.rolling_names())
-    lin = [s for s in models.FAST_SPECS if s.kind in ("ridge", "elasticnet")]
+    lin = [s for s in SMALL_SPECS if s.kind in ("ridge", "elasticnet")]
     res = models.train_all_targets(frames, lin, parallelism=2)
     lb = models.leaderboard(res)
     assert lb.count() == 4 and lb.where("is_best").count() == 2
