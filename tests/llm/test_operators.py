@@ -385,6 +385,32 @@ def test_passages_against_brute_force(spark, odd, none):
     assert passages.near_passages(odd).count() == 0 and passages.near_passages(none).count() == 0
 
 
+def test_passages_behind_fragments(spark):
+    rng = random.Random(19)
+    fill = lambda n: words(rng, n, 10**6)
+    texts, whole, twice = {}, {}, {}
+    for k in range(20):  # smaller ids hold fragments of 40 words, larger ones the passage of 50
+        passage = fill(50)
+        for i in range(3):
+            texts[3 * k + i] = fill(60) + passage[5 * i:5 * i + 40] + fill(60)
+        whole[k] = {100 + 3 * k + i for i in range(3)}
+        texts |= {i: fill(30) + passage + fill(30) for i in whole[k]}
+    for k in range(10):  # a smaller id holds a fragment first, the passage behind it
+        passage = fill(50)
+        twice[k] = {200 + k, 300 + k}
+        texts[200 + k] = passage[5:45] + fill(60) + passage + fill(20)
+        texts[300 + k] = fill(20) + passage + fill(20)
+    run = ["r1"] * 200
+    texts |= {400: fill(30) + run[:30] + fill(30), 401: fill(30) + run + fill(30), 402: run[:120] + fill(60)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = passages.near_passages(df).toPandas()
+    assert set(got.doc_id) == set().union(*whole.values(), *twice.values(), {401, 402})
+    for r in got.itertuples():
+        a, b = texts[r.doc_id][r.first_word:r.last_word + 1], texts[r.other_id][r.other_first:r.other_last + 1]
+        x, y = ({tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in (a, b))
+        assert len(a) >= 50 and len(x & y) / len(x | y) == pytest.approx(r.similarity) and r.similarity >= 0.8
+
+
 # 10 decontamination
 
 def test_decontamination_against_brute_force(spark, odd, none):
