@@ -14,6 +14,7 @@ Texts are read whole, piece by piece.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from dataclasses import dataclass
 
@@ -97,11 +98,21 @@ def places(grams: np.ndarray, k: int, cells: int) -> np.ndarray:
     return (mix(grams + U64(0x51ED270B * (k + 1))) & U64(cells - 1)).astype(np.int64)
 
 
-def fit(docs: DataFrame, own: float = 0.25, cells: int = 1 << 20, hashes: int = 2) -> LanguageFilters:
+def sized(owned: int, cells: int, hashes: int, wrong: float) -> tuple[int, int]:
+    """(cells, hashes) of the smallest filter, of ``cells`` or a power of two times that, with rate ``wrong`` or less."""
+    while True:
+        for k in range(hashes, 9):
+            if (1 - math.exp(-k * owned / cells)) ** k <= wrong:
+                return cells, k
+        cells *= 2
+
+
+def fit(docs: DataFrame, own: float = 0.25, cells: int = 1 << 20, hashes: int = 2, wrong: float = 0.05) -> LanguageFilters:
     """Learn from all rows of ``docs`` (text, lang).
 
-    What reaches the driver is the filter itself: at most ``cells`` rows, a power of two that is chosen for
-    the languages' owned trigrams; the rest is grouped in Spark.
+    ``cells`` (a power of two) and ``hashes`` are the least; both grow until the language with the most owned
+    trigrams has false positives at a rate of ``wrong`` at most.  What reaches the driver is the filter
+    itself, at most a row for each cell and slice; the rest is grouped in Spark.
     """
     counts = docs.where("lang is not null and text is not null").select("text", "lang") \
         .mapInPandas(count_trigrams, "lang string, gram long, n long") \
@@ -116,8 +127,10 @@ def fit(docs: DataFrame, own: float = 0.25, cells: int = 1 << 20, hashes: int =
     share = counts.join(F.broadcast(number), "lang").select("gram", (F.col("l") - 1).cast("int").alias("l"),
                                                             (F.col("n") / F.col("total")).alias("p"))
     top = share.groupBy("gram").agg(F.max("p").alias("top"))
-    owned = share.join(top, "gram").where(F.col("p") >= own * F.col("top")) \
-        .groupBy("gram", F.expr("l div 64").alias("slice")).agg(F.expr("bit_or(shiftleft(1L, l % 64))").alias("mask"))
+    owned = written(share.join(top, "gram").where(F.col("p") >= own * F.col("top")).select("gram", "l"), "langid-owned")
+    most = owned.groupBy("l").count().agg(F.max("count")).first()[0] or 0
+    cells, hashes = sized(most, cells, hashes, wrong)
+    owned = owned.groupBy("gram", F.expr("l div 64").alias("slice")).agg(F.expr("bit_or(shiftleft(1L, l % 64))").alias("mask"))
 
     def spread(batches):
         for pdf in batches:

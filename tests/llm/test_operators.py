@@ -135,6 +135,19 @@ def test_false_positives_are_corrected():
     assert langid.score_texts(["some words"], f)[0] == ["und"]  # a full slice says nothing
 
 
+def test_filter_grows_with_a_language_of_many_trigrams(spark):
+    rng = random.Random(4)
+    many = ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(400)) for _ in range(40)]
+    few = [" ".join(words(rng, 40)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, x) for x, part in (("zh", many), ("aa", few)) for i, t in enumerate(part)],
+                                 "doc_id long, text string, lang string")
+    f = langid.fit(docs, cells=1 << 10)
+    assert len(f.cells) > 1 << 10 and (f.rate ** f.hashes < 0.06).all()
+    for lang, part in (("zh", many), ("aa", few)):
+        got, score = langid.score_texts(part, f)
+        assert set(got) == {lang} and score.min() > 0.9
+
+
 # 5 personal data
 
 def test_pseudonyms_keep_format_and_links(spark, odd, none):
