@@ -537,16 +537,19 @@ def score_recent(spark, sf_dir):
 
 @query
 def recursive_forecast_product(spark, sf_dir):
-    d = _daily(spark, sf_dir)
+    """Every product's forecast by a model of its own (R2)."""
     s = _series_domain(spark, sf_dir)
-    target = s[0]
-    fm, _ = _total_matrix(spark, sf_dir, target=target)
-    cols = features.feature_columns(s, target)
-    res = models.train_models(fm, cols, target, specs=[models.ModelSpec("Ridge", "ridge", {"alpha": 1.0})])
-    b, ws = models.linear_coefficients(res.models["Ridge"], cols)
-    fmod = forecast.product_fold_model(b, ws, s.index(target), len(s))
-    start = forecast.start_buffers(ser.dense_grid(d, span="global"), s, target)
-    return forecast.recursive_forecast(start, fmod, 30, model_name="Ridge")
+    g = ser.dense_grid(_daily(spark, sf_dir), span="global")
+    res = models.train_all_targets(
+        {x: (_total_matrix(spark, sf_dir, target=x)[0], features.feature_columns(s, x)) for x in s},
+        specs=[models.ModelSpec("Ridge", "ridge", {"alpha": 1.0})])
+    out = None
+    for i, target in enumerate(s):
+        b, ws = models.linear_coefficients(res[target].models["Ridge"], features.feature_columns(s, target))
+        part = forecast.recursive_forecast(forecast.start_buffers(g, s, target),
+                                           forecast.product_fold_model(b, ws, i, len(s)), 30, model_name="Ridge")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query

@@ -117,3 +117,10 @@ def test_model_that_looks_back_beyond_its_buffers_is_refused(spark):
     start = forecast.univariate_start(daily_df(spark, consecutive("A", "2024-01-01", [1.0] * 50)))
     with pytest.raises(ValueError, match="looks back 31"):
         forecast.recursive_forecast(start, forecast.FoldModel(intercept=0.0, lags=[{31: 1.0}]), 3)
+
+
+def test_product_forecast_covers_every_product(spark):
+    from conftest import SF001
+    from salescast.plans.queries import QUERIES, _series_domain
+    got = QUERIES["recursive_forecast_product"](spark, SF001).groupBy("series").count().collect()
+    assert {r["series"]: r["count"] for r in got} == {x: 30 for x in _series_domain(spark, SF001)}
