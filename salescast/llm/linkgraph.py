@@ -4,7 +4,8 @@ The longest matching rule decides a page.  Every other page gets its host's verd
 from hosts whose pages the allow rules cover (personalised PageRank), distrust runs backward from hosts
 whose pages the block rules cover (who links to a blocked host is suspect, as far as its links go there),
 and a host whose distrust reaches ``threshold`` and exceeds its trust is blocked.  A seed's weight is the
-share of its pages that such rules decide.  Both scores lie between 0 and the number of hosts; distrust is 1 at most.  Links are the absolute links of the pages' HTML; a link inside a host keeps its weight.
+share of its pages that such rules decide.  Both scores lie between 0 and the number of hosts; distrust is 1 at most.  Links are the absolute links of the pages' HTML or, with ``resolve``, all its links, each resolved against its
+page's address (or the page's base element); a link inside a host keeps its weight.
 
 Inputs: pages (page_id, url, html); other columns are ignored.  A null url, or one without ``://``, has
 empty host and path, matches no rule and is allowed.  Null or empty html has no links.  Repeated rows
@@ -41,12 +42,34 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fits)) if len(fits) > 1 else fits[0]
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): the share of src's absolute links that go to dst, links within src included."""
-    links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(
+HREF = r"""\bhref\s*=\s*("[^"]*"|'[^']*'|[^"'\s>][^\s>]*)"""
+BASE = r"""<base\b[^>]*?""" + HREF + "[^>]*>"
+
+
+def resolved(host: Column, to: Column) -> Column:
+    """The host of a link ``to`` from a page of ``host``; null for one to no host, such as mailto:."""
+    to = F.trim(F.regexp_replace(to, r"""^["']|["']$""", ""))
+    return F.when(to.startswith("//"), host_of(F.concat(F.lit("x:"), to))) \
+        .when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), host_of(to)) \
+        .when(~to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), host)
+
+
+def resolved_links(pages: DataFrame) -> DataFrame:
+    """(src, dst) of every href of the pages' HTML."""
+    html = F.coalesce("html", F.lit(""))
+    base = F.regexp_extract(html, "(?i)" + BASE, 1)
+    return pages.select(F.col("host").alias("src"), F.when(base == "", F.col("host")).otherwise(
+        F.coalesce(resolved(F.col("host"), base), F.col("host"))).alias("base"), F.explode(
+            F.regexp_extract_all(F.regexp_replace(html, "(?i)" + BASE, ""), F.lit("(?i)" + HREF), F.lit(1))).alias("to")) \
+        .select("src", resolved(F.col("base"), F.col("to")).alias("dst"))
+
+
+def host_edges(pages: DataFrame, resolve: bool = False) -> DataFrame:
+    """(src, dst, weight): the share of src's links that go to dst, links within src included."""
+    links = resolved_links(pages) if resolve else pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(
         F.coalesce("html", F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]*)"""), F.lit(1)))
-        .alias("to")).select("src", host_of(F.col("to")).alias("dst")).where("src <> '' and dst <> ''") \
-        .groupBy("src", "dst").agg(F.count("*").alias("n"))
+        .alias("to")).select("src", host_of(F.col("to")).alias("dst"))
+    links = links.where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
     total = links.groupBy("src").agg(F.sum("n").alias("total"))
     return links.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
 
@@ -76,14 +99,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
 
 
 def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING,
-                steps: int = STEPS) -> DataFrame:
+                steps: int = STEPS, resolve: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages``."""
     parsed = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = parsed.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
     seeds = written(judged.where("host <> ''").groupBy("host").agg(
         F.avg((F.coalesce("r.verdict", F.lit("")) == "allow").cast("double")).alias("allow"),
         F.avg((F.coalesce("r.verdict", F.lit("")) == "block").cast("double")).alias("block")), "url-seeds")
-    edges = written(closed(written(host_edges(parsed), "url-links"), seeds), "url-edges")
+    edges = written(closed(written(host_edges(parsed, resolve), "url-links"), seeds), "url-edges")
     trust = propagate(edges, seeds.select("host", F.col("allow").alias("seed")).where("seed > 0"), damping, steps)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = propagate(back, seeds.select("host", F.col("block").alias("seed")).where("seed > 0"), damping, steps)
@@ -98,4 +121,4 @@ def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, dam
 
 
 def op6_link_graph(spark, sf_dir):
-    return judge_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return judge_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"), resolve=True)

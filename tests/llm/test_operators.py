@@ -234,6 +234,22 @@ def test_links_against_brute_force(spark):
     assert linkgraph.judge_pages(df.limit(0)).count() == 0
 
 
+def test_relative_links_stay_in_their_host(spark):
+    link = "<a href='http://bad.net/'>"
+    rows = [(1, "http://a.com/x/", "".join(f'<a href="{x}">' for x in ["/a", "?q", "b.html", "#c", ""] * 10) + link),
+            (2, "http://b.com/", '<A HREF="//BAD.net/x"><a href=//bad.net/y><a href="mailto:x@bad.net">'),
+            (3, "http://c.com/", '<base target=x href="//bad.net/z/"><a href=q.html><a href="http://c.com/">'),
+            (4, "http://bad.net/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, host string, html string") \
+        .withColumn("host", linkgraph.host_of(F.col("host")))
+    got = {(r.src, r.dst): r.weight for r in linkgraph.host_edges(pages, resolve=True).collect()}
+    assert got == {("a.com", "a.com"): pytest.approx(50 / 51), ("a.com", "bad.net"): pytest.approx(1 / 51),
+                   ("b.com", "bad.net"): 1.0, ("c.com", "bad.net"): 0.5, ("c.com", "c.com"): 0.5}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdict = {r.page_id: r.verdict for r in linkgraph.judge_pages(df, resolve=True).collect()}
+    assert verdict == {1: "allow", 2: "block", 3: "block", 4: "block"}
+
+
 # 7 near-duplicates
 
 def brute_components(texts, width, percent):
