@@ -440,6 +440,22 @@ def test_passages_behind_fragments(spark):
         assert len(a) >= 50 and len(x & y) / len(x | y) == pytest.approx(r.similarity) and r.similarity >= 0.8
 
 
+def test_passages_recall_at_the_least_similarity(spark):
+    rng = random.Random(29)
+    fill = lambda n: words(rng, n, 10**6)
+    texts = {}
+    for k in range(1000):  # 50 words, one changed: five of 46 shingles differ, or fewer near an end
+        passage = fill(50)
+        near = list(passage)
+        near[rng.randrange(5, 45)] = "other"
+        texts |= {2 * k: fill(30) + passage + fill(30), 2 * k + 1: fill(30) + near + fill(30)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = passages.near_passages(df).select("doc_id", "other_id").distinct().collect()
+    found = {r.doc_id // 2 for r in got if r.doc_id // 2 == r.other_id // 2}
+    print("recall", len(found) / 1000)
+    assert len(found) >= 995
+
+
 # 10 decontamination
 
 def test_decontamination_against_brute_force(spark, odd, none):
