@@ -124,3 +124,20 @@ def test_product_forecast_covers_every_product(spark):
     from salescast.plans.queries import QUERIES, _series_domain
     got = QUERIES["recursive_forecast_product"](spark, SF001).groupBy("series").count().collect()
     assert {r["series"]: r["count"] for r in got} == {x: 30 for x in _series_domain(spark, SF001)}
+
+
+def test_tree_forecast_trains_the_library_forest(spark, monkeypatch):
+    from conftest import SF001
+    from salescast.operators import models
+    from salescast.plans.queries import QUERIES
+
+    class Seen(Exception):
+        pass
+
+    def train(fm, cols, target, specs):
+        raise Seen(specs)
+
+    monkeypatch.setattr(models, "train_models", train)
+    with pytest.raises(Seen) as seen:
+        QUERIES["recursive_forecast_tree"](spark, SF001)
+    assert seen.value.args[0] == [x for x in models.DEFAULT_SPECS if x.kind == "forest"]
