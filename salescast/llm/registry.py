@@ -1,6 +1,7 @@
 """The queries of this subpackage, for the driver's entry module."""
 
-from . import decontaminate, langid, linkgraph, maglev, packing, passages, pivots, pseudonyms, quality_cnn, superminhash
+from . import (conversations, decontaminate, langid, linkgraph, maglev, packing, passages, pivots,
+               pseudonyms, quality_cnn, superminhash)
 
 QUERIES = {
     "op1_pivot_index": pivots.op1_pivot_index,
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_compact_windows": passages.op9_compact_windows,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op12_turn_repair": conversations.op12_turn_repair,
 }
 
 SQL = {
