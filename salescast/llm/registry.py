@@ -1,6 +1,6 @@
 """The queries of this subpackage, for the driver's entry module."""
 
-from . import (conversations, decontaminate, langid, linkgraph, maglev, packing, passages, pivots,
+from . import (bloomrank, conversations, decontaminate, langid, linkgraph, maglev, packing, passages, pivots,
                pseudonyms, quality_cnn, superminhash)
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_compact_windows": passages.op9_compact_windows,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_bit_sliced_search": bloomrank.op11_bit_sliced_search,
     "op12_turn_repair": conversations.op12_turn_repair,
 }
 
@@ -22,4 +23,5 @@ SQL = {
     "op1_pivot_index": pivots.SQL,
     "op7_superminhash": superminhash.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_bit_sliced_search": bloomrank.SQL,
 }
