@@ -1,6 +1,6 @@
 """The queries of this subpackage, for the driver's entry module."""
 
-from . import (bloomrank, conversations, decontaminate, langid, linkgraph, maglev, packing, passages, pivots,
+from . import (bloomrank, conversations, decontaminate, langid, linkgraph, lm, maglev, packing, passages, pivots,
                pseudonyms, quality_cnn, superminhash)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_bit_sliced_search": bloomrank.op11_bit_sliced_search,
     "op12_turn_repair": conversations.op12_turn_repair,
+    "op13_elias_fano_lm": lm.op13_elias_fano_lm,
 }
 
 SQL = {
