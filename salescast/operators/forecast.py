@@ -67,7 +67,7 @@ class FoldModel:
     value k steps back}, `rolls[p]` {w: weight of the mean of the last w
     values}, `last_w[p]` weight of the buffer's last value, `mean_w[p]` weight
     of the buffer mean.  `calendar` weights the seven calendar features of the
-    forecast day; `const_w` weights a per-row constant vector (`consts`).
+    forecast day.
     After each step buffer p receives share[p] * prediction + hold[p] * its
     own last value.
     """
@@ -78,7 +78,6 @@ class FoldModel:
     rolls: list = field(default_factory=list)
     last_w: list = field(default_factory=list)
     mean_w: list = field(default_factory=list)
-    const_w: list = field(default_factory=list)
     share: list = field(default_factory=list)
     hold: list = field(default_factory=list)
     feed_clamped: bool = False
@@ -118,9 +117,10 @@ def recursive_forecast(start: DataFrame, model: FoldModel, horizon: int = 30,
     """Roll `model` forward `horizon` days for every row of `start`.
 
     start: (series, last DATE, bufs ARRAY<ARRAY<DOUBLE>> oldest first
-    [, consts ARRAY<DOUBLE>]).  The whole recursion is one `aggregate` over
-    the step sequence -- a per-row fold, so rows (series) run in parallel and
-    nothing is collected.  The prediction of a step is bound once (a
+    [, adds ARRAY<DOUBLE>, model STRING]).  `adds` is added to the prediction:
+    one number for every step, or one per step.  `model` names the row's model.
+    The whole recursion is one `aggregate` over the step sequence -- a per-row
+    fold, so rows (series) run in parallel and nothing is collected.  The prediction of a step is bound once (a
     one-element `transform`) and used for the output (clamped at 0) and the
     buffer feedback.  Output: (series, step, datum, predicted, model_used).
     """
@@ -128,7 +128,7 @@ def recursive_forecast(start: DataFrame, model: FoldModel, horizon: int = 30,
     longest = max((k for d in [*model.lags, *model.rolls] for k in d), default=0)
     if longest > buffer_len:
         raise ValueError(f"the model looks back {longest} days, its buffers hold {buffer_len}")
-    has_consts = "consts" in start.columns and len(model.const_w) > 0
+    adds = "adds" in start.columns
 
     def step(acc, i):
         bufs = acc["bufs"]
@@ -151,9 +151,8 @@ def recursive_forecast(start: DataFrame, model: FoldModel, horizon: int = 30,
                 pred = add(pred, w, _tail_mean(b, k))
             pred = add(pred, model._p(model.last_w, p, 0.0), F.element_at(b, -1))
             pred = add(pred, model._p(model.mean_w, p, 0.0), _mean(b))
-        if has_consts:
-            for j, w in enumerate(model.const_w):
-                pred = add(pred, w, F.element_at(F.col("consts"), j + 1))
+        if adds:
+            pred = pred + F.element_at("adds", F.least(i, F.size("adds")))
 
         def advance(y):
             fb = F.greatest(F.lit(0.0), y) if model.feed_clamped else y
@@ -174,12 +173,12 @@ def recursive_forecast(start: DataFrame, model: FoldModel, horizon: int = 30,
     init = F.struct(F.col("bufs").alias("bufs"),
                     F.array().cast("array<double>").alias("out"))
     steps = F.sequence(F.lit(1), F.lit(horizon))
+    named = F.col("model") if "model" in start.columns else F.lit(model_name)
     folded = start.withColumn("_fc", F.aggregate(steps, init, step))
     return folded.select(
-        "series", "last", F.posexplode("_fc.out").alias("step0", "predicted")
+        "series", "last", named.alias("model_used"), F.posexplode("_fc.out").alias("step0", "predicted")
     ).select("series", (F.col("step0") + 1).alias("step"),
-             F.date_add("last", F.col("step0") + 1).alias("datum"), "predicted",
-             F.lit(model_name).alias("model_used"))
+             F.date_add("last", F.col("step0") + 1).alias("datum"), "predicted", "model_used")
 
 
 def start_buffers(daily: DataFrame, series: list[str], unit: str, length: int = BUFFER_DAYS) -> DataFrame:
@@ -201,14 +200,16 @@ def start_buffers(daily: DataFrame, series: list[str], unit: str, length: int =
     return one.select("series", "last", slots.alias("bufs"))
 
 
+def own_buffers(daily: DataFrame, length: int = BUFFER_DAYS) -> DataFrame:
+    """(series, last, buf): each series' last date and last `length` values, oldest first."""
+    per = tail_n(daily, length).groupBy("series").agg(
+        F.array_sort(F.collect_list(F.struct("datum", "value"))).alias("pts"), F.max("datum").alias("last"))
+    return per.select("series", "last", F.transform("pts", lambda x: x["value"]).alias("buf"))
+
+
 def univariate_start(daily: DataFrame, length: int = BUFFER_DAYS) -> DataFrame:
     """Start rows for per-series folds: each series' own last `length` values."""
-    t = tail_n(daily, length)
-    per = t.groupBy("series").agg(
-        F.array_sort(F.collect_list(F.struct("datum", "value"))).alias("pts"),
-        F.max("datum").alias("last"))
-    return per.select("series", "last",
-                      F.array(F.transform("pts", lambda x: x["value"])).alias("bufs"))
+    return own_buffers(daily, length).select("series", "last", F.array("buf").alias("bufs"))
 
 
 def total_fold_model(intercept: float, weights: list[float], series: list[str], shares: list[float],

@@ -6,9 +6,7 @@
 * Ridge / ElasticNet penalties are mapped to MLlib's parametrization so a
   given `alpha` means the same as in the usual least-squares formulation
   (0.5/n * RSS vs RSS, and MLlib's internal label scaling).
-* Many small series: `per_series_ridge` builds each series' Gram matrix as a
-  distributed aggregate (map-side combine, any series size) and solves the
-  small k x k systems per series.
+* Linear models of many series or targets, all folds in one pass: operators.linear.
 """
 
 from __future__ import annotations
@@ -25,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescast import schemas
+from salescast.operators import linear
 from salescast.operators.metrics import regression_metrics
 
 LINEAR = ("ridge", "elasticnet")
@@ -267,60 +266,14 @@ def per_series_ridge(df: DataFrame, feature_cols: list[str], label: str = "value
                      alpha: float = 1.0, split_col: str | None = "split") -> DataFrame:
     """Ridge(alpha) on standardized features, one model per series.
 
-    The Gram matrix X'X, X'y, sums and counts of each series' training rows
-    are plain Spark aggregates (partial on the map side, so a hot series is
-    split across tasks).  Only the k x k solve runs in pandas, one tiny row
-    per series.  Returns (series, intercept, weights array in raw-feature
-    space, n_train).
+    From centred co-moments (operators.linear): partial per task and mergeable, so a hot series is split across
+    tasks and the level of the data does not matter; one small solve per series.  Returns (series, intercept,
+    weights array in raw-feature space, n_train).
     """
-    k = len(feature_cols)
-    q = [f"CAST(`{c}` AS DOUBLE)" for c in feature_cols]
-    yq = f"CAST(`{label}` AS DOUBLE)"
     tr = df if split_col is None else df.where(F.col(split_col) == "train")
-    tr = tr.where(F.expr(" AND ".join(f"{e} IS NOT NULL" for e in [yq] + q)))
-    # X'X is symmetric: aggregate the upper triangle only.  The wide
-    # aggregate is given as SQL text so it is parsed once, not built call by
-    # call.
-    aggs = [F.count(F.lit(1)).alias("n"), F.expr(f"sum({yq})").alias("sy"),
-            F.expr(f"sum({yq} * {yq})").alias("syy"),
-            F.expr("array(" + ", ".join(f"sum({a})" for a in q) + ")").alias("sx"),
-            F.expr("array(" + ", ".join(f"sum({a} * {yq})" for a in q) + ")").alias("sxy"),
-            F.expr("array(" + ", ".join(f"sum({q[i]} * {q[j]})" for i in range(k) for j in range(i, k))
-                   + ")").alias("sxx_upper")]
-    stats = tr.groupBy("series").agg(*aggs)
-
-    def solve(pdf):
-        import numpy as np
-        import pandas as pd
-        out = []
-        for r in pdf.itertuples(index=False):
-            n = float(r.n)
-            sx = np.asarray(r.sx, dtype=float)
-            sxy = np.asarray(r.sxy, dtype=float)
-            sxx = np.zeros((k, k))
-            sxx[np.triu_indices(k)] = np.asarray(r.sxx_upper, dtype=float)
-            sxx = sxx + np.triu(sxx, 1).T
-            mu, ybar = sx / n, r.sy / n
-            cxx = sxx - n * np.outer(mu, mu)          # centred Gram
-            cxy = sxy - n * mu * ybar
-            sd = np.sqrt(np.clip(np.diag(cxx) / n, 0.0, None))   # population std
-            ok = sd > 0
-            d = np.where(ok, sd, 1.0)
-            zz = cxx / np.outer(d, d)
-            zy = cxy / d
-            zz[~ok, :] = 0.0
-            zz[:, ~ok] = 0.0
-            zy[~ok] = 0.0
-            w = np.linalg.solve(zz + alpha * np.eye(k), zy)
-            w_raw = np.where(ok, w / d, 0.0)
-            b = ybar - float(np.dot(w_raw, mu))
-            out.append((r.series, float(b), [float(v) for v in w_raw], int(n)))
-        return pd.DataFrame(out, columns=["series", "intercept", "weights", "n_train"])
-
-    schema = T.StructType([
-        T.StructField("series", T.StringType()), T.StructField("intercept", T.DoubleType()),
-        T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("n_train", T.LongType())])
-    return stats.groupBy("series").applyInPandas(solve, schema)
+    parts = linear.series_moments(tr.withColumn("test_fold", F.lit(None).cast("int")), feature_cols, label)
+    return linear.fit_series(parts, feature_cols, [ModelSpec("Ridge", "ridge", {"alpha": alpha})], [linear.ALL_ROWS]) \
+        .select("series", "intercept", "weights", "n_train")
 
 
 def save_coefficients(coefs: DataFrame, root: str, model: str) -> None:

