@@ -354,6 +354,8 @@ UNION ALL SELECT NULL, NULL, 'malformed_json' FROM g
 UNION ALL SELECT NULL, n, 'missing_datum' FROM g
 UNION ALL SELECT NULL, n, 'bad_datum' FROM g
 UNION ALL SELECT datum, NULL, 'missing_sales' FROM g""",
+    ingest_unknown_codes=f"""
+WITH {EV_PAY} SELECT datum, series AS code, value FROM ed WHERE series = (SELECT MIN(event_type) FROM events)""",
     ingest_explode=f"""
 WITH {EV_PAY},
 days AS (SELECT DISTINCT datum FROM ed), types AS (SELECT DISTINCT event_type AS series FROM events)
@@ -406,7 +408,27 @@ facts AS (SELECT series, datum, value FROM prod
           UNION ALL SELECT 'Total_Sales', datum, SUM(value) FROM prod GROUP BY datum)"""
 
 SQL.update(_q(
-    stream_process=f"WITH {STREAM_FACTS} SELECT series, datum, ROUND(value, 6) AS value FROM facts",
+    stream_process=f"""
+WITH {STREAM_FACTS},
+f AS (SELECT series, datum, value, lag(value, 1) OVER w AS lag_1, lag(value, 7) OVER w AS lag_7,
+             CASE WHEN COUNT(value) OVER w7 = 7 THEN AVG(value) OVER w7 END AS rolling_7,
+             AVG(value) OVER w7 AS mean_7, AVG(value) OVER before AS mean_before
+      FROM facts WINDOW w AS (PARTITION BY series ORDER BY datum),
+        w7 AS (PARTITION BY series ORDER BY datum ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+        before AS (PARTITION BY series ORDER BY datum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY datum) - 1 AS pos, COUNT(*) OVER (PARTITION BY series) AS n
+      FROM f WHERE lag_7 IS NOT NULL AND rolling_7 IS NOT NULL),
+l AS (SELECT series, value AS y, pos >= n - n // 6 AS test, 'Lag1' AS model, lag_1 AS x FROM p
+      UNION ALL SELECT series, value, pos >= n - n // 6, 'Lag7', lag_7 FROM p
+      UNION ALL SELECT series, value, pos >= n - n // 6, 'Mean7', rolling_7 FROM p),
+c AS (SELECT series, model, regr_slope(y, x) AS w, regr_intercept(y, x) AS b FROM l WHERE NOT test GROUP BY 1, 2),
+m AS (SELECT l.series, l.model, w, b, 1.0 - sum((y - b - w * x) * (y - b - w * x)) / (var_pop(y) * COUNT(*)) AS r2
+      FROM l JOIN c ON l.series = c.series AND l.model = c.model WHERE test GROUP BY 1, 2, 3, 4),
+best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY series ORDER BY r2 DESC, model) = 1)
+SELECT f.series, datum, ROUND(value, 6) AS value,
+       ROUND(GREATEST(0.0, b + w * COALESCE(CASE model WHEN 'Lag1' THEN COALESCE(lag_1, mean_before)
+             WHEN 'Lag7' THEN COALESCE(lag_7, mean_before) ELSE mean_7 END, 0.0)), 2) AS predicted
+FROM f JOIN best ON f.series = best.series""",
     stream_anomaly=f"""
 WITH {STREAM_FACTS},
 scored AS (
@@ -452,6 +474,7 @@ FROM tt""",
 WITH {STORE}
 SELECT series, datum, value, predicted, source, ingest_ts, strftime(datum, '%Y-%m') AS month FROM store""",
 ))
+SQL["stream_anomaly_state"] = SQL["stream_anomaly"]
 SQL["backfill_store"] = SQL["backfill_predictions"]
 
 

@@ -370,19 +370,26 @@ def ingest_validate(spark, sf_dir):
         F.format_string('{"sales":%s}', sales),
         F.format_string('{"datum":"%s noon","sales":%s}', day, sales),
         F.format_string('{"datum":"%s"}', day))).alias("value"))
-    v = ingest.validate_payloads(ingest.parse_payloads(good.union(bad)), _event_products(spark, sf_dir))
+    v = ingest.parse_payloads(good.union(bad))
     return v.select("datum", F.when(F.col("sales").isNotNull(), F.size("sales")).alias("n_products"), "reason")
 
 
 @query
 def ingest_explode(spark, sf_dir):
-    v = ingest.validate_payloads(ingest.parse_payloads(_event_payloads(spark, sf_dir)),
-                                 _event_products(spark, sf_dir))
-    valid, _ = ingest.split_valid(v)
+    valid, _ = ingest.split_valid(ingest.parse_payloads(_event_payloads(spark, sf_dir)))
     return ingest.explode_payloads(valid, series_list(_event_products(spark, sf_dir)
                                                       .withColumnRenamed("code", "series")))
 
 
+@query
+def ingest_unknown_codes(spark, sf_dir):
+    """Entries whose code the product dimension lacks: here it lacks the first event type."""
+    codes = _event_products(spark, sf_dir)
+    known = codes.where(F.col("code") > codes.agg(F.min("code")).scalar())
+    u = ingest.unknown_codes(ingest.parse_payloads(_event_payloads(spark, sf_dir)), known)
+    return u.select("datum", "code", "value")
+
+
 @query
 def records_json(spark, sf_dir):
     return ingest.records_json(_daily(spark, sf_dir).select("series", "datum", "value"))
@@ -391,7 +398,7 @@ def records_json(spark, sf_dir):
 # --- models and recursive forecasts ---------------------------------------------
 
 from salescast.functions.calendar import CALENDAR_FEATURES  # noqa: E402
-from salescast.operators import linear, models, targets  # noqa: E402
+from salescast.operators import linear, models, registry, targets  # noqa: E402
 from salescast.schemas import TOTAL_SERIES  # noqa: E402
 from salescast.session import scratch_path  # noqa: E402
 
@@ -657,6 +664,7 @@ def predictions_long(spark, sf_dir):
 
 # --- streaming ----------------------------------------------------------------
 
+from salescast.streaming import alerts as stream_alerts  # noqa: E402
 from salescast.streaming import pipeline as stream  # noqa: E402
 
 
@@ -688,11 +696,36 @@ def _fixed_predictor(history, batch_facts):
                     F.lit("fixed_linear").alias("model_used"))
 
 
-def _run_stream_process(spark, sf_dir):
+STREAM_FEATURES = ["lag_1", "lag_7", "rolling_7"]
+
+
+def _event_facts(spark, sf_dir):
+    """What the payload stream stores: every type on every day, and the day's total."""
+    valid, _ = ingest.split_valid(ingest.parse_payloads(_event_payloads(spark, sf_dir)))
+    codes = series_list(_event_products(spark, sf_dir).withColumnRenamed("code", "series"))
+    return ser.all_targets(ingest.explode_payloads(valid, codes))
+
+
+def _stream_registry(spark, sf_dir, root):
+    """Three regressions for each target on the features of the days before, fitted, measured and saved."""
+    f = features.lag_rolling(_event_facts(spark, sf_dir), [1, 7], [7], include_current=False)
+    p = features.time_folds(f.where(linear.complete(linear.vector(STREAM_FEATURES))), dense=True)
+    specs = [models.ModelSpec(n, "ridge", {"alpha": 0.0, "features": [x]})
+             for n, x in (("Lag1", "lag_1"), ("Lag7", "lag_7"), ("Mean7", "rolling_7"))]
+    coefs = linear.fit_series(linear.series_moments(p, STREAM_FEATURES), STREAM_FEATURES, specs, [linear.HOLDOUT])
+    m = linear.cross_validate(p, coefs, STREAM_FEATURES, fold=linear.HOLDOUT)
+    registry.save_linear(coefs, m, STREAM_FEATURES, root)
+
+
+def _run_stream_process(spark, sf_dir, scored=False):
     root, in_dir = _stream_fixture(spark, sf_dir)
     prods = _event_products(spark, sf_dir)
     codes = series_list(prods.withColumnRenamed("code", "series"))
-    proc = stream.BatchProcessor(f"{root}/store", prods, codes, predictor=_fixed_predictor)
+    scorer = None
+    if scored:
+        _stream_registry(spark, sf_dir, f"{root}/models")
+        scorer = registry.BestModelScorer(spark, f"{root}/models")
+    proc = stream.BatchProcessor(f"{root}/store", prods, codes, predictor=_fixed_predictor, scorer=scorer)
     q = stream.run_ingest(spark, f"{in_dir}/*", f"{root}/store", f"{root}/_ckpt", proc,
                           max_files_per_trigger=1)
     q.awaitTermination()
@@ -701,24 +734,38 @@ def _run_stream_process(spark, sf_dir):
 
 @query
 def stream_process(spark, sf_dir):
-    root = _run_stream_process(spark, sf_dir)
+    """Streamed facts, each scored by its target's best registered model."""
+    root = _run_stream_process(spark, sf_dir, scored=True)
     f = stream.read_facts(spark, f"{root}/store")
-    return f.select("series", "datum", r6("value").alias("value"))
+    return f.select("series", "datum", r6("value").alias("value"), "predicted")
 
 
 @query
 def stream_anomaly(spark, sf_dir):
     root = _run_stream_process(spark, sf_dir)
-    a = spark.read.parquet(f"{root}/store/alerts")
+    a = store_io.read_table(spark, f"{root}/store", "alerts")
     return a.select("series", "datum", r6("value").alias("value"), "n",
                     r6("baseline_mean").alias("baseline_mean"), r6("baseline_std").alias("baseline_std"),
                     "alert_type", "severity")
 
 
+@query
+def stream_anomaly_state(spark, sf_dir):
+    """The same alerts from keyed state: no read of the fact store."""
+    root, in_dir = _stream_fixture(spark, sf_dir)
+    codes = series_list(_event_products(spark, sf_dir).withColumnRenamed("code", "series"))
+    valid, _ = ingest.split_valid(ingest.parse_payloads(stream.payload_stream(spark, f"{in_dir}/*", 1)))
+    facts = ingest.explode_with_total(valid, codes, TOTAL_SERIES)
+    stream_alerts.write_alerts(stream_alerts.alert_stream(facts), f"{root}/alerts", f"{root}/_ckpt").awaitTermination()
+    a = stream_alerts.read_alerts(spark, f"{root}/alerts")
+    return a.select("series", "datum", r6("value").alias("value"), "n", r6("baseline_mean").alias("baseline_mean"),
+                    r6("baseline_std").alias("baseline_std"), "alert_type", "severity")
+
+
 @query
 def stream_predictions(spark, sf_dir):
     root = _run_stream_process(spark, sf_dir)
-    p = spark.read.parquet(f"{root}/store/predictions")
+    p = store_io.read_table(spark, f"{root}/store", "predictions")
     return p.select("prediction_date", "target_product", r6("predicted_value").alias("predicted_value"),
                     "model_used")
 

@@ -39,6 +39,7 @@ SALES_STORE = T.StructType([
     T.StructField("predicted", T.DoubleType(), True),
     T.StructField("source", T.StringType(), True),
     T.StructField("ingest_ts", T.TimestampType(), True),
+    T.StructField("batch", T.LongType(), True),
     T.StructField("month", T.StringType(), True),
 ])
 
@@ -48,15 +49,31 @@ PREDICTIONS = T.StructType([
     T.StructField("target_product", T.StringType(), True),
     T.StructField("predicted_value", T.DoubleType(), True),
     T.StructField("model_used", T.StringType(), True),
+    T.StructField("batch", T.LongType(), True),
+    T.StructField("month", T.StringType(), True),
 ])
 
 ALERTS = T.StructType([
     T.StructField("ts", T.TimestampType(), True),
     T.StructField("series", T.StringType(), True),
     T.StructField("datum", T.DateType(), True),
+    T.StructField("value", T.DoubleType(), True),
+    T.StructField("baseline_mean", T.DoubleType(), True),
+    T.StructField("baseline_std", T.DoubleType(), True),
+    T.StructField("n", T.LongType(), True),
     T.StructField("alert_type", T.StringType(), True),
     T.StructField("message", T.StringType(), True),
     T.StructField("severity", T.StringType(), True),
+    T.StructField("batch", T.LongType(), True),
+    T.StructField("month", T.StringType(), True),
+])
+
+# Records that a stream set aside, with the reason; `batches` numbers groups of micro-batches.
+QUARANTINE = T.StructType([
+    T.StructField("raw", T.StringType(), True),
+    T.StructField("reason", T.StringType(), True),
+    T.StructField("batch", T.LongType(), True),
+    T.StructField("batches", T.LongType(), True),
 ])
 
 MODEL_REGISTRY = T.StructType([

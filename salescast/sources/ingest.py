@@ -36,23 +36,16 @@ def parse_payloads(text: DataFrame, text_col: str = "value") -> DataFrame:
     return x.select("raw", datum.alias("datum"), sales.alias("sales"), reason.alias("reason"))
 
 
-def validate_payloads(parsed: DataFrame, products: DataFrame) -> DataFrame:
-    """Parsed records with their reason; codes outside the product dimension (column `code`) are no fault.
-
-    Such codes are ignored by what follows; ``unknown_codes`` lists them.
-    """
-    return parsed
-
-
 def unknown_codes(parsed: DataFrame, products: DataFrame) -> DataFrame:
-    """(datum, code, value): the entries of usable records whose code is not in the product dimension."""
+    """(datum, code, value): the entries of usable records whose code is not in the product dimension
+    (column `code`).  Such codes are no fault of the record; the explosion into facts ignores them."""
     return parsed.where(F.col("reason").isNull()).select("datum", F.explode("sales").alias("code", "value")) \
         .join(products.select("code"), "code", "left_anti").select("datum", "code", "value")
 
 
-def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantine)."""
-    return validated.where(F.col("reason").isNull()), validated.where(F.col("reason").isNotNull())
+    return parsed.where(F.col("reason").isNull()), parsed.where(F.col("reason").isNotNull())
 
 
 def explode_payloads(valid: DataFrame, products: list[str]) -> DataFrame:
@@ -71,6 +64,15 @@ def payload_total(valid: DataFrame, products: list[str]) -> DataFrame:
     return valid.select("datum", F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v).alias("total"))
 
 
+def explode_with_total(valid: DataFrame, products: list[str], total: str) -> DataFrame:
+    """(series, datum, value): a payload's products and, as the series `total`, their sum, in one pass (for streams)."""
+    values = F.transform(F.array(*[F.lit(p) for p in products]), lambda k: F.struct(
+        k.alias("series"), F.coalesce(F.try_element_at(F.col("sales"), k), F.lit(0.0)).alias("value")))
+    both = valid.select("datum", values.alias("r"))
+    row = F.struct(F.lit(total).alias("series"), F.aggregate(F.col("r.value"), F.lit(0.0), lambda a, v: a + v).alias("value"))
+    return both.select("datum", F.explode(F.concat("r", F.array(row))).alias("r")).select("r.series", "datum", "r.value")
+
+
 def payloads_from_daily(daily: DataFrame) -> DataFrame:
     """Build one JSON payload per day from (series, datum, value) rows."""
     g = daily.groupBy("datum").agg(F.map_from_entries(F.collect_list(F.struct("series", "value"))).alias("sales"))

@@ -6,44 +6,30 @@ Flow per micro-batch (``foreachBatch``):
   of the batch rows against the store (pruned to the months the look-back
   needs) -> write alerts.
 
-Facts written by the stream are partitioned by (month, batch): a micro-batch
-that is replayed after a failure overwrites exactly its own partitions
-(dynamic partition overwrite), so retries never duplicate rows.  The stream
-checkpoint is the recovery boundary; state lives in the store, not in
-executor memory.
+Facts carry the number of their micro-batch as a column; a micro-batch that is
+replayed after a failure replaces exactly its own rows (store.write_batch), so
+retries never duplicate rows.  The stream checkpoint is the recovery boundary;
+state lives in the store, not in executor memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from salescast import schemas
 from salescast.operators.anomaly import BASELINE_DAYS, anomaly_alerts
 from salescast.schemas import TOTAL_SERIES
-from salescast.sources import ingest
+from salescast.sources import ingest, store
 
-FACTS = T.StructType([
-    T.StructField("series", T.StringType()),
-    T.StructField("datum", T.DateType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("predicted", T.DoubleType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("ingest_ts", T.TimestampType()),
-    T.StructField("month", T.StringType()),
-    T.StructField("batch", T.LongType()),
-])
-
-
-def _p(root: str, name: str) -> str:
-    return f"{root.rstrip('/')}/{name}"
+HISTORY_DAYS = 120  # twice the longest look-back of the features, and more, in days
+FACTS = schemas.SALES_STORE
 
 
 def read_facts(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(FACTS).option("basePath", _p(root, "sales_data")).parquet(_p(root, "sales_data"))
+    return store.read_table(spark, root, "sales_data")
 
 
 def payload_stream(spark: SparkSession, in_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -58,13 +44,16 @@ class BatchProcessor:
     """The per-micro-batch chain, usable as ``foreachBatch(processor)``."""
 
     def __init__(self, root: str, products: DataFrame, product_codes: list[str],
-                 scorer: Callable[[DataFrame], DataFrame] | None = None,
+                 scorer: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
                  baseline_days: int = BASELINE_DAYS, source: str = "realtime",
-                 predictor: Callable[[DataFrame, DataFrame], DataFrame] | None = None):
-        """scorer: facts -> facts with `predicted` (stored with the facts).
-        predictor: (store slice before the batch, batch facts) -> rows of
-        (prediction_date, target_product, predicted_value, model_used),
-        appended to the predictions table (one row per target and model)."""
+                 predictor: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+                 history_days: int = HISTORY_DAYS):
+        """Both callables get (store slice before the batch, batch facts).
+        scorer: -> facts with `predicted`, stored with the facts (registry.BestModelScorer).
+        predictor: -> rows of (prediction_date, target_product, predicted_value, model_used),
+        appended to the predictions table (one row per target and model).
+        The slice holds the rows of the `history_days` before the batch's first day: the read
+        is pruned to their months, however long the store."""
         self.predictor = predictor
         self.root = root
         self.products = products
@@ -72,73 +61,60 @@ class BatchProcessor:
         self.scorer = scorer
         self.days = baseline_days
         self.source = source
+        self.history_days = history_days
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        validated = ingest.validate_payloads(ingest.parse_payloads(batch), self.products)
-        validated = validated.persist()
+        validated = ingest.parse_payloads(batch).persist()
+        facts = None
         try:
             valid, bad = ingest.split_valid(validated)
-            (bad.select("raw", "reason", F.lit(batch_id).cast("long").alias("batch"))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch").parquet(_p(self.root, "quarantine")))
+            if not bad.isEmpty():
+                store.write_batch(bad.select("raw", "reason"), self.root, "quarantine", batch_id)
+            first = valid.agg(F.min("datum")).first()[0]
+            if first is None:
+                return
             long = ingest.explode_payloads(valid, self.codes)
             # each payload has its own total, so facts do not depend on how days fall into batches
             facts = long.unionByName(ingest.payload_total(valid, self.codes).select(
                 F.lit(TOTAL_SERIES).alias("series"), "datum", F.col("total").alias("value")))
             if self.scorer is not None:
-                facts = self.scorer(facts)
+                facts = self.scorer(self._history(spark, first, batch_id), facts)
             if "predicted" not in facts.columns:
                 facts = facts.withColumn("predicted", F.lit(None).cast("double"))
             # used by the predictor, the store write and the anomaly keys
             facts = facts.persist()
-            self._cached = facts
-            out = facts.select(
-                "series", "datum", F.col("value").cast("double"), F.col("predicted").cast("double"),
-                F.lit(self.source).alias("source"), F.current_timestamp().alias("ingest_ts"),
-                F.date_format("datum", "yyyy-MM").alias("month"), F.lit(batch_id).cast("long").alias("batch"))
             if self.predictor is not None:
-                self._predict(spark, valid, facts, batch_id)
-            (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("month", "batch").parquet(_p(self.root, "sales_data")))
-            self._check_anomalies(spark, valid, facts.select("series", "datum", "value"), batch_id)
+                self._predict(spark, first, facts, batch_id)
+            store.write_batch(facts.drop("model_used"), self.root, "sales_data", batch_id, self.source)
+            self._check_anomalies(spark, first, facts.select("series", "datum", "value"), batch_id)
         finally:
             validated.unpersist()
-            if getattr(self, "_cached", None) is not None:
-                self._cached.unpersist()
-                self._cached = None
-
-    def _predict(self, spark: SparkSession, valid: DataFrame, facts: DataFrame, batch_id: int) -> None:
+            if facts is not None:
+                facts.unpersist()
+
+    def _history(self, spark: SparkSession, first, batch_id: int) -> DataFrame:
+        """The store's rows before the batch, of the months that the look-back needs."""
+        lo = F.date_sub(F.lit(first), self.history_days)
+        own = (F.col("batch") == batch_id) & (F.col("source") == self.source)
+        hist = store.read_or_empty(spark, self.root, "sales_data").where(
+            (F.col("month") >= F.date_format(lo, "yyyy-MM")) & (F.col("datum") >= lo) & ~F.coalesce(own, F.lit(False)))
+        return hist.select("series", "datum", "value")
+
+    def _predict(self, spark: SparkSession, first, facts: DataFrame, batch_id: int) -> None:
         """Score the batch days from the store state before the batch."""
-        try:  # a missing path fails when the read is defined, not in a job
-            hist = read_facts(spark, self.root).where(F.col("batch") != batch_id)
-        except AnalysisException as e:  # no store before the first batch
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            hist = spark.createDataFrame([], FACTS)
-        preds = self.predictor(hist.select("series", "datum", "value"), facts.select("series", "datum", "value"))
-        (preds.select(F.current_timestamp().alias("ts"), "prediction_date", "target_product",
-                      F.col("predicted_value").cast("double"), "model_used",
-                      F.lit(batch_id).cast("long").alias("batch"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch").parquet(_p(self.root, "predictions")))
-
-    def _check_anomalies(self, spark: SparkSession, valid: DataFrame, keys: DataFrame, batch_id: int) -> None:
+        preds = self.predictor(self._history(spark, first, batch_id), facts.select("series", "datum", "value"))
+        store.write_batch(preds, self.root, "predictions", batch_id)
+
+    def _check_anomalies(self, spark: SparkSession, first, keys: DataFrame, batch_id: int) -> None:
         """Alerts for this batch's rows, each against the store's trailing
         window (store already holds the batch: insert before check)."""
-        lo = valid.agg(F.min("datum")).first()[0]
-        if lo is None:
-            return
-        start = F.date_sub(F.lit(lo), self.days)
-        store = read_facts(spark, self.root).where(
+        start = F.date_sub(F.lit(first), self.days)
+        rows = read_facts(spark, self.root).where(
             (F.col("month") >= F.date_format(start, "yyyy-MM")) & (F.col("datum") >= start))
-        alerts = anomaly_alerts(store.select("series", "datum", "value"), self.days)
+        alerts = anomaly_alerts(rows.select("series", "datum", "value"), self.days)
         alerts = alerts.join(keys, ["series", "datum", "value"], "left_semi")
-        (alerts.select(F.current_timestamp().alias("ts"), "series", "datum", "value", "n", "baseline_mean",
-                       "baseline_std", "alert_type", "message", "severity",
-                       F.lit(batch_id).cast("long").alias("batch"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch").parquet(_p(self.root, "alerts")))
+        store.write_batch(alerts, self.root, "alerts", batch_id)
 
 
 def run_ingest(spark: SparkSession, in_dir: str, root: str, checkpoint: str, processor: BatchProcessor,

@@ -16,7 +16,7 @@ def test_validation_reasons(spark):
         'not json',
     ]
     prods = spark.createDataFrame([("M01AB",), ("N02BA",)], "code string")
-    v = ingest.validate_payloads(ingest.parse_payloads(_text(spark, lines)), prods)
+    v = ingest.parse_payloads(_text(spark, lines))
     got = {r.raw: r.reason for r in v.collect()}
     assert [got[x] for x in lines] == [None, None, "missing_datum", "bad_datum", "missing_sales", None, "malformed_json"]
     assert [tuple(r) for r in ingest.unknown_codes(v, prods).select("code", "value").collect()] == [("XXX", 2.0)]
@@ -26,8 +26,7 @@ def test_validation_reasons(spark):
 
 def test_explode_missing_product_is_zero(spark):
     prods = spark.createDataFrame([("A",), ("B",)], "code string")
-    v = ingest.validate_payloads(ingest.parse_payloads(_text(spark, ['{"datum":"2025-01-01","sales":{"A":2.5}}'])),
-                                 prods)
+    v = ingest.parse_payloads(_text(spark, ['{"datum":"2025-01-01","sales":{"A":2.5}}']))
     ok, bad = ingest.split_valid(v)
     got = sorted((r.series, r.value) for r in ingest.explode_payloads(ok, ["A", "B"]).collect())
     assert got == [("A", 2.5), ("B", 0.0)] and bad.count() == 0
@@ -37,7 +36,7 @@ def test_duplicate_and_out_of_order_days_are_kept(spark):
     lines = ['{"datum":"2025-01-02","sales":{"A":1}}', '{"datum":"2025-01-01","sales":{"A":2}}',
              '{"datum":"2025-01-02","sales":{"A":3}}']
     prods = spark.createDataFrame([("A",)], "code string")
-    v = ingest.validate_payloads(ingest.parse_payloads(_text(spark, lines)), prods)
+    v = ingest.parse_payloads(_text(spark, lines))
     assert v.where("reason is null").count() == 3
 
 

@@ -17,9 +17,7 @@ def test_entry_and_registry_consistent(spark):
     # only the documented rows-only keys lack an oracle)
     assert set(SQL) <= set(E.queries())
     rows_only = set(Q.QUERIES) - set(SQL)
-    assert rows_only == {"per_series_ridge", "forecast_product", "score_recent", "recursive_forecast_product",
-                         "model_leaderboard", "feature_importance", "model_registry",
-                         "recursive_forecast_tree"}
+    assert rows_only == {"model_leaderboard", "feature_importance", "model_registry", "recursive_forecast_tree"}
 
 
 def test_recent_filter_pushed_to_scan(spark):
