@@ -12,8 +12,8 @@ ranks among the followers of b, small numbers.  Every level is a monotone Elias-
 range of children goes on from the last value before it) with Elias-Fano pointers to its ranges; the
 levels are flat buffers that are read in place, by selects and a binary search in a bucket.
 
-Work goes by blocks of documents, each coded once with numbers of its own and kept as a table in the shared
-folder.  A block sends its distinct words to the shards of words, which count them and answer with counts
+Work goes by blocks of documents, each coded once with numbers of its own and kept in a bucketed table in the
+shared folder, so that what comes back to a block meets it without moving it.  A block sends its distinct words to the shards of words, which count them and answer with counts
 and numbers; then its distinct trigrams to the shards of middle words (a frequent middle word is dealt out
 further, by the word that follows).  A shard sums the counts of learned documents, builds its part of the
 trie, and answers every block's list with codes of a byte or two.  Nothing is broadcast, pruned or
@@ -36,11 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salescast.session import scratch_path
+
 from .common import U64, mix, table, written
 
-BLOCK, SHARD = 1 << 21, 1 << 21  # tokens of a block of documents, and of a shard, about
+BLOCK, SHARD = 3 << 18, 3 << 18  # tokens of a block of documents, and of a shard, about
 MU = 2.0, 3.0  # of bigrams and trigrams
-OFFSET, STEP = 20.0, 1024  # a code is (log10 + OFFSET) * STEP in 16 bits
+OFFSET, STEP = 20.0, 256  # a code is (log10 + OFFSET) * STEP in 16 bits
 START = 0  # the number of what stands before a text; words' numbers begin at 1
 END = b""  # the word that ends a text; no word of a text is empty
 SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.int64)
@@ -53,7 +55,7 @@ def pack(*arrays) -> bytes:
         a = np.ascontiguousarray(a, "<u8")
         width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
         out += [np.array([len(a), width], "<u8").tobytes(), a.view(np.uint8).reshape(-1, 8).T[:width].tobytes()]
-    return zstandard.compress(b"".join(out), 1)
+    return zstandard.compress(b"".join(out), 3)
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:
@@ -125,6 +127,11 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self.select(self.high, self.ones, i) - i) << self.l) | self.low_bits(i).astype(np.int64)
 
+    def all(self) -> np.ndarray:
+        i = np.arange(self.n)
+        high = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little")) - i
+        return (high << self.l) | self.low_bits(i).astype(np.int64)
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Where ``x`` is, of a strictly increasing sequence; -1: nowhere."""
         out = np.full(len(x), -1)
@@ -132,19 +139,21 @@ class EliasFano:
             return out
         bucket = x >> self.l
         ask = np.flatnonzero(bucket <= int(self.get(np.array([self.n - 1]))[0]) >> self.l)
-        x, bucket = x[ask], bucket[ask]
-        zeros = ~self.high
-        hi = end = self.select(zeros, self.zeros, bucket) - bucket
+        bucket, want = bucket[ask], x[ask].astype(U64) & U64((1 << self.l) - 1)
+        zeros = ~self.high  # a zero ends each bucket
+        end = self.select(zeros, self.zeros, bucket) - bucket
         lo = np.where(bucket > 0, self.select(zeros, self.zeros, np.maximum(bucket - 1, 0)) - bucket + 1, 0)
-        want = x.astype(U64) & U64((1 << self.l) - 1)
-        while (lo < hi).any():
+        some = lo < end
+        ask, want, lo, hi = ask[some], want[some], lo[some], end[some] - 1
+        while len(ask):  # the value is in lo to hi, if anywhere
             mid = (lo + hi) >> 1
-            less = (lo < hi) & (self.low_bits(np.minimum(mid, self.n - 1)) < want)
-            hi = np.where((lo < hi) & ~less, mid, hi)
-            lo = np.where(less, mid + 1, lo)
-        hit = lo < end
-        hit[hit] = self.low_bits(lo[hit]) == want[hit]
-        out[ask[hit]] = lo[hit]
+            low = self.low_bits(mid)
+            hit = low == want
+            out[ask[hit]] = mid[hit]
+            less = low < want
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid - 1)
+            on = ~hit & (lo <= hi)
+            ask, want, lo, hi = ask[on], want[on], lo[on], hi[on]
         return out
 
 
@@ -152,8 +161,9 @@ class Level:
     """Children of nodes: ranges of increasing values, one after another, each going on from the last one before."""
 
     def __init__(self, raw):
-        n = int(np.frombuffer(raw, "<u8", 1)[0])
-        self.pointers, self.values = EliasFano(raw[8:8 + n]), EliasFano(raw[8 + n:])
+        n, m = np.frombuffer(raw, "<u8", 2).tolist()
+        self.values = EliasFano(raw[16 + n + m:])
+        self.start, self.base = EliasFano(raw[16:16 + n]).all(), EliasFano(raw[16 + n:16 + n + m]).all()
 
     @staticmethod
     def of(parent: np.ndarray, value: np.ndarray, parents: int) -> bytes:
@@ -163,18 +173,18 @@ class Level:
         most = np.zeros(parents, np.int64)
         most[has] = value[start[1:][has] - 1] + 1
         base = np.cumsum(most) - most
-        pointers = EliasFano.of(start)
-        return np.array([len(pointers)], "<u8").tobytes() + pointers + EliasFano.of(value + 1 + base[parent])
+        pointers, bases = EliasFano.of(start), EliasFano.of(base)
+        return np.array([len(pointers), len(bases)], "<u8").tobytes() + pointers + bases \
+            + EliasFano.of(value + base[parent])
 
     def find(self, parent: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The child of ``parent`` with ``value``; -1: none, also for parent -1."""
         out = np.full(len(parent), -1)
         ask = np.flatnonzero(parent >= 0)
         if len(ask) and self.values.n:
-            lo, hi = self.pointers.get(parent[ask]), self.pointers.get(parent[ask] + 1)
-            last = np.where(lo > 0, self.values.get(np.maximum(lo - 1, 0)), 0)
-            at = self.values.find(value[ask] + 1 + last)
-            out[ask] = np.where((at >= lo) & (at < hi), at, -1)
+            up = parent[ask]
+            at = self.values.find(value[ask] + self.base[up])
+            out[ask] = np.where((at >= self.start[up]) & (at < self.start[up + 1]), at, -1)
         return out
 
 
@@ -210,15 +220,15 @@ class Trie:
                 "p2": code(np.log10(p2)).tobytes(), "weight": code(np.log10(mu / (n_pair + mu))).tobytes(),
                 "p3": code(np.log10(n_gram / mu + decode_p(code(np.log10(p2)))[follower])).tobytes()}
 
-    def ask(self, b, c, p2_none, pair, a):
-        """Codes of trigrams (pair, a), and of the weights of pairs (b, c) as contexts."""
-        root = self.root.find(b)
+    def ask(self, b, times, c, p2_none, pair, a):
+        """Codes of trigrams (pair, a), and of the weights of pairs as contexts; the next ``times`` c follow each b."""
+        root = np.repeat(self.root.find(b), times)
         node = self.followers.find(root, c)
-        p2, weight = code(np.log10(p2_none)), np.full(len(b), code(np.zeros(1))[0])
+        p2, weight = code(np.log10(p2_none)), np.full(len(c), code(np.zeros(1))[0])
         p2[node >= 0], weight[node >= 0] = self.p2[node[node >= 0]], self.weight[node[node >= 0]]
         seen = np.flatnonzero(node[pair] >= 0)
-        first = np.zeros(len(b), np.int64)
-        first[root >= 0] = self.followers.pointers.get(root[root >= 0])
+        first = np.zeros(len(c), np.int64)
+        first[root >= 0] = self.followers.start[root[root >= 0]]
         p3, up = p2[pair], pair[seen]
         at = self.successors.find(self.contexts.find(root[up], a[seen]), node[up] - first[up])
         p3[seen[at >= 0]] = self.p3[at[at >= 0]]
@@ -238,7 +248,10 @@ class Numbers(dict):
 
 
 def blocks(docs: DataFrame, held_out, tokens: int = BLOCK) -> DataFrame:
-    """(block, ids, held, stream, words, n_words, n_tokens): coded documents, and each block's words by hash and count."""
+    """(block, ids, held, stream, words, n_words, n_tokens): coded documents, and each block's words by hash and count.
+
+    ``words`` is in order of hash, held as differences; the stream tells which number each has in the block.
+    """
     def run(batches):
         base, k = TaskContext.get().partitionId() << 32, 0
         schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.string())), ("held", pa.list_(pa.bool_())),
@@ -251,8 +264,10 @@ def blocks(docs: DataFrame, held_out, tokens: int = BLOCK) -> DataFrame:
             stream, n = np.concatenate(coded), np.array([len(x) for x in coded])
             count = np.bincount(stream, np.repeat(~np.array(held), n), len(number))
             hashes = np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in number), "<u8")
+            order = np.argsort(hashes)
             return pa.RecordBatch.from_pylist([{
-                "block": base + k, "ids": ids, "held": held, "stream": pack(stream, n), "words": pack(hashes, count),
+                "block": base + k, "ids": ids, "held": held, "stream": pack(stream, n, order),
+                "words": pack(np.diff(hashes[order], prepend=U64(0)), count[order]),
                 "n_words": len(number), "n_tokens": len(stream)}], schema)
 
         number, ids, held, coded, _ = fresh()
@@ -282,20 +297,23 @@ def count_words(coded: DataFrame, shards: int) -> DataFrame:
         schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("list", pa.binary())])
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes, count = unpack(raw)
-                order, cuts = by_shard((hashes % U64(shards)).astype(np.int64), shards)
+                step, count = unpack(raw)
+                hashes = np.cumsum(step, dtype=U64)
+                cuts = np.searchsorted((hashes >> U64(32)) * U64(shards) >> U64(32), np.arange(shards + 1, dtype=U64))
                 for s in range(shards):
-                    at = order[cuts[s]:cuts[s + 1]]
-                    if len(at):
-                        yield pa.RecordBatch.from_pylist([{"shard": s, "block": block, "list": pack(hashes[at], count[at])}],
-                                                         schema)
+                    at = slice(cuts[s], cuts[s + 1])
+                    if at.start < at.stop:
+                        yield pa.RecordBatch.from_pylist([{"shard": s, "block": block, "list": pack(
+                            np.diff(hashes[at], prepend=U64(0)), count[at])}], schema)
 
     def answer(pdf):
         got, shard = [unpack(x) for x in pdf["list"]], int(pdf["shard"].iloc[0])
-        words, at = np.unique(np.concatenate([h for h, _ in got]), return_inverse=True)
+        words, at = np.unique(np.concatenate([np.cumsum(h, dtype=U64) for h, _ in got]), return_inverse=True)
         count = np.bincount(at, np.concatenate([c for _, c in got]), len(words)).astype(np.int64)
         cuts = np.cumsum([len(h) for h, _ in got])[:-1]
-        out = [pack(x * shards + shard + 1, count[x]) for x in np.split(at, cuts)]
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(words))  # small numbers for frequent words
+        out = [pack(rank[x] * shards + shard + 1, count[x]) for x in np.split(at, cuts)]
         first = np.arange(len(got)) == 0
         return pd.DataFrame({"block": pdf["block"], "shard": shard, "answer": out, "v": first * int((count > 0).sum()),
                              "n": first * int(count.sum())})
@@ -313,12 +331,10 @@ def by_shard(shard: np.ndarray, shards: int):
 class Grams:
     """A block's distinct pairs and trigrams, in the order in which shards are asked."""
 
-    def __init__(self, row, answers: list[bytes], word_shards: int, shards: int, total: int):
-        hashes, _ = unpack(row["words"])
-        self.tokens, self.n = (x.astype(np.int64) for x in unpack(row["stream"]))
-        order, _ = by_shard((hashes % U64(word_shards)).astype(np.int64), word_shards)
+    def __init__(self, stream: bytes, answers: list[bytes], shards: int, total: int):
+        self.tokens, self.n, order = (x.astype(np.int64) for x in unpack(stream))
         got = [unpack(x) for x in answers]
-        size = len(hashes)
+        size = len(order)
         self.number, self.count = np.full(size + 1, START, np.int64), np.zeros(size + 1, np.int64)
         self.number[order], self.count[order] = (np.concatenate(x).astype(np.int64) for x in zip(*got))
         self.count[size] = self.count[0]  # as many texts begin as end
@@ -363,22 +379,32 @@ def answer_lists(lists: list[bytes], n: int, v: int, mu) -> list[bytes]:
     parts, sizes, offset = [], [], 0
     for raw in lists:
         b, n_b, times, c, n_c, grams, a, learned = (x.astype(np.int64) for x in unpack(raw))
-        parts.append((np.repeat(b, times), np.repeat(n_b, times), c, n_c, np.repeat(np.arange(len(c)), grams) + offset, a, learned))
+        parts.append((b, times, np.repeat(n_b, times), c, n_c, np.repeat(np.arange(len(c)), grams) + offset, a, learned))
         sizes.append((len(c), len(a)))
         offset += len(c)
-    b, n_b, c, n_c, pair, a, learned = (np.concatenate(x) for x in zip(*parts))
+    b, times, n_b, c, n_c, pair, a, learned = (np.concatenate(x) for x in zip(*parts))
     del parts
     p1 = (n_c + 1) / (n + v + 1)
 
     def p2(n_pair, at):
         return (n_pair + mu[0] * p1[at]) / (n_b[at] + mu[0])
 
-    trie = Trie(Trie.levels(b, c, p2, pair, a, learned, mu[1]))
-    p3, weight = trie.ask(b, c, p2(0, slice(None)), pair, a)
+    trie = Trie(Trie.levels(np.repeat(b, times), c, p2, pair, a, learned, mu[1]))
+    p3, weight = trie.ask(b, times, c, p2(0, slice(None)), pair, a)
     cuts = np.cumsum(sizes, axis=0)[:-1]
     return [pack(x, y) for x, y in zip(np.split(p3, cuts[:, 1]), np.split(weight, cuts[:, 0]))]
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder in buckets of ``key``: grouping by it later needs no shuffle."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table_name = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key) \
+        .option("path", path).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 RESULT = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -387,7 +413,7 @@ def score_texts(docs: DataFrame, held_out, mu: tuple[float, float] = MU, block:
 
     ``held_out``: condition on doc_id (null: false) of what is scored but not learned.
     """
-    coded = written(blocks(docs, held_out, block), "lm-blocks")
+    coded = bucketed(blocks(docs, held_out, block), "block", "lm-blocks")
     words, tokens = coded.agg(F.sum("n_words"), F.sum("n_tokens")).first()
     word_shards, shards = (max(1, -(-(x or 0) // shard)) for x in (words, tokens))
     known = written(count_words(coded, word_shards), "lm-words")
@@ -396,7 +422,7 @@ def score_texts(docs: DataFrame, held_out, mu: tuple[float, float] = MU, block:
     def grams(left, right):
         row = left.iloc[0]
         said = right[right["kind"] == 0].sort_values("shard")["answer"].tolist()
-        return row, Grams(row, said, word_shards, shards, n)
+        return row, Grams(row["stream"], said, shards, n)
 
     def ask(left, right):
         row, g = grams(left, right)
@@ -421,6 +447,7 @@ def score_texts(docs: DataFrame, held_out, mu: tuple[float, float] = MU, block:
                              "train_tokens": n, "base_score": base, "score": total})
 
     said = known.select(F.lit(0).alias("kind"), "block", "shard", "answer")
+    coded = coded.select("block", "ids", "held", "stream")
     asked = coded.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(ask, "shard long, block long, list binary")
     codes = written(asked.groupBy("shard").applyInPandas(answer, "kind int, block long, shard long, answer binary"), "lm-codes")
     out = coded.groupBy("block").cogroup(said.union(codes).groupBy("block")).applyInPandas(score, RESULT)
