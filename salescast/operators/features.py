@@ -51,7 +51,8 @@ def lag_rolling(dense: DataFrame, lags=LAGS, windows=WINDOWS, include_current: b
     return bucketed_window(dense, max(halo, 1), compute, bucket_days)
 
 
-def features_asof(history: DataFrame, points: DataFrame, lags=LAGS, windows=WINDOWS) -> DataFrame:
+def features_asof(history: DataFrame, points: DataFrame, lags=LAGS, windows=WINDOWS,
+                  block_rows: int | None = None) -> DataFrame:
     """Serving-time features for new points from the rows before them.
 
     Each point sees the history and the earlier points (the store's state
@@ -61,6 +62,10 @@ def features_asof(history: DataFrame, points: DataFrame, lags=LAGS, windows=WIND
     rows, whatever the gaps between their dates: of what lies before a series'
     earliest point, its newest rows enter, as many as the longest look-back
     (a partial limit per task before the shuffle), and all rows since.
+
+    With `block_rows` no task windows a whole series: rows are numbered
+    (`row_numbers`), and windowed in blocks of so many rows, each with the
+    rows that the look-back needs from the block before.
     """
     lags, windows = list(lags), list(windows)
     look = max(lags + windows)
@@ -72,14 +77,43 @@ def features_asof(history: DataFrame, points: DataFrame, lags=LAGS, windows=WIND
         .withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= look).drop("_n")
     h = before.unionByName(since).select("series", "datum", "value", F.lit(False).alias("_new"))
     p = points.select("series", "datum", "value", F.lit(True).alias("_new"))
-    w = Window.partitionBy("series").orderBy("datum", "_new")
+    rows = h.unionByName(p)
+    if block_rows is None:
+        w = Window.partitionBy("series").orderBy("datum", "_new", "value")
+    else:
+        if block_rows < look:
+            raise ValueError(f"a block of {block_rows} rows is shorter than the look-back of {look}")
+        at = F.col("_pos")
+        own = F.floor(at / block_rows)
+        rows = row_numbers(rows, ["datum", "_new", "value"]).withColumn("_own", own).withColumn("_block", F.explode(
+            F.when(at % block_rows >= block_rows - look, F.array(own, own + 1)).otherwise(F.array(own))))
+        w = Window.partitionBy("series", "_block").orderBy("_pos")
+    # fewer than k earlier rows are there only in a series' first block, which begins with its first row
     mean_before = F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, -1))
     cols: dict[str, Column] = {}
     for k in lags:
         cols[f"lag_{k}"] = F.coalesce(F.lag("value", k).over(w), mean_before)
     for k in windows:
         cols[f"rolling_{k}"] = F.avg("value").over(w.rowsBetween(-k, -1))
-    return h.unionByName(p).withColumns(cols).where("_new").drop("_new")
+    out = rows.withColumns(cols).where("_new")
+    if block_rows is not None:
+        out = out.where("_block = _own").drop("_pos", "_own", "_block")
+    return out.drop("_new")
+
+
+def row_numbers(rows: DataFrame, order: list[str], bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
+    """`_pos`: a row's place (from 0) in its series by `order`, which begins with the date.
+
+    No task orders a whole series: rows are ranked within calendar buckets, and a bucket's rows come after
+    those of all buckets before it, whose counts are summed in a frame of one row per series and bucket.
+    """
+    x = rows.withColumn("_bucket", F.floor(F.unix_date(order[0]) / bucket_days))
+    n = x.groupBy("series", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("series").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select("series", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("series", "_bucket").orderBy(*order))
+    return x.withColumn("_rank", rank).join(n, ["series", "_bucket"]) \
+        .withColumn("_pos", F.col("_before") + F.col("_rank") - 1).drop("_bucket", "_rank", "_before")
 
 
 def feature_matrix(dense_global: DataFrame, series: list[str], target: str = TOTAL_SERIES,

@@ -17,7 +17,11 @@ from salescast.functions.calendar import CALENDAR_FEATURES, calendar_columns
 from salescast.functions.columns import clamp_nonneg, round2
 from salescast.operators import features as feat
 from salescast.operators import linear
-from salescast.session import scratch_path
+from salescast.operators.forecast import BUFFER_DAYS
+from salescast.operators.forecast import _lag as lag_of
+from salescast.operators.forecast import _push as push
+from salescast.operators.forecast import _tail_mean as tail_mean
+from salescast.session import checkpoint_dir, scratch_path
 
 OWN_FEATURES = CALENDAR_FEATURES + feat.lag_names() + feat.rolling_names()
 
@@ -74,10 +78,18 @@ def points(history: DataFrame, facts: DataFrame, lags=feat.LAGS, windows=feat.WI
     return x.fillna(missing, feat.lag_names(lags) + feat.rolling_names(windows)).withColumns(calendar_columns("datum"))
 
 
-def score(rows: DataFrame, best_rows: DataFrame, out: str = "predicted", none: float | None = 0.0) -> DataFrame:
-    """``rows`` (series and feature columns) with ``out``, rounded to cents and not below 0, and ``model_used``.
+def pipelines(best_rows: DataFrame) -> dict[str, PipelineModel]:
+    """The saved pipelines that ``best_rows`` refer to, by path (a few: each serves many targets)."""
+    paths = best_rows.where("path is not null").select("path").distinct().collect()
+    return {r.path: PipelineModel.load(r.path) for r in sorted(paths)}
+
+
+def score(rows: DataFrame, best_rows: DataFrame, out: str = "predicted", none: float | None = 0.0,
+          loaded: dict[str, PipelineModel] | None = None, cents: bool = True) -> DataFrame:
+    """``rows`` (series and feature columns) with ``out``, rounded to ``cents`` and not below 0, and ``model_used``.
 
     ``best_rows``: at most one registry row per target.  A row without a model gets ``none`` and a null model.
+    ``loaded``: the pipelines, if they are at hand.
     """
     named = F.map_from_arrays(F.array(*[F.lit(f) for f in OWN_FEATURES]),
                               F.array(*[F.col(f).cast("double") for f in OWN_FEATURES]))
@@ -86,19 +98,46 @@ def score(rows: DataFrame, best_rows: DataFrame, out: str = "predicted", none: f
     joined = rows.join(m, "series", "left")
 
     def finish(df: DataFrame, p: Column) -> DataFrame:
-        return df.withColumn(out, F.coalesce(round2(clamp_nonneg(p)), F.lit(none).cast("double"))) \
+        p = round2(clamp_nonneg(p)) if cents else clamp_nonneg(p)
+        # greatest() skips nulls: a row without a model has no prediction, not 0
+        return df.withColumn(out, F.when(F.col("model_used").isNotNull(), p).otherwise(F.lit(none).cast("double"))) \
             .select(*rows.columns, out, "model_used")
 
     x = F.transform("features", lambda f: F.element_at(named, f))
     dot = F.aggregate(F.zip_with("weights", x, lambda w, v: w * v), F.col("intercept"), lambda a, v: a + v)
-    scored = finish(joined.where("path is null"), F.when(F.col("model_used").isNotNull(), dot))
-    paths = [r.path for r in m.where("path is not null").select("path").distinct().collect()]  # a row per pipeline
-    for path in sorted(paths):
-        part = PipelineModel.load(path).transform(joined.where(F.col("path") == path))
+    scored = finish(joined.where("path is null"), dot)
+    for path, model in (pipelines(best_rows) if loaded is None else loaded).items():
+        part = model.transform(joined.where(F.col("path") == path))
         scored = scored.unionByName(finish(part, F.col("prediction")))
     return scored
 
 
+def forecast_best(buffers: DataFrame, best_rows: DataFrame, horizon: int = 30) -> DataFrame:
+    """(series, step, datum, predicted, model_used): every target's recursive forecast by its best model.
+
+    ``buffers``: (series, last, buf) with at least the longest look-back of values.  A loop over steps, not
+    targets: a step derives the features of all targets from their buffers, scores them with one transform per
+    distinct pipeline and one join for the linear models, and feeds the prediction (not below 0) back.  The
+    state is one row per target; it is checkpointed after each step, as a tree model cannot be folded.
+    """
+    checkpoint_dir(buffers.sparkSession)
+    loaded = pipelines(best_rows)
+    best_rows = best_rows.checkpoint()
+    buf, day = F.col("buf"), F.date_add("last", F.col("step"))
+    cols = dict(calendar_columns(day))
+    cols |= {f"lag_{k}": lag_of(buf, k) for k in feat.LAGS} | {f"rolling_{k}": tail_mean(buf, k) for k in feat.WINDOWS}
+    state = buffers.select("series", "last", "buf", F.array().cast("array<double>").alias("out"), F.lit(1).alias("step"),
+                           F.lit(None).cast("string").alias("model"))
+    for _ in range(horizon):
+        y = F.col("_y")
+        state = score(state.withColumns(cols), best_rows, "_y", None, loaded, cents=False).select(
+            "series", "last", push(buf, y, BUFFER_DAYS).alias("buf"), F.concat("out", F.array(y)).alias("out"),
+            (F.col("step") + 1).alias("step"), F.col("model_used").alias("model")).checkpoint()
+    return state.where("model is not null").select("series", "last", "model", F.posexplode("out").alias("at", "predicted")) \
+        .select("series", (F.col("at") + 1).alias("step"), F.date_add("last", F.col("at") + 1).alias("datum"), "predicted",
+                F.col("model").alias("model_used"))
+
+
 class BestModelScorer:
     """(history, facts) -> facts with ``predicted``, for a stream: each target by its best registered model.
 

@@ -174,13 +174,16 @@ def feature_matrix(spark, sf_dir):
     return features.feature_matrix(ser.dense_grid(d, span="global"), _series_domain(spark, sf_dir))
 
 
+ASOF_BLOCK = 1024  # rows of a series that one window task holds
+
+
 @query
 def score_features_asof(spark, sf_dir):
     dense = _dense(spark, sf_dir)
     a = trends.as_of_date(dense)
     hist = dense.where(F.col("datum") <= F.date_sub(a, 7))
     pts = dense.where(F.col("datum") > F.date_sub(a, 7))
-    return features.features_asof(hist, pts)
+    return features.features_asof(hist, pts, block_rows=ASOF_BLOCK)
 
 
 @query
@@ -419,15 +422,8 @@ FIXED_SCORER = {"intercept": 1.0, "features": ["lag_1", "lag_7", "rolling_7", "r
 # -----------------------------------------------------------------------------
 
 
-# model_leaderboard and model_registry use fewer and shallower trees than the library's defaults, with which the
-# leaderboard did not end within 270 s on sf0.01.
-QUERY_SPECS = [models.ModelSpec(x.name, x.kind, x.params | {
-    "RandomForest": {"numTrees": 20, "maxDepth": 6}, "GBTDeep": {"maxIter": 5, "maxDepth": 4},
-    "GBTWide": {"maxIter": 5, "maxDepth": 3}, "GradientBoosting": {"maxIter": 20}}.get(x.name, {}))
-    for x in models.DEFAULT_SPECS]
-
-
 LINEAR_SPECS = [s for s in models.DEFAULT_SPECS if s.kind in models.LINEAR]
+REGISTRY_SPECS = [s for s in models.DEFAULT_SPECS if s.kind in models.LINEAR or s.name == "GradientBoosting"]
 
 
 def _series_training(spark, sf_dir):
@@ -613,16 +609,35 @@ def recursive_forecast_product(spark, sf_dir):
     return fc.select("series", "step", "datum", r6("predicted").alias("predicted"), "model_used")
 
 
+def _all_models(spark, sf_dir, specs):
+    """Fits every spec for every target, each tree kind in one fit over all targets; the root of their registry."""
+    f = features.lag_rolling(ser.all_targets(_dense(spark, sf_dir))).withColumns(calendar_columns("datum"))
+    p = features.time_folds(f.where(linear.complete(linear.vector(SERIES_FEATURES))), dense=True)
+    fitted, coefs, metrics = registry.train_all(p, specs)
+    root = scratch_path(spark, "models")
+    registry.save_linear(coefs, metrics, SERIES_FEATURES, root)
+    registry.save_pipelines(fitted, metrics, root)
+    return root
+
+
 @query
 def model_leaderboard(spark, sf_dir):
-    fm, s = _total_matrix(spark, sf_dir)
-    res = models.train_models(fm, features.feature_columns(s), "Total_Sales", specs=QUERY_SPECS)
-    best = models.best_by_target(res.metrics)
-    return res.metrics.join(best, "target").select(
+    """Holdout metrics of every model kind for every target, and each target's best."""
+    reg = registry.load(spark, _all_models(spark, sf_dir, models.DEFAULT_SPECS))
+    best = registry.best(reg).select("target", F.col("model").alias("best_model"))
+    return reg.join(best, "target").select(
         "target", "model", "n", r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"),
         (F.col("model") == F.col("best_model")).alias("is_best"))
 
 
+@query
+def forecast_best_model(spark, sf_dir):
+    """Recursive forecast of every target by the best of ridge, elastic net and default boosting, in one loop of steps."""
+    best = registry.best(registry.load(spark, _all_models(spark, sf_dir, REGISTRY_SPECS)))
+    buffers = forecast.own_buffers(ser.all_targets(_dense(spark, sf_dir)))
+    return registry.forecast_best(buffers, best, 30)
+
+
 @query
 def feature_importance(spark, sf_dir):
     fm, s = _total_matrix(spark, sf_dir)
@@ -634,9 +649,10 @@ def feature_importance(spark, sf_dir):
 
 @query
 def model_registry(spark, sf_dir):
+    """The total's models over the features of all products (linear kinds and the default boosting) as saved and read
+    back: pipelines, registry rows and metrics JSON."""
     fm, s = _total_matrix(spark, sf_dir)
-    res = models.train_models(fm, features.feature_columns(s), "Total_Sales",
-                              specs=QUERY_SPECS)
+    res = models.train_models(fm, features.feature_columns(s), "Total_Sales", specs=REGISTRY_SPECS)
     root = scratch_path(spark, "models")
     models.save_models(spark, res, root)
     reg = models.load_registry(spark, root).select("target", "model", "is_best")

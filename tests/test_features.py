@@ -1,5 +1,8 @@
+import datetime as dt
 import random
 
+
+import pytest
 from conftest import consecutive, daily_df
 from pyspark.sql import functions as F
 
@@ -114,3 +117,27 @@ def test_unsold_product_is_a_zero_series(spark):
     assert fm.count() == 30
     assert fm.where("B_lag_30 = 0 and B_rolling_3 = 0 and A_lag_1 > 0").count() == 30
     assert features.feature_matrix(g, ["A", "B"], target="A").where("B = 0").count() == 30
+
+
+def test_asof_in_blocks_of_rows_equals_whole_series(spark):
+    import random
+    rnd = random.Random(8)
+    rows = [("A", i) for i in sorted(rnd.sample(range(3000), 400))] + [("B", i) for i in (1, 2, 2, 9)] + [("C", 5)]
+    day = dt.date(2015, 1, 1)
+    df = spark.createDataFrame([(s, day + dt.timedelta(days=i), float(rnd.randint(0, 99)), rnd.random() < 0.4) for s, i in rows],
+                               "series string, datum date, value double, new boolean")
+    h, p = df.where("not new").drop("new"), df.where("new").drop("new")
+    want = sorted(map(tuple, features.features_asof(h, p).collect()))
+    for block in (30, 64, 1000):
+        got = sorted(map(tuple, features.features_asof(h, p, block_rows=block).collect()))
+        assert len(got) == len(want)
+        for g, w in zip(got, want):
+            assert g[:3] == w[:3] and all((a is None and b is None) or abs(a - b) < 1e-9 for a, b in zip(g[3:], w[3:]))
+    with pytest.raises(ValueError, match="look-back"):
+        features.features_asof(h, p, block_rows=10)
+
+
+def test_row_numbers(spark):
+    rows = consecutive("A", "2019-11-01", range(900)) + consecutive("B", "2020-12-30", [3, 2, 1])
+    got = features.row_numbers(daily_df(spark, rows), ["datum"]).orderBy("series", "datum").collect()
+    assert [r._pos for r in got] == [*range(900), 0, 1, 2]

@@ -2,6 +2,7 @@ from conftest import SF001
 
 import __spark_entry__ as E
 from salescast.operators import serving
+from salescast.plans import explain
 from salescast.plans import queries as Q
 
 
@@ -17,7 +18,8 @@ def test_entry_and_registry_consistent(spark):
     # only the documented rows-only keys lack an oracle)
     assert set(SQL) <= set(E.queries())
     rows_only = set(Q.QUERIES) - set(SQL)
-    assert rows_only == {"model_leaderboard", "feature_importance", "model_registry", "recursive_forecast_tree"}
+    assert rows_only == {"model_leaderboard", "feature_importance", "model_registry", "recursive_forecast_tree",
+                         "forecast_best_model"}
 
 
 def test_recent_filter_pushed_to_scan(spark):
@@ -63,16 +65,47 @@ def test_recent_rows_prune_store_months(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(month" in _plan(r) and "GreaterThanOrEqual(datum" in _plan(r)
 
 
+def test_final_plan_leaves_out_initial_trees_only():
+    class Df:
+        text = """AdaptiveSparkPlan isFinalPlan=true
++- == Final Plan ==
+   Project
+   :  +- Subquery subquery#1
+   :     +- AdaptiveSparkPlan
+   :        +- == Final Plan ==
+   :           FileScan parquet lineitem.parquet
+   :        +- == Initial Plan ==
+   :           FileScan parquet lineitem.parquet
+   +- FileScan parquet part.parquet
++- == Initial Plan ==
+   FileScan parquet part.parquet"""
+        _jdf = queryExecution = executedPlan = toString = None
+
+    class Text(str):
+        def __call__(self):
+            return self
+
+        queryExecution = executedPlan = toString = property(lambda self: self)
+
+    Df._jdf = Text(Df.text)
+    plan = explain.final_plan(Df)
+    assert explain.scans(plan, "lineitem") == 1 and explain.scans(plan, "part") == 1
+
+
+# fact scans of the final plan; a second one is an as_of date or bounds that are looked up in the facts
+SCANS = {"daily_sales_dense": 1, "trend_seasonality": 1, "lag_features": 1, "anomaly_alerts": 1, "time_split": 1,
+         "per_series_ridge": 1}
+
+
 def test_fact_table_scanned_once(spark):
     """Plan branches over the daily roll-up share one scan of the facts
     (reused exchange) instead of re-reading lineitem per branch."""
-    for name in ("daily_sales_dense", "trend_seasonality", "lag_features", "anomaly_alerts",
-                 "time_split", "per_series_ridge"):
+    got = {}
+    for name in SCANS:
         df = E.queries()[name](spark, SF001)
         df.collect()  # final adaptive plan
-        final = _plan(df).split("== Initial Plan ==")[0]
-        scans = [ln for ln in final.splitlines() if "FileScan" in ln and "lineitem.parquet" in ln]
-        assert len(scans) <= 1, (name, len(scans))
+        got[name] = explain.scans(explain.final_plan(df), "lineitem")
+    assert got == SCANS
 
 
 def test_explicit_as_of_pushes_date_bound_to_fact_scan(spark):

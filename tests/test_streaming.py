@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 from conftest import daily_df
@@ -99,7 +100,9 @@ def days_of(spark, tmp_path, n=60, per_file=10):
     inc.mkdir()
     pay = pay.sort_values("day")
     for i in range(0, n, per_file):
-        (inc / f"p{i:03d}").write_text("\n".join(pay.value[i:i + per_file]) + "\n")
+        f = inc / f"p{i:03d}"
+        f.write_text("\n".join(pay.value[i:i + per_file]) + "\n")
+        os.utime(f, (1_700_000_000 + i,) * 2)  # the source takes files in order of their times
     return daily, inc
 
 
@@ -151,6 +154,7 @@ def test_state_alerts_for_any_split_and_after_a_restart(spark, tmp_path):
     for some in (files[:2], files[2:]):  # stopped after two files, started again when the rest has come
         for f in some:
             (part / f.name).write_text(f.read_text())
+            os.utime(part / f.name, (f.stat().st_mtime,) * 2)
         got = run("restart", 1, part)
     assert got == want
 
@@ -174,7 +178,7 @@ def test_append_stream_backfill_compact_in_any_order(spark, tmp_path):
         stream.run_ingest(spark, str(inc), root, str(tmp_path / "ck"), proc, max_files_per_trigger=1).awaitTermination()
 
     def state():
-        return sorted((r.series, r.datum, r.value, r.predicted, r.batch) for r in stream.read_facts(spark, root).collect())
+        return sorted(((r.series, r.datum, r.value, r.predicted, r.batch) for r in stream.read_facts(spark, root).collect()), key=str)
 
     more = inc / "p900"
     text = sorted(inc.iterdir())[-1].read_text()
