@@ -7,7 +7,7 @@ from conftest import SF001
 
 import __spark_entry__ as E
 
-SLOW = {"model_leaderboard", "feature_importance", "model_registry", "recursive_forecast_product",
+SLOW = {"model_leaderboard", "feature_importance", "model_registry",
         "stream_process", "stream_anomaly", "stream_daily_rollup"}
 
 
