@@ -140,9 +140,13 @@ class EliasFano:
         bucket = x >> self.l
         ask = np.flatnonzero(bucket <= int(self.get(np.array([self.n - 1]))[0]) >> self.l)
         bucket, want = bucket[ask], x[ask].astype(U64) & U64((1 << self.l) - 1)
-        zeros = ~self.high  # a zero ends each bucket
-        end = self.select(zeros, self.zeros, bucket) - bucket
-        lo = np.where(bucket > 0, self.select(zeros, self.zeros, np.maximum(bucket - 1, 0)) - bucket + 1, 0)
+        zeros = ~self.high  # a zero ends each bucket: its ones are between two zeros
+        bit = np.where(bucket > 0, self.select(zeros, self.zeros, np.maximum(bucket - 1, 0)) + 1, 0)
+        lo, rest = bit - bucket, zeros[bit >> 6] >> (bit & 63).astype(U64)
+        ones = np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)  # up to the next zero of this word
+        beyond = np.flatnonzero(rest == 0)
+        ones[beyond] = self.select(zeros, self.zeros, bucket[beyond]) - bit[beyond]
+        end = lo + ones
         some = lo < end
         ask, want, lo, hi = ask[some], want[some], lo[some], end[some] - 1
         while len(ask):  # the value is in lo to hi, if anywhere
@@ -328,6 +332,25 @@ def by_shard(shard: np.ndarray, shards: int):
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
+def distinct_grams(b: np.ndarray, c: np.ndarray, a: np.ndarray, base: int):
+    """(pairs, pair, up, first, gram) of trigrams a b c, numbers below ``base``: the distinct pairs b * base + c, the pair
+    of each trigram, and of the distinct trigrams the pair and the a, and the place of each trigram among them."""
+    if base ** 3 < 1 << 63:  # one sort for both
+        key = (b * base + c) * base + a
+        order = np.argsort(key)
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        key = key[new]
+        over = key // base
+        other = np.r_[True, over[1:] != over[:-1]]
+        up, gram = np.cumsum(other) - 1, np.empty(len(order), np.int64)
+        gram[order] = np.cumsum(new) - 1
+        return over[other], up[gram], up, key - over * base, gram
+    pairs, pair = np.unique(b * base + c, return_inverse=True)
+    grams, gram = np.unique(pair * base + a, return_inverse=True)
+    return pairs, pair, grams // base, grams % base, gram
+
+
 class Grams:
     """A block's distinct pairs and trigrams, in the order in which shards are asked."""
 
@@ -343,9 +366,9 @@ class Grams:
         before[self.first] = size
         two = np.r_[size, before[:-1]]
         two[self.first] = size
-        pairs, pair = np.unique(before * (size + 1) + self.tokens, return_inverse=True)
-        b, c = pairs // (size + 1), pairs % (size + 1)
-        grams, gram = np.unique(pair * (size + 1) + two, return_inverse=True)
+        base = size + 1
+        pairs, pair, up, two, self.gram = distinct_grams(before, self.tokens, two, base)
+        b, c = pairs // base, pairs % base
         # a middle word of more than a quarter of a shard's tokens is dealt out by the word that follows
         parts = 1 + 4 * self.count[b] * shards // max(total, 1)
         part = (mix(self.number[c].astype(U64)) % parts.astype(U64)).astype(U64)
@@ -354,11 +377,11 @@ class Grams:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.b, self.c, self.pair = b[order], c[order], place[pair]
-        above = place[grams // (size + 1)]
+        above = place[up]
         order = np.argsort(above, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.a, self.above, self.gram = (grams % (size + 1))[order], above[order], place[gram]
+        self.a, self.above, self.gram = two[order], above[order], place[self.gram]
         self.gram_cuts = np.searchsorted(self.above, self.pair_cuts)
 
     def lists(self, held: np.ndarray):

@@ -108,3 +108,20 @@ def test_pack():
     arrays = [np.arange(10), np.zeros(0), np.array([2**64 - 1], np.uint64), np.array([0, 255, 256, 65536])]
     for a, b in zip(arrays, lm.unpack(lm.pack(*arrays)), strict=True):
         assert a.astype(np.uint64).tolist() == b.tolist()
+
+
+def test_distinct_grams_by_one_sort_and_by_two():
+    rng = np.random.default_rng(3)
+    a, b, c = rng.integers(0, 9, (3, 2000))
+    one, two = lm.distinct_grams(b, c, a, 9), lm.distinct_grams(b, c, a, 1 << 21)
+    for got, base in ((one, 9), (two, 1 << 21)):
+        pairs, pair, up, first, gram = got
+        assert (pairs[pair] == b * base + c).all() and (pairs[up[gram]] == b * base + c).all() and (first[gram] == a).all()
+        assert (np.diff(pairs) > 0).all() and len({*zip(up.tolist(), first.tolist())}) == len(up) == len({*zip(a, b, c)})
+    assert all((x == y).all() for x, y in zip(one[1:], two[1:]))
+
+
+def test_buckets_longer_than_a_word():
+    v = np.r_[np.arange(1000), 10**9 + np.arange(0, 5000, 7), 10**12]
+    e = lm.EliasFano(lm.EliasFano.of(v))
+    assert (e.find(v) == np.arange(len(v))).all() and (e.find(v + 10**8) == -1).all() and (e.all() == v).all()
