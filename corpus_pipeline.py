@@ -36,9 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark's windows."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti") \
-        .select(*docs.columns)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), keep=docs.columns)
+    return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

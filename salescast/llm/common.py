@@ -5,9 +5,13 @@ from __future__ import annotations
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from salescast.session import scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,6 +31,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_exact(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
+    """``mapInPandas`` in which whole numbers beside nulls stay whole numbers (as objects), not doubles."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    target = to_arrow_schema(schema)
+
+    def frames(batches):
+        for out in run(b.to_pandas(integer_object_nulls=True) for b in batches):
+            yield pa.RecordBatch.from_pandas(out, target, preserve_index=False)
+
+    return df.mapInArrow(frames, schema)
+
+
 def ascii_lower(col):
     """A-Z lower-cased, all else kept; ``lower`` does the same on pure ASCII text and is faster."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
@@ -47,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """bytes word -> 64-bit hash; a cache that is emptied when it reaches ``most`` words."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

@@ -67,8 +67,13 @@ def prefix_index(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
                                           "win", "items")
 
 
+def text_key(text):
+    """128 bits of hash of the text; null is like the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def window_hits(docs: DataFrame, index: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, start, size, items): every place (from 0) where a document holds a window.
+    """(_text, start, size, items): every place (from 0) where a document's text, named by its key, holds a window.
 
     The index is broadcast in blocks of about ``block_bytes`` of text, counted before, so that what is
     broadcast is bounded however long the benchmark is; each block meets all documents.
@@ -76,45 +81,47 @@ def window_hits(docs: DataFrame, index: DataFrame, block_bytes: int = BLOCK_BYTE
     index = written(index, "decon-index")
     n = index.agg(F.sum(F.octet_length(F.array_join("win", " ")) + 8 * F.size("items"))).first()[0] or 0
     blocks = max(1, -(-n // block_bytes))
-    tokens = docs.select("doc_id", words_of(F.col("text")).alias("w"))
+    tokens = docs.select("text", words_of(F.col("text")).alias("w"))
     found = []
     for b in range(blocks):
         block = index.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b)
         # plain functions all the way: scan, explode, join and comparison are one generated loop,
-        # in which a document's words are never copied
-        found.append(tokens.select("doc_id", "w", F.posexplode_outer("w").alias("pos", "word")).join(
+        # in which a document's words are never copied; the key is only made of texts that hold a window
+        found.append(tokens.select("text", "w", F.posexplode_outer("w").alias("pos", "word")).join(
             F.broadcast(block.withColumn("size", F.size("win"))),
             F.expr("word = prefix and pos >= back and pos - back + size <= size(w)"
                    " and slice(w, greatest(pos - back + 1, 1), size) = win"))
-            .select("doc_id", (F.col("pos") - F.col("back")).alias("start"), "size", "items"))
+            .select(text_key(F.col("text")).alias("_text"), (F.col("pos") - F.col("back")).alias("start"), "size", "items"))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+    """Per row of ``docs``: its columns ``keep`` (doc_id), n_words, n_hit, n_items, items_sha256, contaminated.
 
     n_hit counts the words inside any occurrence of a window; contaminated: n_hit > 0 and
-    20 * n_hit >= n_words.  doc_id is taken as a key; a repeated doc_id gets the hits of all its rows.
+    20 * n_hit >= n_words.  Hits are kept by a hash of the text, so that rows of the same doc_id, or of none, are judged
+    each by its own text, and equal texts alike.
     """
+    keep = ["doc_id"] if keep is None else keep
     hits = written(window_hits(docs, prefix_index(docs, benchmark, width)), "decon-hits")
-    # a document's intervals are bounded by its length; the items are a set of the benchmark's
-    spans = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("s"))
+    # a text's intervals are bounded by its length; the items are a set of the benchmark's
+    spans = hits.groupBy("_text").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("s"))
     covered = F.expr("""aggregate(s, named_struct('n', 0L, 'till', 0),
         (a, x) -> named_struct('n', a.n + greatest(0, x.start + x.size - greatest(a.till, x.start)),
                                'till', greatest(a.till, x.start + x.size)), a -> a.n)""")
-    items = hits.select("doc_id", F.explode("items").alias("item")).distinct() \
-        .select("doc_id", F.col("item").cast("string").alias("item")) \
-        .groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    got = spans.select("doc_id", covered.alias("n_hit")).join(items, "doc_id")
-    n_words = F.size(words_of(F.col("text"))).cast("long").alias("n_words")
-    return docs.select("doc_id", n_words).join(got, "doc_id", "left").select(
-        "doc_id", "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256")) \
+    items = hits.select("_text", F.explode("items").alias("item")).distinct() \
+        .select("_text", F.col("item").cast("string").alias("item")) \
+        .groupBy("_text").agg(F.sort_array(F.collect_list("item")).alias("_items"))
+    got = spans.select("_text", covered.alias("_hit")).join(items, "_text")
+    n_words = F.size(words_of(F.col("text"))).cast("long")
+    return docs.select(*keep, n_words.alias("_words"), text_key(F.col("text")).alias("_text")).join(got, "_text", "left").select(
+        *keep, F.col("_words").alias("n_words"),
+        F.coalesce("_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("_items", ","), F.lit("")), 256).alias("items_sha256")) \
         .withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 

@@ -7,8 +7,8 @@ a cell holds one bit per language, and the AND of a trigram's cells returns at o
 contains it.  A text's per-language popcounts, each corrected for its slice's false-positive rate, decide.
 
 Inputs: (doc_id, text, lang); other columns are ignored.  Null texts, and texts without a letter, are
-``und`` with score 0; so is a text none of whose trigrams is in any filter, and every text where nothing
-was learned.  Ties go to the alphabetically first language.  Rows with null lang or text teach nothing.
+``und`` with score 0, as is every text where nothing was learned.  Ties go to the alphabetically first
+language; so does, with score 0, a text with letters none of whose trigrams is in any filter.  Rows with null lang or text teach nothing.
 Texts are read whole, piece by piece.
 """
 
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, table, written
+from .common import U64, map_exact, mix, table, written
 
 UND = "und"
 PIECE = 1 << 20  # characters worked on at once
@@ -170,7 +170,7 @@ def score_texts(texts: list[str], f: LanguageFilters):
     fixed = np.clip((hits - total[:, None] * wrong) / np.maximum(1 - wrong, 1e-9), 0, None)
     best = fixed.argmax(1)
     score = np.clip(fixed[np.arange(n), best] / np.maximum(total, 1), 0, 1)
-    return [f.langs[b] if s > 0 else UND for b, s in zip(best, score)], score
+    return [f.langs[b] if t else UND for b, t in zip(best, total)], score
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, keep: list[str],
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, keep: list[str],
             yield pdf[keep].assign(**{names[0]: langs, names[1]: score})
 
     read = keep if text in keep else [*keep, F.col("text").alias(text)]
-    return docs.select(*read).mapInPandas(run, f"{out}, `{names[0]}` string, `{names[1]}` double")
+    return map_exact(docs.select(*read), run, f"{out}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(divisor: int, rest: int):

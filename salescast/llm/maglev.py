@@ -42,7 +42,7 @@ def slot_owners(shards: list[str], slots: int = SLOTS) -> list[int]:
 
 
 def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """``df`` with ``slot`` and ``shard`` (the name); columns of these names are replaced."""
+    """``df`` with ``slot`` and ``shard`` (the name); columns of these names, and ``_slot`` and ``_shard``, are replaced."""
     owners = slot_owners(shards, slots)
     spark = df.sparkSession
     lookup = spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, owners))), ",")).alias("slot", "n")) \
@@ -50,7 +50,7 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Dat
                 F.get(F.array(*map(F.lit, shards)), F.col("n").cast("int")).alias("_shard"))
     slot = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 8),
                   16, 10).cast("long") % slots
-    return df.drop("slot", "shard").withColumn("_slot", slot).join(F.broadcast(lookup), "_slot") \
+    return df.withColumn("_slot", slot).drop("slot", "shard", "_shard").join(F.broadcast(lookup), "_slot") \
         .withColumnsRenamed({"_slot": "slot", "_shard": "shard"})
 
 

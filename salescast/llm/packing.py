@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import map_exact, table, written
 
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 21
-KNOWN_WORDS = 500_000  # cached by a Python worker, for all its tasks
+KNOWN_WORDS = 200_000  # cached by a Python worker, for all its tasks
 SEPARATOR = "\x01"  # a "word" of its own, put between words that are learned together
 END = 2  # fixed by the contract
 
@@ -98,7 +98,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
             last = tok.dtype.type(end).tobytes()
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [tok.encode(t or "") + last for t in pdf["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, tokens binary")
+    return map_exact(docs.select("doc_id", "text"), run, "doc_id long, tokens binary")
 
 
 def statistics(tokens: DataFrame, dtype: str, vocabulary: int):
@@ -257,7 +257,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = END, with
 
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
               + (", ids array<int>" if with_ids else ""))
-    return tokens.mapInPandas(run, schema)
+    return map_exact(tokens, run, schema)
 
 
 def op8_packing(spark, sf_dir, tokenizer: str | None = None):

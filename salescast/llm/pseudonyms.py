@@ -5,8 +5,9 @@ days of a calendar) and permuted there by a balanced Feistel network whose round
 hashes; a result outside the domain is permuted again until it is inside (cycle walking).  The same value
 always becomes the same pseudonym under one key, in every document, and no two values share one.
 
-Found: e-mail addresses (name permuted, domain kept), telephone numbers (the digits after a country code),
-card numbers of 13 to 19 digits (a valid check digit stays valid, an invalid one invalid), IPv4 addresses,
+Found: e-mail addresses (name permuted, domain kept), telephone numbers (the digits after the country code, which is
+kept, so that a number is linked however it is written), card numbers of 13 to 19 digits and IBANs if their check
+digits are right (and then right in the pseudonym too; other digits stay), IPv4 addresses,
 social security numbers (valid parts only), valid dates (yyyy-mm-dd, yyyy/mm/dd and dd.mm.yyyy or
 mm/dd/yyyy between 1900 and 2099, day for day), access key ids, and hex values given to a name such as
 token or password.  Anything else stays as it is, byte for byte.
@@ -26,13 +27,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_exact, table
 
 ROUNDS = 8
 DIGITS, HEX, LETTERS = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
 UPPER32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 FIRST, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 TEST_KEY = b"set a secret key of your own"
+KEY_SETTING = "salescast.pseudonyms.key"  # of the session: the secret key; without it TEST_KEY, which is public
+# The country calling codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = """20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58
+60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98""".split()
 
 FOUND = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]{0,62}[\w+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
@@ -45,11 +50,12 @@ FOUND = re.compile(
     r"|(?P<phone>(?<![\w.])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
     r"|(?<![\w.])\+(?!1\D)\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)"
     r"|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
+    r"|(?P<iban>(?<![\w-])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-]))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     , re.ASCII)
 DIGIT = re.compile(r"[0-9@]")
 HINTS = ("AKIA", "=", ":")  # what values without a digit or @ must have
-KINDS = ("email", "secret", "access", "ymd", "dmy", "ip", "ssn", "phone", "card")
+KINDS = ("email", "secret", "access", "ymd", "dmy", "ip", "ssn", "phone", "iban", "card")
 
 
 def luhn(digits: str) -> int:
@@ -58,6 +64,23 @@ def luhn(digits: str) -> int:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10
 
 
+def card_in(s: str) -> tuple[int, int] | None:
+    """Where in digits and separators a valid card number is: the longest run of groups, the first of equal ones."""
+    groups = [m.span() for m in re.finditer(r"\d+", s)]
+    best = None
+    for i, (a, _) in enumerate(groups):
+        for _, b in groups[i:]:
+            digits = re.sub(r"\D", "", s[a:b])
+            if 13 <= len(digits) <= 19 and luhn(digits) == 0 and (best is None or b - a > best[1] - best[0]):
+                best = a, b
+    return best
+
+
+def mod97(iban: str) -> int:
+    """1 for a valid IBAN without spaces."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 class Pseudonyms:
     """A keyed permutation of range(n) for every n, and what the formats make of it."""
 
@@ -121,7 +144,7 @@ class Pseudonyms:
     def of(self, kind: str, s: str) -> str:
         got = self.known.get((kind, s))
         if got is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             got = self.known[kind, s] = getattr(self, kind)(s)
         return got
@@ -168,41 +191,72 @@ class Pseudonyms:
         return f"{a:03d}-{b + 1:02d}-{c + 1:04d}"
 
     def phone(self, s: str) -> str:
-        code = re.match(r"\+\d{1,3}(?=[ .(-])|\+", s)
-        rest = s[code.end():] if code else s
-        return (code[0] if code else "") + self.into(self.over(re.sub(r"\D", "", rest), DIGITS, "phone"), rest)
+        code = ""
+        if s[0] == "+":
+            digits = re.sub(r"\D", "", s)
+            n = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+            code = re.match(r"\+" + r"\D*\d" * n, s)[0]
+        rest = s[len(code):]
+        return code + self.into(self.over(re.sub(r"\D", "", rest), DIGITS, "phone"), rest)
 
     def card(self, s: str) -> str:
+        """``s``, a valid card number."""
         digits = re.sub(r"\D", "", s)
         body = digits[0] + self.over(digits[1:-1], DIGITS, "card" + digits[0])  # the first digit is the kind of issuer
-        off = luhn(digits)  # the pseudonym's check sum is off by as much, so 0 stays 0
-        return self.into(body + next(c for c in DIGITS if luhn(body + c) == off), s)
+        return self.into(body + next(c for c in DIGITS if luhn(body + c) == 0), s)
+
+    def iban(self, s: str) -> str:
+        """``s``, a valid IBAN."""
+        plain = s.replace(" ", "")
+        body = self.word(plain[4:], "iban" + plain[:2])
+        out = iter(f"{plain[:2]}{98 - mod97(plain[:2] + '00' + body):02d}{body}")
+        return "".join(c if c == " " else next(out) for c in s)
 
     def text(self, text: str) -> tuple[str, int]:
         """``text`` with its personal data replaced, and how many values were."""
         n = 0
-
-        def swap(m):
-            nonlocal n
-            kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
-            out = m[0][:m.start("hex") - m.start()] + self.of("hex", m["hex"]) if kind == "secret" else self.of(kind, m[0])
-            n += out != m[0]
-            return out
-
         # no value goes beyond a line, and most lines have none
         lines = text.split("\n")
         for k, line in enumerate(lines):
-            if DIGIT.search(line) or any(h in line for h in HINTS):
-                lines[k] = FOUND.sub(swap, line)
+            if not (DIGIT.search(line) or any(h in line for h in HINTS)):
+                continue
+            out, at, look = [], 0, 0
+            while m := FOUND.search(line, look):
+                kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
+                a, b = m.span()
+                if kind == "secret":
+                    kind, a = "hex", m.start("hex")
+                elif kind == "card":
+                    found = card_in(m[0])
+                    if found is None:
+                        look = a + len(re.match(r"\d+", m[0])[0])
+                        continue
+                    a, b = a + found[0], a + found[1]
+                elif kind == "iban" and mod97(m[0].replace(" ", "")) != 1:
+                    look = a + 4
+                    continue
+                new = self.of(kind, line[a:b])
+                n += new != line[a:b]
+                out += [line[at:a], new]
+                at = look = b
+            lines[k] = "".join(out) + line[at:]
         return "\n".join(lines), n
 
 
-def pseudonymise(docs: DataFrame, key: bytes = TEST_KEY, column: str = "text", count: str | None = None) -> DataFrame:
-    """``docs`` with personal data in ``column`` replaced; ``count`` names a column for the number of values."""
+def session_key(spark) -> bytes:
+    """The secret key of the session's setting KEY_SETTING; TEST_KEY where it is unset, as in tests."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return key.encode() if key else TEST_KEY
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, column: str = "text", count: str | None = None) -> DataFrame:
+    """``docs`` with personal data in ``column`` replaced under ``key`` (the session's if None); ``count`` names a column for the number of values."""
     schema = docs.schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != count)
     keep = [f.name for f in schema if f.name != count]
 
+    key = session_key(docs.sparkSession) if key is None else key
+
     def run(batches):
         p = Pseudonyms(key)
         for pdf in batches:
@@ -213,7 +267,7 @@ def pseudonymise(docs: DataFrame, key: bytes = TEST_KEY, column: str = "text", c
                 out[count] = pd.Series([n for _, n in got], dtype="int64", index=out.index)
             yield out
 
-    return docs.select(*keep).mapInPandas(run, fields + (f", `{count}` long" if count else ""))
+    return map_exact(docs.select(*keep), run, fields + (f", `{count}` long" if count else ""))
 
 
 def op5_pseudonyms(spark, sf_dir):

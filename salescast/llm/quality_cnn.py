@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_exact, table
 from .langid import held_out
 
 CHUNK, STEP = 128, 112
@@ -196,7 +196,7 @@ def score_quality(docs: DataFrame, sample: list[tuple[int, np.ndarray]], keep: l
                 else np.full(len(pdf), held.value)
             yield pdf[keep].assign(score=score.astype(float), predicted=(score >= threshold).astype(np.int32))
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(run, fields + ", score double, predicted int")
+    return map_exact(docs.select(*keep, F.col("text").alias("_text")), run, fields + ", score double, predicted int")
 
 
 def op2_quality_cnn(spark, sf_dir):

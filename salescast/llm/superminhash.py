@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, components, mix, shingles, table, written
+from .common import U64, WordHashes, components, map_exact, mix, shingles, table, written
 
 BANDS, ROWS = 30, 5  # a pair at similarity 0.8 is missed with probability (1 - 0.8^5)^30 = 7e-6
 STEP = U64(32)  # offers are held as step * 2^32 + u * 2^32
@@ -85,12 +85,12 @@ def sign(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> D
                 key = np.zeros((len(sets), bands), U64)
                 for r in range(rows):
                     key = mix(key * U64(3) + sig[:, :, r])
-                yield pd.DataFrame({"doc_id": ids, "n_shingles": [len(s) for s in sets],
+                yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "n_shingles": [len(s) for s in sets],
                                     "key": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                                     "bands": list(key.view(np.int64))})
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_shingles long, key binary, bands array<long>")
+    return map_exact(docs.select("doc_id", "text"),
+                     run, "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:

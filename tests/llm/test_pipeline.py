@@ -45,7 +45,8 @@ def test_contaminated_go_and_values_change(kept):
     assert 0 < kept[2].count() - kept[3].count()
     both = kept[3].select("doc_id", F.col("text").alias("was")).join(kept[4], "doc_id").toPandas()
     assert len(both) == kept[3].count()
-    assert all(m[0] not in now for was, now in zip(both.was, both.text) for m in pseudonyms.FOUND.finditer(was))
+    assert all(m[0] not in now for was, now in zip(both.was, both.text) for m in pseudonyms.FOUND.finditer(was)
+               if not m["card"] or pseudonyms.card_in(m[0]))
     assert (both.n_chars == both.text.str.len()).all()
 
 
