@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from salescast.llm import decontaminate, langid, packing, pseudonyms, superminhash
 from salescast.llm.common import table, written
 
+KNOWN_WORDS = 200_000  # cached by a worker that packs: it has held other stages' data before
 LEAST_SCORE = 0.3  # share of a text's trigrams that the predicted language must know
 
 
@@ -49,7 +50,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=KNOWN_WORDS)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates),

@@ -26,7 +26,7 @@ from .common import map_exact, table, written
 
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 21
-KNOWN_WORDS = 200_000  # cached by a Python worker, for all its tasks
+KNOWN_WORDS = 500_000  # cached by a Python worker, for all its tasks; a pipeline of many stages asks for fewer
 SEPARATOR = "\x01"  # a "word" of its own, put between words that are learned together
 END = 2  # fixed by the contract
 
@@ -44,6 +44,7 @@ class WordTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.most = KNOWN_WORDS
         ids = self.tok.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = ids[0] if len(ids) == 1 else None
 
@@ -72,7 +73,7 @@ class WordTokenizer:
             try:
                 out.append(b"".join(map(self.known.__getitem__, part)))
             except KeyError:
-                if len(self.known) + len(part) > KNOWN_WORDS:
+                if len(self.known) + len(part) > self.most:
                     self.known.clear()
                 self.learn(list(set(part).difference(self.known)))
                 out.append(b"".join(map(self.known.__getitem__, part)))
@@ -89,11 +90,12 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, end: int = END, known_words: int = KNOWN_WORDS) -> DataFrame:
     """(doc_id, tokens): little-endian ids of 2 bytes (4 for a large vocabulary), ``end`` last."""
 
     def run(batches):
         tok = word_tokenizer(tokenizer)
+        tok.most = known_words
         for pdf in batches:
             last = tok.dtype.type(end).tobytes()
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [tok.encode(t or "") + last for t in pdf["text"]]})
@@ -209,12 +211,13 @@ def fill_shard(docs: list[np.ndarray], numbers: list[int], packer: Packer, df, n
                 break
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = END, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = END, with_ids: bool = False,
+         known_words: int = KNOWN_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and its ids)."""
     from tokenizers import Tokenizer
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    tokens = written(tokenise(docs, tokenizer, end), "pack-tokens")
+    tokens = written(tokenise(docs, tokenizer, end, known_words), "pack-tokens")
     held = docs.sparkSession.sparkContext.broadcast(statistics(tokens, dtype, vocabulary))
 
     def run(batches):
