@@ -62,6 +62,39 @@ def test_vectors_against_brute_force(spark):
     assert missed <= 0.1 * linked
 
 
+@pytest.mark.parametrize("clusters,most", [(4, 128), (40, 1024), (400, 2048)])
+def test_vectors_recall_in_clusters(spark, clusters, most):
+    """Defaults on clustered vectors: nothing below the threshold, at least 0.99 of the links, copies counted."""
+    rng = np.random.default_rng(clusters)
+    base = rng.normal(size=(clusters, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=(3000, 64))
+    vec = base[rng.integers(0, clusters, 3000)] + 0.33 * off / np.linalg.norm(off, axis=1, keepdims=True)
+    vec = np.concatenate([vec, vec[:20]]).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(vec)), "embedding": vec.tolist(), "label": 1})) \
+        .withColumn("embedding", F.col("embedding").cast("array<float>"))
+    got = pivots.near_vectors(df, pivots=most).toPandas().set_index("vec_id").sort_index()
+    x = pivots.unit(vec)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    assert want.sum() > 200 and (got.n_links.to_numpy() <= want).all()
+    assert got.n_links.sum() >= 0.99 * want.sum()
+
+
+def test_vectors_counts_of_shared_pivots():
+    """Counts over inverted lists are those of the sets, and a pair counts in its first shared list alone."""
+    rng = np.random.default_rng(5)
+    described = np.sort(np.stack([rng.permutation(20)[:5] for _ in range(60)]), axis=1)
+    left, right = np.arange(30), np.arange(20, 60)
+    for pivot in range(20):
+        got = pivots.shared_counts(described, left, right, pivot)
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                both = set(described[a]) & set(described[b])
+                assert got[i, j] == (len(both) if both and min(both) >= pivot else 0)
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert pivots.near_vectors(df).count() == 0
