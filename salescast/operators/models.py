@@ -12,9 +12,11 @@
 from __future__ import annotations
 
 import datetime as _dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -96,6 +98,27 @@ def build_pipeline(spec: ModelSpec, feature_cols: list[str], label: str,
     return Pipeline(stages=stages)
 
 
+TRAINING_VALUES = 1 << 20  # of a partition of a training frame
+
+
+def in_partitions(rows: DataFrame, columns: int) -> DataFrame:
+    """Cached ``rows`` of so many ``columns`` in as many partitions as they need, however many shuffles made.
+
+    A tree fit runs a job per level of every tree or group of nodes; each task holds, sends and returns statistics
+    of all the nodes at hand.  So time, shuffle and results grow with the partitions, most of which are
+    nearly empty where many facts roll up to few days.  Joins only neighbours, so nothing is shuffled again.
+    """
+    return rows.coalesce(max(1, -(-rows.count() * columns // TRAINING_VALUES)))
+
+
+def fit_all(estimators: dict[str, Pipeline], train: DataFrame, parallelism: int = 4) -> dict[str, PipelineModel]:
+    """Fits every estimator on the same cached rows, a few at once: a fit is many short jobs that wait for each other."""
+    # each with local properties of its own
+    fits = [inheritable_thread_target(train.sparkSession)(partial(e.fit, train)) for e in estimators.values()]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return dict(zip(estimators, pool.map(lambda fit: fit(), fits), strict=True))
+
+
 @dataclass
 class TrainResult:
     target: str
@@ -118,17 +141,15 @@ def train_models(fm: DataFrame, feature_cols: list[str], target: str,
     data = fm.select("datum", *feature_cols, F.col(target).cast("double").alias(target), split_col)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        train = data.where(F.col(split_col) == "train")
-        test = data.where(F.col(split_col) == "test")
+        sized = in_partitions(data, len(feature_cols))
+        train = sized.where(F.col(split_col) == "train")
+        test = sized.where(F.col(split_col) == "test")
         st = train.agg(F.count(F.lit(1)), F.stddev_samp(target)).first()
         n_train, y_std = int(st[0]), float(st[1] or 0.0)
-        models, preds = {}, []
-        for spec in specs:
-            pm = build_pipeline(spec, feature_cols, target, n_train, y_std).fit(train)
-            models[spec.name] = pm
-            preds.append(pm.transform(test).select(
-                F.lit(target).alias("target"), F.lit(spec.name).alias("model"), "datum",
-                F.col(target).alias("actual"), F.col("prediction").alias("predicted")))
+        models = fit_all({s.name: build_pipeline(s, feature_cols, target, n_train, y_std) for s in specs}, train)
+        preds = [pm.transform(test).select(
+            F.lit(target).alias("target"), F.lit(name).alias("model"), "datum",
+            F.col(target).alias("actual"), F.col("prediction").alias("predicted")) for name, pm in models.items()]
         pred = preds[0]
         for p in preds[1:]:
             pred = pred.unionByName(p)
@@ -150,8 +171,6 @@ def train_all_targets(frames: dict, specs: list[ModelSpec] | None = None,
     (distributed) fits overlap on the cluster; for many series use
     `per_series_ridge`, which fits all of them in one job.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
     def one(item):
         target, (fm, cols) = item
         return target, train_models(fm, cols, target, specs)

@@ -112,3 +112,35 @@ def test_score_recent_with_pipeline_and_recent_predictions(spark, tmp_path):
     rep = report.analysis_report(dfl, trends.trend_seasonality(ser.all_targets(dfl)))
     report.write_report(rep, str(tmp_path / "report"))
     assert spark.read.text(str(tmp_path / "report")).count() == 7
+
+
+def test_a_fit_has_the_partitions_its_rows_need(spark, monkeypatch):
+    """Few rows that many shuffle partitions hold are fitted in one task a job; many rows keep several."""
+    rnd = random.Random(2)
+    rows = spark.createDataFrame([(i, rnd.random(), rnd.random()) for i in range(300)], "i int, x double, y double")
+    spread = rows.repartition(40).persist()
+    try:
+        assert spread.rdd.getNumPartitions() == 40
+        assert models.in_partitions(spread, 2).rdd.getNumPartitions() == 1
+        assert sorted(models.in_partitions(spread, 2).collect()) == sorted(rows.collect())
+        monkeypatch.setattr(models, "TRAINING_VALUES", 100)
+        assert models.in_partitions(spread, 2).rdd.getNumPartitions() == 6
+        assert models.in_partitions(spread.where("i < 0"), 2).rdd.getNumPartitions() == 1
+    finally:
+        spread.unpersist()
+
+
+def test_training_of_spread_rows_runs_few_tasks(spark):
+    rnd = random.Random(3)
+    rows = daily_df(spark, consecutive("A", "2020-01-01", [rnd.random() for _ in range(120)]))
+    fm = features.time_split(rows, dense=True).withColumn("x", F.dayofmonth("datum").cast("double")).repartition(30)
+    spark.sparkContext.setJobGroup("few-tasks", "")
+    try:
+        res = models.train_models(fm, ["x"], "value", SMALL_SPECS[1:2])
+        tracker = spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("few-tasks")]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    stages = [tracker.getStageInfo(s) for j in jobs for s in j.stageIds]
+    assert res.best == "GBTDeep" and len(jobs) > 10
+    assert sum(s.numTasks >= 30 for s in stages if s) < len(jobs) / 2
