@@ -21,10 +21,13 @@ from salescast.operators.forecast import BUFFER_DAYS
 from salescast.operators.forecast import _lag as lag_of
 from salescast.operators.forecast import _push as push
 from salescast.operators.forecast import _tail_mean as tail_mean
+from salescast.operators.models import fit_all, in_partitions
 from salescast.session import checkpoint_dir, scratch_path
 
 OWN_FEATURES = CALENDAR_FEATURES + feat.lag_names() + feat.rolling_names()
 
+STATE_ROWS = 20_000  # targets of a partition of a forecast's state
+
 MODELS = T.StructType([
     T.StructField("target", T.StringType()), T.StructField("model", T.StringType()),
     T.StructField("path", T.StringType()),                       # of a saved pipeline; null: linear
@@ -91,25 +94,38 @@ def score(rows: DataFrame, best_rows: DataFrame, out: str = "predicted", none: f
     ``best_rows``: at most one registry row per target.  A row without a model gets ``none`` and a null model.
     ``loaded``: the pipelines, if they are at hand.
     """
+    return scored(with_models(rows, best_rows), rows.columns, out, none,
+                  pipelines(best_rows) if loaded is None else loaded, cents).drop(*MODEL_COLUMNS)
+
+
+MODEL_COLUMNS = ("path", "features", "intercept", "weights")
+
+
+def with_models(rows: DataFrame, best_rows: DataFrame) -> DataFrame:
+    """``rows`` with ``model_used`` and the other columns of their target's registry row, null if it has none."""
+    return rows.join(best_rows.select(F.col("target").alias("series"), F.col("model").alias("model_used"), *MODEL_COLUMNS),
+                     "series", "left")
+
+
+def scored(joined: DataFrame, columns: list[str], out: str, none: float | None, loaded: dict[str, PipelineModel],
+           cents: bool = True) -> DataFrame:
+    """``columns``, ``out`` and the model columns of ``joined`` (as ``with_models``): see ``score``."""
     named = F.map_from_arrays(F.array(*[F.lit(f) for f in OWN_FEATURES]),
                               F.array(*[F.col(f).cast("double") for f in OWN_FEATURES]))
-    m = best_rows.select(F.col("target").alias("series"), F.col("model").alias("model_used"), "path", "features",
-                         "intercept", "weights")
-    joined = rows.join(m, "series", "left")
 
     def finish(df: DataFrame, p: Column) -> DataFrame:
         p = round2(clamp_nonneg(p)) if cents else clamp_nonneg(p)
         # greatest() skips nulls: a row without a model has no prediction, not 0
         return df.withColumn(out, F.when(F.col("model_used").isNotNull(), p).otherwise(F.lit(none).cast("double"))) \
-            .select(*rows.columns, out, "model_used")
+            .select(*columns, out, "model_used", *MODEL_COLUMNS)
 
     x = F.transform("features", lambda f: F.element_at(named, f))
     dot = F.aggregate(F.zip_with("weights", x, lambda w, v: w * v), F.col("intercept"), lambda a, v: a + v)
-    scored = finish(joined.where("path is null"), dot)
-    for path, model in (pipelines(best_rows) if loaded is None else loaded).items():
+    done = finish(joined.where("path is null"), dot)
+    for path, model in loaded.items():
         part = model.transform(joined.where(F.col("path") == path))
-        scored = scored.unionByName(finish(part, F.col("prediction")))
-    return scored
+        done = done.unionByName(finish(part, F.col("prediction")))
+    return done
 
 
 def forecast_best(buffers: DataFrame, best_rows: DataFrame, horizon: int = 30) -> DataFrame:
@@ -122,20 +138,22 @@ def forecast_best(buffers: DataFrame, best_rows: DataFrame, horizon: int = 30) -
     """
     checkpoint_dir(buffers.sparkSession)
     loaded = pipelines(best_rows)
-    best_rows = best_rows.checkpoint()
     buf, day = F.col("buf"), F.date_add("last", F.col("step"))
     cols = dict(calendar_columns(day))
     cols |= {f"lag_{k}": lag_of(buf, k) for k in feat.LAGS} | {f"rolling_{k}": tail_mean(buf, k) for k in feat.WINDOWS}
-    state = buffers.select("series", "last", "buf", F.array().cast("array<double>").alias("out"), F.lit(1).alias("step"),
-                           F.lit(None).cast("string").alias("model"))
+    y, model = F.col("_y"), ["model_used", *MODEL_COLUMNS]
+    state = with_models(buffers.select("series", "last", "buf", F.array().cast("array<double>").alias("out"),
+                                       F.lit(1).alias("step")), best_rows).checkpoint()
+    # a union of the models' rows has the partitions of all of them: every step would have more
+    parts = state.count() // STATE_ROWS + 1
     for _ in range(horizon):
-        y = F.col("_y")
-        state = score(state.withColumns(cols), best_rows, "_y", None, loaded, cents=False).select(
-            "series", "last", push(buf, y, BUFFER_DAYS).alias("buf"), F.concat("out", F.array(y)).alias("out"),
-            (F.col("step") + 1).alias("step"), F.col("model_used").alias("model")).checkpoint()
-    return state.where("model is not null").select("series", "last", "model", F.posexplode("out").alias("at", "predicted")) \
+        state = scored(state.withColumns(cols), ["series", "last", "buf", "out", "step"], "_y", None, loaded, cents=False) \
+            .select("series", "last", push(buf, y, BUFFER_DAYS).alias("buf"), F.concat("out", F.array(y)).alias("out"),
+                    (F.col("step") + 1).alias("step"), *model).repartition(parts, "series").checkpoint()
+    return state.where("model_used is not null") \
+        .select("series", "last", "model_used", F.posexplode("out").alias("at", "predicted")) \
         .select("series", (F.col("at") + 1).alias("step"), F.date_add("last", F.col("at") + 1).alias("datum"), "predicted",
-                F.col("model").alias("model_used"))
+                "model_used")
 
 
 class BestModelScorer:
@@ -183,12 +201,13 @@ def train_all(panel: DataFrame, specs: list, features: list[str] = OWN_FEATURES,
     from salescast.operators.metrics import regression_metrics
     rows = panel.where(linear.complete(linear.vector([*features, label]))).select("series", "datum", label, "test_fold", *features)
     lin, trees = [s for s in specs if s.kind in ("ridge", "elasticnet")], [s for s in specs if s.kind in ("forest", "gbt")]
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        rows = in_partitions(cached, len(features) + 1)
         train = rows.where(F.col("test_fold").isNull() | (F.col("test_fold") < linear.HOLDOUT))
         test = rows.where(F.col("test_fold") == linear.HOLDOUT)
         n_series = rows.select("series").distinct().count()
-        models = {s.name: pooled_pipeline(s, features, n_series, label).fit(train) for s in trees}
+        models = fit_all({s.name: pooled_pipeline(s, features, n_series, label) for s in trees}, train)
         out = coefs = None
         if lin:
             coefs = linear.fit_series(linear.series_moments(rows, features, label), features, lin, [linear.HOLDOUT])
@@ -202,7 +221,7 @@ def train_all(panel: DataFrame, specs: list, features: list[str] = OWN_FEATURES,
         out = _kept(out, "metrics")
         coefs = coefs if coefs is None else _kept(coefs, "coefficients")
     finally:
-        rows.unpersist()
+        cached.unpersist()
     return models, coefs, out
 
 

@@ -323,3 +323,17 @@ def test_goldens_of_every_target(spark):
         assert np.allclose([r.mae, r.rmse, r.r2], want, atol=1e-3), (t, r)
     r = got["Total_Sales", "ElasticNet"]  # 11.57 / 16.09 / 0.541
     assert np.allclose([r.mae, r.rmse, r.r2], (11.568, 16.094, 0.541), atol=1e-2), r
+
+
+def test_the_state_of_a_forecast_by_models_keeps_its_partitions(spark, tmp_path):
+    p = own_panel(spark)
+    forest = models.ModelSpec("Forest", "forest", {"numTrees": 2, "maxDepth": 2, "seed": 1})
+    fitted, coefs, metrics = registry.train_all(p, [RIDGE, forest])
+    root = str(tmp_path / "m")
+    registry.save_linear(coefs, metrics, registry.OWN_FEATURES, root)
+    registry.save_pipelines(fitted, metrics, root)
+    best = registry.load(spark, root).where(F.concat("target", "model").isin(["ARidge", "BForest"]))
+    buffers = forecast.own_buffers(ser.all_targets(panel(spark, 60)))
+    for horizon in (1, 4):
+        got = registry.forecast_best(buffers, best, horizon)
+        assert got.rdd.getNumPartitions() == 1 and got.count() == 2 * horizon
