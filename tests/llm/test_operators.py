@@ -503,6 +503,28 @@ def test_passages_behind_fragments(spark):
         assert len(a) >= 50 and len(x & y) / len(x | y) == pytest.approx(r.similarity) and r.similarity >= 0.8
 
 
+def test_passages_of_different_texts_that_share_a_lead_are_linked(spark):
+    """Documents that all verify with the smallest one are linked with each other too, unless they are copies."""
+    rng = random.Random(39)
+    fill = lambda n: words(rng, n, 10**6)
+    texts, groups = {}, []
+    for k in range(20):  # three texts of one passage, each with a word of its own changed
+        passage = fill(150)
+        groups.append([10 * k, 10 * k + 1, 10 * k + 2])
+        for n, i in enumerate(groups[-1]):
+            near = list(passage)
+            near[40 + 35 * n] = f"own{i}"
+            texts[i] = fill(40) + near + fill(40)
+    copy = fill(150)
+    texts |= {i: copy for i in range(900, 906)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = passages.near_passages(df)
+    pairs = {(r.doc_id, r.other_id) for r in got.collect()}
+    for g in groups:
+        assert {(a, b) for a in g for b in g if a != b} <= pairs
+    assert {(900, i) for i in range(901, 906)} <= pairs and not any(a > 900 and b > 900 for a, b in pairs)
+
+
 def test_passages_recall_at_the_least_similarity(spark):
     rng = random.Random(29)
     fill = lambda n: words(rng, n, 10**6)
