@@ -14,6 +14,9 @@ gives no pieces.  A retried task reads the same rows and so makes the same piece
 
 from __future__ import annotations
 
+import json
+import re
+import string
 import zlib
 
 import numpy as np
@@ -27,57 +30,80 @@ from .common import map_exact, table, written
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_TOKENS = 1024, 1 << 21
 KNOWN_WORDS = 500_000  # cached by a Python worker, for all its tasks; a pipeline of many stages asks for fewer
-SEPARATOR = "\x01"  # a "word" of its own, put between words that are learned together
 END = 2  # fixed by the contract
 
 
-class WordTokenizer:
-    """Whole texts to ids by way of a bounded cache of words.
+MARKS = string.punctuation  # of ASCII
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Rules by which letters and the marks behind them are tokenised apart, the letters in lower case.
+LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+MATCHED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class WordTokenizer(dict):
+    """Whole texts to ids by way of a bounded cache of words (word -> ids).
 
     The vocabulary's tokens never cross white space, so a text's ids are its words' ids one after another.
     Text is cut at spaces and line feeds only; any other white space stays inside a "word" and is the
-    tokenizer's own affair.
+    tokenizer's own affair.  Words of Latin letters with marks behind them are put together from the
+    lower-cased letters and the marks, which are words in the cache too, if the tokenizer's rules part them
+    there; such letters go straight to its model.  The cache has two generations: words that were not met
+    in the last one are dropped, frequent ones stay.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        super().__init__()
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        ids = np.arange(1 + max(self.tok.get_vocab().values())).astype(self.dtype).tobytes()
+        self.bytes = [ids[k:k + self.dtype.itemsize] for k in range(0, len(ids), self.dtype.itemsize)]
+        self.older: dict[str, bytes] = {}
         self.most = KNOWN_WORDS
-        ids = self.tok.encode(SEPARATOR, add_special_tokens=False).ids
-        self.separator = ids[0] if len(ids) == 1 else None
-
-    def learn(self, words: list[str]):
-        """Ids of ``words``: a thousand at a time as one text, cut at the separator's id."""
-        for s in range(0, len(words), 1000):
-            part = [w for w in words[s:s + 1000] if SEPARATOR not in w]
-            alone = [w for w in words[s:s + 1000] if SEPARATOR in w]
-            joined = self.tok.encode_batch_fast([f" {SEPARATOR} ".join(part)], add_special_tokens=False)  # no offsets
-            ids = np.array(joined[0].ids, self.dtype)
-            cut = np.flatnonzero(ids == self.separator) if self.separator is not None else ()
-            if part and len(cut) == len(part) - 1:
-                for w, a, b in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
-                    self.known[w] = ids[a:b].tobytes()
-            else:
-                alone += part
-            for w in alone:
-                self.known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.model = self.tok.model if parts_letters(path) else None
+        self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.learned(word)
+        if 2 * len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def learned(self, word: str) -> bytes:
+        letters = word.rstrip(MARKS)
+        plain = letters.isascii()
+        if not self.model or not (letters.isalpha() if plain else LETTERS(letters)):
+            return b"".join([self.bytes[x] for x in self.tok.encode(word, add_special_tokens=False).ids])
+        low = letters.lower()
+        if len(low) < len(word):
+            return self[low] + self[word[len(low):]]
+        if low != word:
+            return self[low]
+        if not plain:
+            low = "".join([x for x, _ in self.level.pre_tokenize_str(low)])
+        return b"".join([self.bytes[x.id] for x in self.model.tokenize(low)])
 
     def encode(self, text: str) -> bytes:
         """The ids, little-endian, of ``dtype``."""
         words = text.replace("\n", " ").split(" ")
-        out = []
-        for s in range(0, len(words), 100_000):
-            part = words[s:s + 100_000]
-            try:
-                out.append(b"".join(map(self.known.__getitem__, part)))
-            except KeyError:
-                if len(self.known) + len(part) > self.most:
-                    self.known.clear()
-                self.learn(list(set(part).difference(self.known)))
-                out.append(b"".join(map(self.known.__getitem__, part)))
-        return b"".join(out)
+        return b"".join(b"".join(map(self.__getitem__, words[s:s + 100_000])) for s in range(0, len(words), 100_000))
+
+
+def parts_letters(path: str) -> bool:
+    """Whether the tokenizer's rules are those by which words of LETTERS with MARKS behind may be put together."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    split, *level = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return ((rules.get("normalizer") or {}).get("normalizers") == LOWERED
+            and split.get("type") == "Split" and split["pattern"] == {"Regex": MATCHED}
+            and split["behavior"] == "Removed" and split["invert"]
+            and [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in level] == [("ByteLevel", False, False)]
+            and rules["model"].get("type") == "BPE" and not rules.get("post_processor")
+            and not any(LETTERS("a" + x["content"].rstrip(MARKS)) for x in rules["added_tokens"]))
 
 
 _LOADED: dict[str, WordTokenizer] = {}

@@ -434,6 +434,31 @@ def test_word_tokenizer_equals_whole_text():
         assert np.frombuffer(own.encode(t), own.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_word_tokenizer_learns_letters_once():
+    """Case and marks behind a word cost no second pass through the tokenizer; ids stay those of whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    odd = ["don't", "it's'", "'tis", "a'", "o'clock,", "x1y", "12,", "²", "naïve", "ÀÉÿ?", "ß!?", "×", "ªº", "µ", "e\u0301a,", "<|endoftext|>",
+           "abc<|endoftext|>", "</w>", "a</w>", "ΣΑΣ", "İx", "日本。", "\x01", "a\x01b", "a\tb", "ǅ", "a_b", "``a``", "``", "~" * 40]
+    rng = random.Random(88)
+    texts = [" ".join(rng.choice(odd) if rng.random() < 0.3 else
+                      "".join(rng.choices("abcxyzABCéÉñ", k=rng.randrange(1, 14))) + "".join(rng.choices("',.!$-", k=rng.randrange(3)))
+                      for _ in range(rng.randrange(60))) for _ in range(300)] + ["", "\n a  b\n"]
+    for most in (10**6, 50, 2):
+        own = packing.WordTokenizer(path)
+        own.most = most
+        assert [np.frombuffer(own.encode(x), own.dtype).tolist() for x in texts] == [
+            tok.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(own) + len(own.older) <= max(most, 8)
+    own = packing.WordTokenizer(path)
+    own.encode("Alphabet, alphabet ALPHABET! alphabet.")
+    whole, own.tok = own.tok, None  # the words that follow need no tokenizer
+    assert own.encode("alphabet! aLphabet alphabet, ,").count(own["alphabet"]) == 3
+    assert np.frombuffer(own["ALPHABET."], own.dtype).tolist() == whole.encode("alphabet.").ids
+
+
 # 9 passages
 
 def test_compact_windows_against_brute_force():
