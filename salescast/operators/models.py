@@ -147,12 +147,7 @@ def train_models(fm: DataFrame, feature_cols: list[str], target: str,
         st = train.agg(F.count(F.lit(1)), F.stddev_samp(target)).first()
         n_train, y_std = int(st[0]), float(st[1] or 0.0)
         models = fit_all({s.name: build_pipeline(s, feature_cols, target, n_train, y_std) for s in specs}, train)
-        preds = [pm.transform(test).select(
-            F.lit(target).alias("target"), F.lit(name).alias("model"), "datum",
-            F.col(target).alias("actual"), F.col("prediction").alias("predicted")) for name, pm in models.items()]
-        pred = preds[0]
-        for p in preds[1:]:
-            pred = pred.unionByName(p)
+        pred = holdout_predictions(models, test, target)
         rows = regression_metrics(pred, keys=("target", "model")).collect()  # one small row per model
         # from the rows: a later use of the metrics does not score the models again
         met = fm.sparkSession.createDataFrame([[r[f.name] for f in METRICS_SCHEMA] for r in rows], METRICS_SCHEMA)
@@ -162,6 +157,17 @@ def train_models(fm: DataFrame, feature_cols: list[str], target: str,
     return TrainResult(target, models, met, pred, best, feature_cols)
 
 
+def holdout_predictions(models: dict[str, PipelineModel], test: DataFrame, target: str) -> DataFrame:
+    """(target, model, datum, actual, predicted): the holdout by every model."""
+    preds = [pm.transform(test).select(
+        F.lit(target).alias("target"), F.lit(name).alias("model"), "datum",
+        F.col(target).alias("actual"), F.col("prediction").alias("predicted")) for name, pm in models.items()]
+    pred = preds[0]
+    for p in preds[1:]:
+        pred = pred.unionByName(p)
+    return pred
+
+
 def train_all_targets(frames: dict, specs: list[ModelSpec] | None = None,
                       parallelism: int = 4) -> dict[str, TrainResult]:
     """Train and compare models for a few targets at once.
@@ -243,6 +249,29 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def load_models(registry: DataFrame) -> dict[str, PipelineModel]:
+    """The pipelines of one target's registry rows, read back, by name."""
+    return {r["model"]: load_model(r["path"]) for r in registry.select("model", "path").orderBy("model").collect()}
+
+
+def check_loaded(result: TrainResult, fm: DataFrame, loaded: dict[str, PipelineModel], split_col: str = "split") -> None:
+    """Raises ValueError unless all of ``result``'s models were read back and score the holdout of ``fm`` as they did."""
+    if set(loaded) != set(result.models):
+        raise ValueError(f"models of {result.target} that weren't read back: {sorted(set(result.models) - set(loaded))}")
+    test = fm.where(F.col(split_col) == "test").select("datum", *result.feature_cols, F.col(result.target).cast("double")
+                                                       .alias(result.target)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        again = regression_metrics(holdout_predictions(loaded, in_partitions(test, len(result.feature_cols)), result.target),
+                                   keys=("target", "model"))
+        both = again.select("model", F.col("rmse").alias("again")).join(result.metrics, "model")
+        # sums of an order of their own
+        other = [r["model"] for r in both.collect() if abs(r["again"] - r["rmse"]) > 1e-9 * max(1.0, abs(r["rmse"]))]
+    finally:
+        test.unpersist()
+    if other:
+        raise ValueError(f"models of {result.target} that score otherwise once read back: {sorted(other)}")
+
+
 def score_recent(model: PipelineModel, fm: DataFrame, n: int = 30, key: str = "series",
                  clamp: bool = True) -> DataFrame:
     """Score the last n rows per `key` of a feature frame with a fitted

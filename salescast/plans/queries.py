@@ -649,15 +649,18 @@ def feature_importance(spark, sf_dir):
 
 @query
 def model_registry(spark, sf_dir):
-    """The total's models over the features of all products (linear kinds and the default boosting) as saved and read
-    back: pipelines, registry rows and metrics JSON."""
+    """The total's models of all kinds over the features of all products as saved and read back: pipelines, which must
+    score the holdout as they did before, registry rows and metrics JSON."""
     fm, s = _total_matrix(spark, sf_dir)
-    res = models.train_models(fm, features.feature_columns(s), "Total_Sales", specs=REGISTRY_SPECS)
     root = scratch_path(spark, "models")
+    fm.write.parquet(f"{root}/_matrix")  # the same rows for both scorings
+    fm = spark.read.schema(fm.schema).parquet(f"{root}/_matrix")
+    res = models.train_models(fm, features.feature_columns(s), "Total_Sales")
     models.save_models(spark, res, root)
-    reg = models.load_registry(spark, root).select("target", "model", "is_best")
+    reg = models.load_registry(spark, root)
+    models.check_loaded(res, fm, models.load_models(reg))
     met = models.read_metrics_json(spark, root).select("target", "model", r6("rmse").alias("rmse"))
-    return reg.join(met, ["target", "model"])
+    return reg.select("target", "model", "is_best").join(met, ["target", "model"])
 
 
 @query

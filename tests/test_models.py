@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from conftest import consecutive, daily_df
 from pyspark.sql import functions as F
 
@@ -144,3 +145,31 @@ def test_training_of_spread_rows_runs_few_tasks(spark):
     stages = [tracker.getStageInfo(s) for j in jobs for s in j.stageIds]
     assert res.best == "GBTDeep" and len(jobs) > 10
     assert sum(s.numTasks >= 30 for s in stages if s) < len(jobs) / 2
+
+
+def test_model_registry_saves_every_kind_and_reads_all_back(spark, tmp_path, monkeypatch):
+    """All six kinds are in the registry, and each saved pipeline is read back and scores the holdout again."""
+    from salescast.plans import queries
+    rnd = random.Random(6)
+    fm = daily_df(spark, consecutive("Total_Sales", "2020-01-01", [float(rnd.randint(0, 50)) for _ in range(150)])) \
+        .withColumn("x", F.col("value") % 7).withColumnRenamed("value", "Total_Sales")
+    fm = features.time_split(fm, dense=True)
+    read, load = [], models.load_model
+    monkeypatch.setattr(models, "DEFAULT_SPECS", SMALL_SPECS)
+    monkeypatch.setattr(models, "load_model", lambda path: read.append(path) or load(path))
+    monkeypatch.setattr(queries, "_total_matrix", lambda spark, sf_dir: (fm, ["A"]))
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(queries.features, "feature_columns", lambda s: ["x"])
+    rows = queries.model_registry(spark, "").collect()
+    assert {r.model for r in rows} == {s.name for s in SMALL_SPECS} and sum(r.is_best for r in rows) == 1
+    assert len(read) == len(SMALL_SPECS)
+    best = min(rows, key=lambda r: (r.rmse, r.model))
+    assert best.is_best
+
+    # a pipeline that scores otherwise, or is missing, is an error
+    res = models.train_models(fm, ["x"], "Total_Sales", SMALL_SPECS[-2:])
+    swapped = dict(zip(res.models, reversed(list(res.models.values()))))
+    models.check_loaded(res, fm, res.models)
+    for wrong in (swapped, {}):
+        with pytest.raises(ValueError, match="read back"):
+            models.check_loaded(res, fm, wrong)
