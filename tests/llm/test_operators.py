@@ -550,6 +550,41 @@ def test_passages_of_different_texts_that_share_a_lead_are_linked(spark):
     assert {(900, i) for i in range(901, 906)} <= pairs and not any(a > 900 and b > 900 for a, b in pairs)
 
 
+def test_passages_hold_little_disk(spark, monkeypatch):
+    """Nothing but the result's table stays in the shared folder; rounds and blocks of any number give the same rows."""
+    import os
+
+    from salescast.session import checkpoint_dir
+    rng = random.Random(49)
+    fill = lambda n: words(rng, n, 10**6)
+    passage, texts = fill(120), {}
+    for i in range(12):
+        near = list(passage)
+        near[9 * i] = f"own{i}"
+        texts |= {3 * i: fill(30) + near + fill(30), 3 * i + 1: fill(20) + near + fill(40), 3 * i + 2: fill(20) + near + fill(40)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    whole = passages.near_passages(df)
+    assert len(made := set(os.listdir(folder)) - before) == 1 and made.pop().startswith("passage-found")
+    want = sorted(whole.collect())
+    assert {r.doc_id for r in want} == set(texts)
+    monkeypatch.setattr(passages, "BLOCK", 3)
+    for rounds in (1, 5):
+        monkeypatch.setattr(passages, "rounds_of", lambda *a: (rounds, 2))
+        assert sorted(passages.near_passages(df).collect()) == want
+
+
+def test_rounds_grow_with_the_pairs_that_meet(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, [1] * 500), (2, [2] * 500)], "doc_id long, s array<int>")
+    several = lambda n: spark.range(n).selectExpr("id v", "1L blocks", f"{n}L n")
+    assert passages.rounds_of(several(0), texts, 46) == (0, 1)
+    assert passages.rounds_of(several(1000), texts, 46)[0] == 1
+    monkeypatch.setattr(passages, "ROUND", 1)
+    assert passages.rounds_of(several(10), texts, 46)[0] == 1
+    assert passages.rounds_of(several(1000), texts, 46)[0] == 1999
+
+
 def test_passages_recall_at_the_least_similarity(spark):
     rng = random.Random(29)
     fill = lambda n: words(rng, n, 10**6)
